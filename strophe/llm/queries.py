@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import canonical, encoding
+from . import canonical, copies, encoding, langid
 
 TEXTS = ("plainlyrics", "syncedlyrics")
 
@@ -26,5 +26,38 @@ def p7_canonical(spark: SparkSession, d: str) -> DataFrame:
     return canonical.canonical_texts(table(spark, d, "lrclib"), table(spark, d, "scribe_vocals"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p7_found, p7_canonical)}
-SQL: dict[str, str] = {}
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return copies.found(table(spark, d, "lrclib"))
+
+
+def p4_copies(spark: SparkSession, d: str) -> DataFrame:
+    return copies.counts(table(spark, d, "lrclib"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return langid.found(*(table(spark, d, t) for t in ("scribe_vocals", "plan_docs", "plan_lines", "lang_codes")))
+
+
+def p6_stretches(spark: SparkSession, d: str) -> DataFrame:
+    v, p, l = (table(spark, d, t) for t in ("scribe_vocals", "plan_docs", "plan_lines"))
+    return langid.stretches(v, p, l, langid.fit(l, p))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p4_found, p4_copies, p6_found, p6_stretches, p7_found, p7_canonical)}
+
+_P4 = r"""
+with r as (
+  select distinct lrclib_id id, regexp_replace(lower(coalesce(plainlyrics, '')), '[^\p{L}\p{N}]+', '', 'g') p,
+    string_split_regex(coalesce(syncedlyrics, ''), '\r\n|\n|\r') ls from lrclib where lrclib_id is not null),
+n as (
+  select id, p,
+    list_sort(list_filter(list_transform(list_filter(ls, lambda x: regexp_full_match(x, '\s*\[\p{L}+:.*\]\s*')),
+      lambda x: regexp_replace(lower(x), '[^\p{L}\p{N}]+', '', 'g')), lambda x: x <> '')) h,
+    regexp_replace(lower(array_to_string(list_filter(ls, lambda x: not regexp_full_match(x, '\s*\[\p{L}+:.*\]\s*')), chr(10))), '[^\p{L}\p{N}]+', '', 'g') s
+  from r),
+g as (select id, min(id) over (partition by p, h, s) k from n where p <> '' or s <> '' or len(h) > 0)
+"""
+SQL: dict[str, str] = {
+    "p4_found": _P4 + "select distinct k as keep_id, id as copy_id from g where id > k",
+    "p4_copies": _P4 + "select k as keep_id, count(distinct id) as copies from g group by k",
+}
