@@ -52,6 +52,7 @@ class Profiles:
                     m[g] = np.full(len(self.langs), miss)
                 m[g][k] = math.log2(r + 1)
         self._rows, self._miss = m, np.full(len(self.langs), miss)
+        self._zero = np.zeros(len(self.langs))
         self._cache: dict[str, tuple[np.ndarray, float]] = {}
 
     @classmethod
@@ -63,11 +64,13 @@ class Profiles:
             if text and lang:
                 ws = [w.lower() for w in WORD.findall(text)]
                 seen.update(set(ws))
-                c = count.setdefault(lang, Counter())
-                for w in ws:
-                    c.update(grams(w))
+                count.setdefault(lang, Counter()).update(ws)
         ranks = {}
-        for lang, c in count.items():
+        for lang, ws in count.items():
+            c: Counter = Counter()
+            for w, n in ws.items():
+                for g in grams(w):
+                    c[g] += n
             top = sorted(c.items(), key=lambda x: (-x[1], x[0]))[:TOP]
             ranks[lang] = {g: i + 1 for i, (g, _) in enumerate(top)}
         return cls(ranks, frozenset(w for w, n in seen.items() if n >= 3))
@@ -87,17 +90,20 @@ class Profiles:
         """(words, their log places, which of them have a language). Names, sounds and numbers have none."""
         found = WORD.findall(text)
         low = [w.lower().replace("’", "'") for w in found]
-        pen = np.zeros((len(low), len(self.langs)))
-        has = np.zeros(len(low), bool)
-        for i, (w, raw) in enumerate(zip(low, found)):
-            if w in SOUNDS and ((i and low[i - 1] in SOUNDS) or (i + 1 < len(low) and low[i + 1] in SOUNDS)):
-                continue
-            if w[0].isdigit():
-                continue
-            v, best = self.word(w)
-            if w not in self.words and (best > NAME or raw[0].isupper() and i and best > NAME - 2.5):
-                continue
-            pen[i], has[i] = v, True
+        rows = []
+        has = []
+        known, word, zero = self.words, self.word, self._zero
+        for i, w in enumerate(low):
+            if w in SOUNDS and ((i and low[i - 1] in SOUNDS) or (i + 1 < len(low) and low[i + 1] in SOUNDS)) or w[0].isdigit():
+                v = zero
+            else:
+                v, best = word(w)
+                if w not in known and (best > NAME or i and best > NAME - 2.5 and found[i][0].isupper()):
+                    v = zero
+            rows.append(v)
+            has.append(v is not zero)
+        pen = np.array(rows) if rows else np.zeros((0, len(self.langs)))
+        has = np.array(has, bool)
         return low, pen, has
 
     def path(self, pen: np.ndarray) -> np.ndarray:

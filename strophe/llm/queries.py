@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import canonical, copies, encoding, langid
+from . import canonical, copies, encoding, langid, pairs
 
 TEXTS = ("plainlyrics", "syncedlyrics")
 
@@ -34,6 +34,10 @@ def p4_copies(spark: SparkSession, d: str) -> DataFrame:
     return copies.counts(table(spark, d, "lrclib"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.found(table(spark, d, "plan_lines"), table(spark, d, "plan_docs"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return langid.found(*(table(spark, d, t) for t in ("scribe_vocals", "plan_docs", "plan_lines", "lang_codes")))
 
@@ -43,7 +47,7 @@ def p6_stretches(spark: SparkSession, d: str) -> DataFrame:
     return langid.stretches(v, p, l, langid.fit(l, p))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p4_found, p4_copies, p6_found, p6_stretches, p7_found, p7_canonical)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p4_found, p4_copies, p5_found, p6_found, p6_stretches, p7_found, p7_canonical)}
 
 _P4 = r"""
 with r as (
