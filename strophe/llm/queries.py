@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import canonical, copies, encoding, langid, pairs
+from . import canonical, copies, encoding, langid, mixing, packing, pairs, tokens
 
 TEXTS = ("plainlyrics", "syncedlyrics")
 
@@ -47,7 +47,23 @@ def p6_stretches(spark: SparkSession, d: str) -> DataFrame:
     return langid.stretches(v, p, l, langid.fit(l, p))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p4_found, p4_copies, p5_found, p6_found, p6_stretches, p7_found, p7_canonical)}
+def p8_pack(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(tokens.counted(table(spark, d, "documents")), table(spark, d, "pack_sizes"))
+
+
+def p8_usage(spark: SparkSession, d: str) -> DataFrame:
+    return packing.usage(p8_pack(spark, d), table(spark, d, "pack_sizes"))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(tokens.counted(table(spark, d, "documents"), "source", weigh=True), table(spark, d, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(tokens.counted(table(spark, d, "documents"), "source", weigh=True), table(spark, d, "mix_targets"))[1]
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p4_found, p4_copies, p5_found, p6_found, p6_stretches, p7_found, p7_canonical, p8_pack, p8_usage, p9_mix, p9_shares)}
 
 _P4 = r"""
 with r as (
