@@ -1,9 +1,9 @@
 """Overlapping and gapped time intervals: continuous periods and the gaps between them.
 
-A mergeable aggregate: its state is a list of sorted, disjoint intervals, two states combine by one linear
-merge. States are first built from the rows of each batch where they lie, then merged in a tree (by key and
-a salt, then by key), so a key that holds much of the data arrives at its last task as a few short lists.
-The length of a state is bounded by the key's time line, not by its rows.
+A mergeable aggregate: its state is, for each key, a list of sorted, disjoint intervals, and two states combine by
+a linear merge. States are first built where the rows lie, then merged in a tree (by key and a salt, then by key), so
+a key that holds much of the data arrives at its last task as a few short lists; there the sorted lists are merged
+as they stream by, with one open interval in memory. All keys of a batch are merged in the same array operations.
 """
 
 from __future__ import annotations
@@ -13,43 +13,71 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-STATE = "array<bigint>"
+#: Intervals a task gathers before it emits the state it has.
+GATHER = 1_000_000
 
 
-def disjoint(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Intervals [a, b) in any order as sorted ones of which no two overlap or touch."""
+def disjoint(k: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Intervals [a, b) of keys k, in any order, as sorted ones of which no two of a key overlap or touch."""
     if not len(a):
-        return a, b
-    o = np.argsort(a, kind="stable")
-    a, b = a[o], np.maximum.accumulate(b[o])
-    first = np.r_[True, a[1:] > b[:-1]]
-    return a[first], b[np.r_[np.flatnonzero(first)[1:] - 1, len(b) - 1]]
-
-
-def merge(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Two states in one. The stable sort of two sorted runs is their linear merge."""
-    return disjoint(np.r_[x[0], y[0]], np.r_[x[1], y[1]])
-
-
-def _states(keys: tuple[str, ...], a: str, b: str):
+        return k, a, b
+    o = np.lexsort((a, k))
+    k, a, b = k[o], a[o], b[o]
+    head = np.r_[True, k[1:] != k[:-1]]
+    # a running maximum within each key: ends are lifted above all ends of the keys before
+    low = int(b.min())
+    lift = int(b.max()) - low + 1
+    n = int(head.sum())
+    if n * lift < 1 << 62:
+        step = (np.cumsum(head) - 1) * lift
+        top = np.maximum.accumulate(b - low + step) - step + low
+    else:
+        top = np.concatenate([np.maximum.accumulate(x) for x in np.split(b, np.flatnonzero(head)[1:])])
+    first = np.r_[True, a[1:] > top[:-1]] | head
+    return k[first], a[first], top[np.r_[np.flatnonzero(first)[1:] - 1, len(b) - 1]]
+
+
+def _merge(df: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
+    """Several states, one after the other, as one."""
+    code = pd.factorize(df[keys[0]], use_na_sentinel=False)[0] if len(keys) == 1 else df.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
+    k, a, b = disjoint(code, df["a"].to_numpy(np.int64), df["b"].to_numpy(np.int64))
+    at = np.full(code.max() + 1 if len(code) else 0, -1)
+    at[code[::-1]] = np.arange(len(code))[::-1]
+    out = df[keys].iloc[at[k]].reset_index(drop=True)
+    return out.assign(a=a, b=b)
+
+
+def _states(keys: list[str]):
     def run(batches):
+        held, n = [], 0
         for df in batches:
-            rows = []
-            for k, g in df.groupby(list(keys), sort=False, dropna=False):
-                s, e = disjoint(g[a].to_numpy(np.int64), g[b].to_numpy(np.int64))
-                rows.append((*k, s, e))
-            if rows:
-                yield pd.DataFrame(rows, columns=[*keys, "s", "e"])
+            held.append(df)
+            n += len(df)
+            if n >= GATHER:
+                yield _merge(pd.concat(held, ignore_index=True), keys)
+                held, n = [], 0
+        if n:
+            yield _merge(pd.concat(held, ignore_index=True), keys)
 
     return run
 
 
-def _combine(keys: tuple[str, ...]):
-    def run(key, g: pd.DataFrame) -> pd.DataFrame:
-        parts = [(np.asarray(s, np.int64), np.asarray(e, np.int64)) for s, e in zip(g["s"], g["e"])]
-        while len(parts) > 1:
-            parts = [merge(*parts[i : i + 2]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
-        return pd.DataFrame([(*(g[k].iloc[0] for k in keys), *parts[0])], columns=[*keys, "s", "e"])
+def _periods(keys: list[str]):
+    """Rows come in order of key and start; only the last period of a batch can still grow."""
+
+    def run(batches):
+        held = None
+        for df in batches:
+            if not len(df):
+                continue
+            m = _merge(df if held is None else pd.concat([held, df], ignore_index=True), keys)
+            held = m.iloc[-1:]
+            same = pd.concat([m[c].iloc[1:].reset_index(drop=True).eq(m[c].iloc[:-1]) | (m[c].iloc[1:].reset_index(drop=True).isna() & m[c].iloc[:-1].isna()) for c in keys], axis=1).all(axis=1).to_numpy()
+            gaps = m.iloc[1:][same][keys].assign(kind="gap", from_ms=m["b"].to_numpy()[:-1][same], to_ms=m["a"].to_numpy()[1:][same])
+            done = m.iloc[:-1]
+            yield pd.concat([done[keys].assign(kind="period", from_ms=done["a"], to_ms=done["b"]), gaps])
+        if held is not None:
+            yield held[keys].assign(kind="period", from_ms=held["a"], to_ms=held["b"])
 
     return run
 
@@ -60,24 +88,12 @@ def periods(df: DataFrame, keys: tuple[str, ...], from_col: str, to_col: str, sa
     Rows whose from or to is null, or with to <= from, cover nothing; a key with only such rows gives no row. A null
     key is a key of its own. Repeated rows change nothing, an empty table gives an empty one, other columns are not read.
     """
-    src = df.select(*keys, F.col(from_col).cast("bigint").alias("_a"), F.col(to_col).cast("bigint").alias("_b"))
-    src = src.filter(F.col("_a") < F.col("_b"))
+    keys = list(keys)
+    src = df.select(*keys, F.col(from_col).cast("bigint").alias("a"), F.col(to_col).cast("bigint").alias("b")).filter("a < b")
     types = dict(src.dtypes)
-    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + f", s {STATE}, e {STATE}"
-    part = src.mapInPandas(_states(keys, "_a", "_b"), schema)
-    salted = part.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
-    once = salted.groupBy(*keys, "_salt").applyInPandas(_combine(keys), schema)
-    whole = once.groupBy(*keys).applyInPandas(_combine(keys), schema)
-    both = whole.select(
-        *keys,
-        F.explode(
-            F.concat(
-                F.transform(F.arrays_zip("s", "e"), lambda x: F.struct(F.lit("period").alias("kind"), x["s"].alias("from_ms"), x["e"].alias("to_ms"))),
-                F.transform(
-                    F.arrays_zip(F.expr("slice(e, 1, size(e) - 1)").alias("x"), F.expr("slice(s, 2, size(s))").alias("y")),
-                    lambda x: F.struct(F.lit("gap").alias("kind"), x["x"].alias("from_ms"), x["y"].alias("to_ms")),
-                ),
-            )
-        ).alias("r"),
-    )
-    return both.select(*keys, "r.kind", "r.from_ms", "r.to_ms")
+    head = ", ".join(f"`{k}` {types[k]}" for k in keys)
+    part = src.mapInPandas(_states(keys), head + ", a bigint, b bigint")
+    salt = F.pmod(F.spark_partition_id(), F.lit(salts))
+    once = part.repartition(*keys, salt).mapInPandas(_states(keys), head + ", a bigint, b bigint")
+    whole = once.repartition(*keys).sortWithinPartitions(*keys, "a")
+    return whole.mapInPandas(_periods(keys), head + ", kind string, from_ms bigint, to_ms bigint")
