@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import canonical, copies, encoding, langid, mixing, packing, pairs, tokens
+from . import canonical, copies, encoding, langid, mixing, packing, pairs, spam, tokens
 
 TEXTS = ("plainlyrics", "syncedlyrics")
 
@@ -63,7 +63,15 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(tokens.counted(table(spark, d, "documents"), "source", weigh=True), table(spark, d, "mix_targets"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p4_found, p4_copies, p5_found, p6_found, p6_stretches, p7_found, p7_canonical, p8_pack, p8_usage, p9_mix, p9_shares)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return spam.found(table(spark, d, "documents"))
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    return spam.scored(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p4_found, p4_copies, p5_found, p6_found, p6_stretches, p7_found, p7_canonical, p8_pack, p8_usage, p9_mix, p9_shares, p10_found, p10_scores)}
 
 _P4 = r"""
 with r as (
