@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import canonical, copies, encoding, langid, mixing, packing, pairs, spam, tokens
+from . import canonical, copies, encoding, langid, mixing, neardup, packing, pairs, spam, tokens
 
 TEXTS = ("plainlyrics", "syncedlyrics")
 
@@ -26,6 +26,10 @@ def p7_canonical(spark: SparkSession, d: str) -> DataFrame:
     return canonical.canonical_texts(table(spark, d, "lrclib"), table(spark, d, "scribe_vocals"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.pairs(table(spark, d, "lrclib"), "lrclib_id", "plainlyrics", skip=encoding.is_garbled)
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return copies.found(table(spark, d, "lrclib"))
 
@@ -71,7 +75,7 @@ def p10_scores(spark: SparkSession, d: str) -> DataFrame:
     return spam.scored(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p4_found, p4_copies, p5_found, p6_found, p6_stretches, p7_found, p7_canonical, p8_pack, p8_usage, p9_mix, p9_shares, p10_found, p10_scores)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p3_found, p4_found, p4_copies, p5_found, p6_found, p6_stretches, p7_found, p7_canonical, p8_pack, p8_usage, p9_mix, p9_shares, p10_found, p10_scores)}
 
 _P4 = r"""
 with r as (
