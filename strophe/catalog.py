@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of queries; each has QUERIES and SQL.
-MODULES = ("strophe.queries.intervals", "strophe.queries.text")
+MODULES = ("strophe.queries.intervals", "strophe.queries.text", "strophe.queries.lines")
 
 
 def collect() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
