@@ -31,11 +31,13 @@ def _scripts(prop: str) -> str:
     return "|".join(out)
 
 
-#: Java pattern: a text is affected if it holds a match. A joiner or variation sign inside an emoji is none.
+#: Java pattern: a text is affected if it holds a match. A joiner or variation sign inside an emoji is none. Java looks
+#: behind by code units here, so the second half of an emoji (Cs) counts as one.
+_EMOJI = r"\p{So}\p{Cs}"
 JAVA = (
     f"[{WIDTH}{LIGATURE}{ACCENT}{HIDDEN}{BLANK}]"
-    r"|(?<![\p{So}\p{Sk}️])‍|‍(?![\p{So}♀♂])"
-    r"|(?<![\p{So}\p{Sm}\p{Po}\p{Pd}0-9#*])[︀-️]"
+    rf"|(?<![{_EMOJI}\p{{Sk}}\uFE0F])\u200D|\u200D(?![{_EMOJI}\u2640\u2642])"
+    rf"|(?<![{_EMOJI}\p{{Sm}}\p{{Po}}\p{{Pd}}0-9#*])[\uFE00-\uFE0F]"
     "|" + _scripts(r"\p{{Is{}}}")
 )
 
@@ -80,8 +82,11 @@ def canonical(text: str | None) -> str | None:
         form = "NFKC" if s[0] >= "ﬀ" or s[0] in "Ĳĳ" else "NFC"
         return s if unicodedata.is_normalized(form, s) else unicodedata.normalize(form, s)
 
-    t = _UNSTABLE.sub(segment, t)
-    return _WORD.sub(_one_script, t)
+    while True:  # a letter that changes its script may compose with its mark, and the other way round
+        u = _WORD.sub(_one_script, _UNSTABLE.sub(segment, t))
+        if u == t:
+            return u
+        t = u
 
 
 def found(lyrics, vocals):
