@@ -40,11 +40,11 @@ def disjoint(k: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, n
 def _merge(df: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
     """Several states, one after the other, as one."""
     code = pd.factorize(df[keys[0]], use_na_sentinel=False)[0] if len(keys) == 1 else df.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
-    k, a, b = disjoint(code, df["a"].to_numpy(np.int64), df["b"].to_numpy(np.int64))
+    k, a, b = disjoint(code, df["__a"].to_numpy(np.int64), df["__b"].to_numpy(np.int64))
     at = np.full(code.max() + 1 if len(code) else 0, -1)
     at[code[::-1]] = np.arange(len(code))[::-1]
     out = df[keys].iloc[at[k]].reset_index(drop=True)
-    return out.assign(a=a, b=b)
+    return out.assign(__a=a, __b=b)
 
 
 def _states(keys: list[str]):
@@ -73,11 +73,11 @@ def _periods(keys: list[str]):
             m = _merge(df if held is None else pd.concat([held, df], ignore_index=True), keys)
             held = m.iloc[-1:]
             same = pd.concat([m[c].iloc[1:].reset_index(drop=True).eq(m[c].iloc[:-1]) | (m[c].iloc[1:].reset_index(drop=True).isna() & m[c].iloc[:-1].isna()) for c in keys], axis=1).all(axis=1).to_numpy()
-            gaps = m.iloc[1:][same][keys].assign(kind="gap", from_ms=m["b"].to_numpy()[:-1][same], to_ms=m["a"].to_numpy()[1:][same])
+            gaps = m.iloc[1:][same][keys].assign(kind="gap", from_ms=m["__b"].to_numpy()[:-1][same], to_ms=m["__a"].to_numpy()[1:][same])
             done = m.iloc[:-1]
-            yield pd.concat([done[keys].assign(kind="period", from_ms=done["a"], to_ms=done["b"]), gaps])
+            yield pd.concat([done[keys].assign(kind="period", from_ms=done["__a"], to_ms=done["__b"]), gaps])
         if held is not None:
-            yield held[keys].assign(kind="period", from_ms=held["a"], to_ms=held["b"])
+            yield held[keys].assign(kind="period", from_ms=held["__a"], to_ms=held["__b"])
 
     return run
 
@@ -89,11 +89,11 @@ def periods(df: DataFrame, keys: tuple[str, ...], from_col: str, to_col: str, sa
     key is a key of its own. Repeated rows change nothing, an empty table gives an empty one, other columns are not read.
     """
     keys = list(keys)
-    src = df.select(*keys, F.col(from_col).cast("bigint").alias("a"), F.col(to_col).cast("bigint").alias("b")).filter("a < b")
+    src = df.select(*keys, F.col(from_col).cast("bigint").alias("__a"), F.col(to_col).cast("bigint").alias("__b")).filter("__a < __b")
     types = dict(src.dtypes)
     head = ", ".join(f"`{k}` {types[k]}" for k in keys)
-    part = src.mapInPandas(_states(keys), head + ", a bigint, b bigint")
+    part = src.mapInPandas(_states(keys), head + ", __a bigint, __b bigint")
     salt = F.pmod(F.spark_partition_id(), F.lit(salts))
-    once = part.repartition(*keys, salt).mapInPandas(_states(keys), head + ", a bigint, b bigint")
-    whole = once.repartition(*keys).sortWithinPartitions(*keys, "a")
+    once = part.repartition(*keys, salt).mapInPandas(_states(keys), head + ", __a bigint, __b bigint")
+    whole = once.repartition(*keys).sortWithinPartitions(*keys, "__a")
     return whole.mapInPandas(_periods(keys), head + ", kind string, from_ms bigint, to_ms bigint")
