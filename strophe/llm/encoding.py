@@ -115,6 +115,8 @@ def word_cost(w: str) -> float:
             # quotes and dashes belong at the edge of a word; a row of them glued to others does not
             if c in "‚„" and p.isalpha():
                 cost += 1.5
+            elif c == "·" and (p.isalpha() or n.isalpha()) and not (p in "lL" and n in "lL"):
+                cost += 1.5
             elif c in "–—·¿¡•´" and (n.isalpha() and not n.isascii() or c in "·¿¡" and p.isalpha()):
                 cost += 1.0
         elif kind == "L":
