@@ -176,7 +176,8 @@ def _cyrillic(text: str) -> float:
 def cost(words: tuple[str, ...]) -> float:
     """Cost of a line given by its words beyond ASCII."""
     out = sum(map(word_cost, words))
-    return out + _cyrillic(" ".join(words)) if any("Ѐ" <= w[0] < "԰" or "Ѐ" <= w[-1] < "԰" for w in words) else out
+    own = [w for w in words if ("Ѐ" <= w[0] < "԰" or "Ѐ" <= w[-1] < "԰") and not any(c.isascii() and c.isalpha() for c in w)]
+    return out + _cyrillic(" ".join(own)) if own else out
 
 
 def _bytes(text: str, page: str) -> bytes | None:
