@@ -113,8 +113,8 @@ def word_cost(w: str) -> float:
                 cost += 1.5
         elif kind == "P":
             # quotes and dashes belong at the edge of a word; a row of them glued to others does not
-            if c in "‚„" and p.isalpha():
-                cost += 1.5
+            if c in "‚„" and p.isalpha() or c in "‹›¿¡" and p.isalpha() and n.isalpha():
+                cost += 1.7
             elif c == "·" and (p.isalpha() or n.isalpha()) and not (p in "lL" and n in "lL"):
                 cost += 1.5
             elif c in "–—·¿¡•´" and (n.isalpha() and not n.isascii() or c in "·¿¡" and p.isalpha()):
@@ -122,6 +122,8 @@ def word_cost(w: str) -> float:
         elif kind == "L":
             letters += 1
             low = c.lower()
+            if c in "ÃÂГР" and n in "\xa0\xad" and not p.isalpha():
+                cost += 2  # how UTF-8 shows a letter whose second byte is a blank or a hyphen
             if "Ѐ" <= c < "԰":
                 if low not in _RANK and (c not in LOOKALIKE or not latin):
                     cost += 2
@@ -143,6 +145,8 @@ def word_cost(w: str) -> float:
                     cost += 2
                 elif low == "õ" and n.lower() not in "es":
                     cost += 1.5
+                elif low == "œ" and n.lower() in "bcfghjklmpqrvwxzł":
+                    cost += 1.5
                 elif low == "ß" and not (p.lower() in "aeiouäöüy" or p == "ß"):
                     cost += 1.5
                 elif c.isupper() and n.islower() and p.isalpha():
@@ -159,6 +163,12 @@ def word_cost(w: str) -> float:
 _VOWELS = set("аеёиоуыэюя")
 
 
+def inverted(text: str) -> bool:
+    """Whether a text begins with a small letter and goes on in capitals, as a sentence does when cases are swapped."""
+    words = [w for w in text.split() if w[0].isalpha()]
+    return len(words) > 1 and words[0][0].islower() and sum(map(str.isupper, words[1:])) >= 0.8 * (len(words) - 1) and any(len(w) > 2 for w in words[1:])
+
+
 @lru_cache(maxsize=50_000)
 def _cyrillic(text: str) -> float:
     """Extra cost of Cyrillic text that is mostly upper case (as one Cyrillic page shown in another comes out)
@@ -166,11 +176,12 @@ def _cyrillic(text: str) -> float:
     letters = [c for c in text if "\u0400" <= c < "\u0530"]
     if len(letters) < 5 or 2 * sum(c.isupper() for c in letters) < len(letters):
         return 0.0
+    odd = 3.0 if inverted(text) else 0.0
     low = text.lower()
     r = [_RANK.get(c, 20) for c in low if "\u0430" <= c < "\u0460"]
     near = [(a in _VOWELS) != (b in _VOWELS) for a, b in zip(low, low[1:]) if a in _RANK and b in _RANK]
     n = min(len(r), 40)
-    return max(0.0, sum(r) / len(r) - 11.0) * n / 8 + (max(0.0, 0.58 - sum(near) / len(near)) * n / 2 if near else 0.0)
+    return odd + max(0.0, sum(r) / len(r) - 11.0) * n / 8 + (max(0.0, 0.58 - sum(near) / len(near)) * n / 2 if near else 0.0)
 
 
 def cost(words: tuple[str, ...]) -> float:
@@ -284,7 +295,7 @@ def _line(words: tuple[str, ...]) -> tuple[bool, tuple[str, ...], bool]:
     need = GAIN
     if path[:1] in _CYRILLIC_STEPS:
         # the script stays, so letters that are merely rare are no proof: some word must be misshapen as well
-        need = 2 * GAIN if any(map(word_cost, words)) else 1e9
+        need = 2 * GAIN if any(map(word_cost, words)) or inverted(" ".join(words)) else 1e9
     if path and start - c >= need and c <= 0.6 * start:
         return True, path, True
     return start >= 4 and any("\x80" <= x < "\xa0" for w in words for x in w), (), False
