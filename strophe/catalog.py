@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of queries; each has QUERIES and SQL.
-MODULES = tuple(f"strophe.queries.{m}" for m in ("intervals", "text", "lines", "sections", "signal", "timeline", "lookup", "stages"))
+MODULES = tuple(f"strophe.queries.{m}" for m in ("intervals", "text", "lines", "sections", "signal", "timeline", "lookup", "stages", "extras"))
 
 
 def collect() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
