@@ -47,3 +47,12 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files and checkpoints that nothing refers to any more, before more are written. It does so
+    by itself only when the driver's JVM happens to collect its garbage."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
