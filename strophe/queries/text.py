@@ -217,25 +217,17 @@ def fn_fade(s, d):
 
 
 def _wrap(text, width):
-    """Greedy wrap by characters; a word wider than a line is split."""
-    out, cur = [], ""
+    """Greedy wrap by characters; a word wider than a row goes on from the row begun, cut where rows are full."""
+    rows = [""]
     for w in (text or "").split():
-        while len(w) > width:
-            room = width - len(cur)
-            cur += w[:room]
-            w = w[room:]
-            if w:
-                out.append(cur)
-                cur = ""
-        if not w:
-            continue
-        trial = f"{cur} {w}".strip()
-        if cur and len(trial) > width:
-            out.append(cur)
-            cur = w
+        if len(w) > width:
+            run = rows.pop() + w
+            rows += [run[i : i + width] for i in range(0, len(run), width)]
+        elif rows[-1] and len(rows[-1]) + 1 + len(w) > width:
+            rows.append(w)
         else:
-            cur = trial
-    return [*out, cur] if cur else out or [""]
+            rows[-1] = " ".join(filter(None, (rows[-1], w)))
+    return rows
 
 
 @query()
@@ -254,10 +246,8 @@ def fn_fit(s, d):
     @F.pandas_udf("int")
     def fit(x: pd.Series) -> pd.Series:
         def one(t):
-            n = 40
-            while n > 20 and len(_wrap(t, max(1, int(400 / (0.55 * n))))) * n * 1.3 > 100:
-                n -= 2
-            return n
+            room = {n: max(1, int(400 / (0.55 * n))) for n in range(40, 19, -2)}
+            return next((n for n, w in room.items() if len(_wrap(t, w)) * n * 1.3 <= 100), 20)
 
         return x.map(one)
 

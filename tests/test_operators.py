@@ -28,20 +28,20 @@ def test_text(spark):
 
 
 def fold(rows):
-    """Row by row: imputed values feed the next row."""
-    rows = [list(r) for r in rows]
-    for i, r in enumerate(rows):
-        if r[0] is not None:
-            continue
-        p = next((x[1] for x in reversed(rows[:i]) if x[1] is not None), None)
-        n = next((x[0] for x in rows[i + 1 :] if x[0] is not None), None)
-        if p is not None and n is not None and n - p > 0.3:
-            r[:] = [p + 0.05, n - 0.05]
-        elif p is not None:
-            r[:] = [p + 0.05, p + 1.5]
-        elif n is not None:
-            r[:] = [max(0.0, n - 1.5), n - 0.05]
-    return [(a, a + 0.8 if a is not None and (b is None or b <= a) else b) for a, b in rows]
+    """Row by row, carrying the last end; imputed values feed the next row. Starts ahead are looked up once."""
+    ahead, x = [], None
+    for a, _ in reversed(rows):
+        ahead.insert(0, x)
+        x = a if a is not None else x
+    out, p = [], None
+    for (a, b), x in zip(rows, ahead):
+        if a is None and p is not None:
+            a, b = p + 0.05, x - 0.05 if x is not None and x - p > 0.3 else p + 1.5
+        elif a is None and x is not None:
+            a, b = max(0.0, x - 1.5), x - 0.05
+        p = b if b is not None else p
+        out.append((a, a + 0.8 if a is not None and (b is None or b <= a) else b))
+    return out
 
 
 def test_fill_gaps_equals_the_fold(spark):
