@@ -173,13 +173,24 @@ def unpack(key: int, ranks, words) -> Profiles:
     return _FITTED[key]
 
 
-def fit(lines, plans) -> Profiles:
-    """Profiles from translated lines and the clean target language of their plan, at most SAMPLE lines."""
+def sample(df, key: str, rows: int, of: int):
+    """At most ``rows`` rows of ``df``, those with the smallest hashes of ``key``; ``of`` is about how many rows there are.
+
+    Hashes far beyond the place of the last one are dropped first, so that tasks send the driver what it needs and no more."""
     from pyspark.sql import functions as F
 
+    h = F.xxhash64(key)
+    share = 4 * rows / max(1, of)
+    if share < 1:
+        df = df.filter(h <= int(-(1 << 63) + share * (1 << 64)))
+    return df.orderBy(h, key).limit(rows)
+
+
+def fit(lines, plans) -> Profiles:
+    """Profiles from translated lines and the clean target language of their plan, at most SAMPLE lines."""
     t = lines.select("line_id", "plan_id", "translation").join(plans.select("plan_id", "target_lang"), "plan_id")
     t = t.filter("length(translation) >= 20 and target_lang is not null")
-    rows = t.orderBy(F.xxhash64("line_id"), "line_id").limit(SAMPLE).select("translation", "target_lang").collect()
+    rows = sample(t, "line_id", SAMPLE, lines.count()).select("translation", "target_lang").collect()
     return Profiles.fit([(r[0], r[1]) for r in rows])
 
 
