@@ -17,7 +17,7 @@ GREEK_TWINS = dict(zip("aopvuixktABEZHIKMNOPTYX", "αορνυιχκτΑΒΕΖΗ
 WIDTH = r"！-～￠-￦"
 LIGATURE = r"ﬀ-ﬆﬓ-ﬗĲĳ"
 ACCENT = r"̀-ͯ᪰-᫿᷀-᷿⃐-⃢⃤-⃿︠-︯"
-HIDDEN = r"­؜᠎​‌‎‏‪-‮⁠-⁤⁦-⁩﻿"
+HIDDEN = r"­؜᠎​‌‎‏‪-‮⁠-⁤⁦-⁩﻿ᅟᅠㅤ￹-￻"
 BLANK = r"   -   　"
 
 
