@@ -54,6 +54,7 @@ class Profiles:
         self._rows, self._miss = m, np.full(len(self.langs), miss)
         self._zero = np.zeros(len(self.langs))
         self._cache: dict[str, tuple[np.ndarray, float]] = {}
+        self._plain: dict[str, tuple[list[float], float, bool]] = {}
 
     @classmethod
     def fit(cls, rows) -> "Profiles":
@@ -86,6 +87,25 @@ class Profiles:
             hit = self._cache[w] = (v, float(v.min()))
         return hit
 
+    def totals(self, found: list[str]) -> tuple[list[float], int]:
+        """(log places of some words summed for each language, how many of them have a language): tokens() for short texts."""
+        rows = []
+        known, cache = self.words, self._plain
+        for i, raw in enumerate(found):
+            w = raw.lower().replace("’", "'")
+            if w[0].isdigit() or w in SOUNDS and any(x.lower() in SOUNDS for x in (*found[max(0, i - 1) : i], *found[i + 1 : i + 2])):
+                continue
+            hit = cache.get(w)
+            if hit is None:
+                if len(cache) > 200_000:
+                    cache.clear()
+                v, best = self.word(w)
+                hit = cache[w] = (v.tolist(), best, w in known)
+            v, best, sure = hit
+            if sure or not (best > NAME or i and best > NAME - 2.5 and raw[0].isupper()):
+                rows.append(v)
+        return (list(map(sum, zip(*rows))) if rows else [0.0] * len(self.langs)), len(rows)
+
     def tokens(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
         """(words, their log places, which of them have a language). Names, sounds and numbers have none."""
         found = WORD.findall(text)
