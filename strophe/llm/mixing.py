@@ -25,8 +25,7 @@ def budgets(docs: DataFrame, targets: DataFrame) -> DataFrame:
     t = targets.filter("source is not null").dropDuplicates(["source"]).join(have, "source", "left")
     can = F.expr("try_divide(max_repeats * have, target_share)")
     t = t.withColumn("can", F.when((F.col("target_share") > 0) & (F.col("max_repeats") > 0) & (F.col("have") > 0), can))
-    total = t.agg(F.min("can").alias("total"))
-    t = t.join(F.broadcast(total))  # one row
+    t = t.withColumn("total", F.min("can").over(W.partitionBy()))  # mix_targets: a handful of rows, fixed
     budget = F.coalesce(F.when(F.col("can").isNotNull(), F.floor(F.col("total") * F.col("target_share") + 1e-6)), F.lit(0).cast("bigint"))
     t = t.withColumn("budget", F.least(budget, F.coalesce(F.col("max_repeats") * F.col("have"), F.lit(0))).cast("bigint"))
     t = t.withColumn("epochs", F.coalesce(F.expr("try_divide(budget - budget % have, have)"), F.lit(0)).cast("int"))

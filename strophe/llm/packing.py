@@ -116,8 +116,10 @@ def pack(sizes: DataFrame, packs: DataFrame) -> DataFrame:
     from ..session import cut
 
     sizes = cut(sizes.select("doc_id", "tokens"))
-    p = packs.filter("capacity_tokens > 0").select("pack_name", F.col("capacity_tokens").cast("bigint").alias("c")).distinct()
-    x = sizes.join(F.broadcast(p))  # pack_sizes: a handful of rows, fixed
+    # pack_sizes: a handful of rows, fixed
+    p = [tuple(r) for r in packs.filter("capacity_tokens > 0").select("pack_name", F.col("capacity_tokens").cast("bigint")).distinct().collect()]
+    each = F.array(*(F.struct(F.lit(n).alias("pack_name"), F.lit(c).cast("bigint").alias("c")) for n, c in sorted(p, key=str)))
+    x = sizes.withColumn("p", F.explode(each.cast("array<struct<pack_name: string, c: bigint>>"))).select("doc_id", "tokens", "p.*")
     x = x.withColumns({"full": F.when(F.col("tokens") > F.col("c"), F.floor(F.col("tokens") / F.col("c"))).otherwise(0)})
     x = x.withColumn("rest", F.col("tokens") - F.col("full") * F.col("c"))
     # the histogram has at most as many rows as the capacities add up to
