@@ -140,7 +140,7 @@ def measure(text: str | None) -> tuple[int, int, int, float, list[str]]:
 def measured(docs: DataFrame) -> DataFrame:
     """(doc_id, host, total, evident, bare, repeated, phrases) of every document; phrases are hashes, each with its number.
 
-    A phrase is only listed where bare parts make up a tenth of a page or more: below that they can't decide.
+    Every bare phrase is listed, however little of its page it is: it can decide beside evident parts, and it counts for its host.
     """
     import pandas as pd
 
@@ -149,7 +149,7 @@ def measured(docs: DataFrame) -> DataFrame:
             rows = []
             for i, h, t in zip(b["doc_id"], b["host"], b["text"]):
                 total, ev, bare, rep, ph = measure(t if isinstance(t, str) else None)
-                c = Counter(xxhash.xxh64_intdigest(x) - (1 << 63) for x in ph) if 10 * bare >= total else {}
+                c = Counter(xxhash.xxh64_intdigest(x) - (1 << 63) for x in ph)
                 rows.append((i, h, total, ev, bare, rep, list(c), list(c.values())))
             yield pd.DataFrame(rows, columns=["doc_id", "host", "total", "evident", "bare", "repeated", "phrase", "times"])
 

@@ -38,3 +38,23 @@ def test_replicated_phrases(spark):
     page = "\n".join(f"alpha{i} beta{i} gamma{i}" for i in range(40))
     own = "\n".join(f"delta{i} epsilon{i} zeta{i}" for i in range(40))
     assert flags(spark, [(0, page), (1, page), (2, page), (7, own)]) == {0, 1, 2}
+
+
+def few_bare(i):
+    """A page with evident parts of less than a half, bare ones of less than a tenth, and prose."""
+    return "\n".join(["alpha%s beta%s gamma%s delta%s epsilon%s zeta%s" % (*"kmprst",), f"https://shop.x{i}.example/" + "a" * 255, (PATENT * 2)[:300]])
+
+
+def test_few_replicated_phrases_decide_beside_evident_parts(spark):
+    total, ev, bare, rep, _ = spam.measure(few_bare(0))
+    assert ev <= spam.SHARE * total < ev + bare and 10 * bare < total and rep == 0
+    assert flags(spark, [(i, few_bare(i)) for i in range(3)]) == {0, 1, 2}
+
+
+def test_few_phrases_count_for_their_hosts(spark):
+    """A page is stitched from phrases that other hosts hold among much prose."""
+    page = "\n".join(f"alpha{i} beta{i} gamma{i}" for i in range(40))
+    docs = [(0, page), (1, PATENT * 80 + "\n" + page), (2, PATENT * 80 + "\n" + page)]
+    total, _, bare, _, _ = spam.measure(docs[1][1])
+    assert 10 * bare < total
+    assert flags(spark, docs) == {0}
