@@ -184,10 +184,14 @@ def _cyrillic(text: str) -> float:
     return odd + max(0.0, sum(r) / len(r) - 11.0) * n / 8 + (max(0.0, 0.58 - sum(near) / len(near)) * n / 2 if near else 0.0)
 
 
+def _is_cyrillic(w: str) -> bool:
+    return "Ѐ" <= w[0] < "԰" or "Ѐ" <= w[-1] < "԰"
+
+
 def cost(words: tuple[str, ...]) -> float:
     """Cost of a line given by its words beyond ASCII."""
     out = sum(map(word_cost, words))
-    own = [w for w in words if ("Ѐ" <= w[0] < "԰" or "Ѐ" <= w[-1] < "԰") and not any(c.isascii() and c.isalpha() for c in w)]
+    own = [w for w in words if _is_cyrillic(w) and not any(c.isascii() and c.isalpha() for c in w)]
     return out + _cyrillic(" ".join(own)) if own else out
 
 
@@ -324,8 +328,8 @@ def garbled_lines(text: str | None) -> list[tuple[int, tuple[str, ...], bool]]:
     else:
         words = set(_NON_ASCII.findall(text))
         if not any(map(word_cost, words)) and not _ESCAPE.search(text):
-            up = sum(map(str.isupper, words))
-            if 2 * up < len(words) or not any("\u0410" <= w[0] < "\u0460" for w in words):
+            # without Cyrillic words no line can cost anything; with them each line has to be seen by itself
+            if not any(map(_is_cyrillic, words)):
                 return []
     out, unsure = [], []
     for i, line in enumerate(text.split("\n")):

@@ -40,6 +40,14 @@ def test_decoded_wrongly_twice():
     assert E.restore(bad) == (text, True)
 
 
+def test_one_line_among_good_cyrillic_ones():
+    good = "\n".join(["Снова дождь идёт за окном", "Я тебя люблю и жду", "Мы с тобой одни"] * 3)
+    line = "Я иду домой"
+    bad = line.encode("koi8-r").decode("cp1251")
+    assert E.restore(f"{good}\n{bad}") == (f"{good}\n{line}", True)
+    assert not E.is_garbled(f"{good}\n{line}") and not E.is_garbled(f"{good}\nЯ ЛЮБЛЮ ТЕБЯ, МОСКВА")
+
+
 def test_lost_bytes_are_found_but_not_whole():
     assert E.restore("Br�cke") == ("Br�cke", False)
 
