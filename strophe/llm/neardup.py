@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from . import golay
 
 #: Bits of 64 in which the sketches of a pair may differ. At a similarity of 0.6 they differ in 12.8 on average with a
-#: deviation of 3.2; texts without common shingles in 32. Two in a thousand pairs right at 0.6 differ in more, none at 0.7.
-APART = 22
+#: deviation of 3.2; texts without common shingles in 32. One in eight thousand pairs right at 0.6 differs in more, none at 0.7.
+APART = 25
 #: Segments of the fingerprint, and least shingles that join a segment in its keys.
 SEGMENTS, ANCHORS = 24, 3
 

@@ -1,3 +1,4 @@
+import math
 import random
 from itertools import combinations
 
@@ -80,3 +81,8 @@ def test_recall_on_the_test_data(spark, data):
 
     t = spark.read.parquet(f"{data}/lrclib.parquet").select("lrclib_id", "plainlyrics").dropDuplicates(["lrclib_id"]).collect()
     assert set(map(tuple, p3_found(spark, data).collect())) == brute([tuple(x) for x in t])
+
+
+def test_sketches_hardly_ever_part_pairs_at_the_threshold():
+    """Each of the 64 bits of a pair of similarity 0.6 differs with a probability of 0.2."""
+    assert sum(math.comb(64, k) * 0.2**k * 0.8 ** (64 - k) for k in range(neardup.APART + 1, 65)) < 2e-4
