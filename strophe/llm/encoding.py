@@ -256,8 +256,9 @@ def steps(text: str) -> Iterator[tuple[str, str]]:
                 yield f"{shown}>{real}", t
 
 
-def search(text: str, most: int = 24) -> tuple[str, float, float, tuple[str, ...]]:
-    """Best-first search from a text: the cheapest text reached, its cost, the cost of the start, the steps.
+def search(text: str, most: int = 24) -> tuple[str, float, float, tuple[str, ...], bool]:
+    """Best-first search from a text: the cheapest text reached, its cost, the cost of the start, the steps, and whether
+    a limit ended the search while the text still costs more than its steps.
 
     ``most`` bounds the states that are expanded; a state is visited once.
     """
@@ -269,6 +270,7 @@ def search(text: str, most: int = 24) -> tuple[str, float, float, tuple[str, ...
     seen = {hash(text)}
     heap: list[tuple[float, int, str, tuple[str, ...]]] = [(start, 0, text, ())]
     k = 0
+    short = False
     while heap and most:
         most -= 1
         c, _, t, path = heapq.heappop(heap)
@@ -277,13 +279,15 @@ def search(text: str, most: int = 24) -> tuple[str, float, float, tuple[str, ...
         if c <= STEP_COST * len(path) and path:
             break
         if len(path) >= 4:
+            short = True
             continue
         for name, u in steps(t):
             if hash(u) not in seen:
                 seen.add(hash(u))
                 k += 1
                 heapq.heappush(heap, (of(u) + STEP_COST * (len(path) + 1), k, u, (*path, name)))
-    return best[1], best[0], start, best[2]
+    rest = best[0] - STEP_COST * len(best[2])
+    return best[1], best[0], start, best[2], (short or bool(heap)) and rest > 1e-9
 
 
 #: Steps between two Cyrillic pages: the script stays, so they need twice the gain.
@@ -295,13 +299,13 @@ def _line(words: tuple[str, ...]) -> tuple[bool, tuple[str, ...], bool]:
     """(is garbled, the steps that mend it, whether every word comes back) of a line's words beyond ASCII."""
     if any("�" in w for w in words):
         return True, (), False
-    _, c, start, path = search("\n".join(words))
+    _, c, start, path, short = search("\n".join(words))
     need = GAIN
     if path[:1] in _CYRILLIC_STEPS:
         # the script stays, so letters that are merely rare are no proof: some word must be misshapen as well
         need = 2 * GAIN if any(map(word_cost, words)) or inverted(" ".join(words)) else 1e9
     if path and start - c >= need and c <= 0.6 * start:
-        return True, path, True
+        return True, path, not short
     return start >= 4 and any("\x80" <= x < "\xa0" for w in words for x in w), (), False
 
 
@@ -347,12 +351,12 @@ def garbled_lines(text: str | None) -> list[tuple[int, tuple[str, ...], bool]]:
         else:
             unsure.append((i, words, start))
     if out and unsure:
-        known = {p for _, p, w in out if w}
+        known = {p: w for _, p, w in out if p}
         for i, words, start in unsure:
             for p in known:
                 t = tuple(_apply(w, p) for w in words)
                 if t != words and cost(t) < start:
-                    out.append((i, p, True))
+                    out.append((i, p, known[p]))
                     break
     return out
 

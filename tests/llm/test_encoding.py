@@ -77,3 +77,12 @@ def test_found(spark):
     r = E.restored(df, "lrclib_id", ("plainlyrics", "syncedlyrics"))
     assert sorted(map(tuple, r.collect())) == [(1, "plainlyrics", "mañana", True), (2, "syncedlyrics", "mañana", True)]
     assert E.found(df.limit(0), "lrclib_id", ("plainlyrics", "syncedlyrics")).count() == 0
+
+
+def test_half_mended_is_not_whole():
+    """More layers than the search follows: found, but not reported as the original."""
+    bad = text = "Él olvida la mañana"
+    for _ in range(6):
+        bad = bad.encode().decode("latin-1")
+    got, whole = E.restore(bad)
+    assert E.is_garbled(bad) and got != text and not whole
