@@ -156,7 +156,10 @@ round(case when b is not null and len >= 0.15 then (a + b) / 2.0 * 0.1 when ns i
 round(least(coalesce(ns, 1e9), greatest(e, case when la is not null then least(la * 0.1, coalesce(ns, 1e9)) else e + least(0.15, wg / 2 + 0.02) end)), 6) as sing_end from r""")
 def win_annotate(s, d):
     """Pause after each line: the longer of a real silence and the gap to the next line, where to cut in it, and where
-    the singing ends. Frames of 0.1 s; a frame is quiet if no line of the plan covers it."""
+    the singing ends. Frames of 0.1 s; a frame is quiet if no line of the plan covers it.
+
+    As in the SQL, lines of 60 s or more or with a negative start cover no frame, and plans that end at 36,000 s or later have
+    no silence."""
     t = lines(s, d, "start_s", "end_s").select("plan_id", "i", "line_id", F.col("start_s").alias("s"), F.col("end_s").alias("e")).filter("s is not null and e is not null")
     w = W.partitionBy("plan_id").orderBy("i", "line_id")
     fl = lambda c: F.floor(c * 10)
