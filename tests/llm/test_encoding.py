@@ -2,6 +2,8 @@ import pytest
 
 from strophe.llm import encoding as E
 
+from .languages import LINES, SIGNS
+
 CLEAN = [
     "Él olvida la luz de la mañana entre las paredes por última vez",
     "Où est passé l'été? Ça, c'est créé à Noël, mon cœur",
@@ -79,10 +81,41 @@ def test_found(spark):
     assert E.found(df.limit(0), "lrclib_id", ("plainlyrics", "syncedlyrics")).count() == 0
 
 
-def test_half_mended_is_not_whole():
-    """More layers than the search follows: found, but not reported as the original."""
+def test_many_layers():
     bad = text = "Él olvida la mañana"
     for _ in range(6):
         bad = bad.encode().decode("latin-1")
-    got, whole = E.restore(bad)
-    assert E.is_garbled(bad) and got != text and not whole
+    assert E.restore(bad) == (text, True)
+
+
+ALL = [line for lines in LINES.values() for line in lines]
+
+
+@pytest.mark.parametrize("text", [*ALL, *SIGNS, *("\n".join(x) for x in LINES.values())])
+def test_correct_text_of_any_language_is_no_case(text):
+    assert not E.is_garbled(text) and E.restore(text) == (text, True)
+
+
+@pytest.mark.parametrize("page", ["cp1252", "latin-1", "cp1251", "cp1253", "cp1254", "mac_roman", "cp437", "cp850"])
+def test_utf8_shown_in_a_page_in_any_language(page):
+    shown = E._decoder(page)
+    right = 0
+    for text in ALL:
+        bad = "".join(chr(b) if b < 128 else shown[b] for b in text.encode())
+        assert E.is_garbled(bad) or text.isascii(), text
+        right += E.restore(bad) == (text, True)
+    assert right >= 0.9 * len(ALL)  # two pages show some letters alike
+
+
+def test_the_search_decides(monkeypatch):
+    """Without steps nothing is reachable, and nothing but lost bytes is found."""
+    monkeypatch.setattr(E, "steps", lambda *a: iter(()))
+    E._line.cache_clear()
+    assert not E.is_garbled("maÃ±ana corazÃ³n") and E.is_garbled("Br\ufffdcke")
+    E._line.cache_clear()
+
+
+def test_letters_foreign_to_the_mended_lines():
+    text = "Quizás no puedo más\nEl último tren está, corazón\nmil pájaros"
+    bad = text.encode("cp1252").decode("cp850")
+    assert E.restore(bad)[0] == text
