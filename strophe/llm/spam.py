@@ -1,15 +1,17 @@
 """Pages of repeated keywords, links, headings of other pages or product tags.
 
-Two kinds of evidence are joined. List density: a text is cut into prose and list parts by its function words
-and marks; list parts that carry links, tags, prices or page paths are evident, those that are a document's own
-(numerals, references, sequences, values, figures) are none, the rest are bare phrases. Replication: the shingles
-of bare phrases are counted by the distinct hosts (applicants, else sources) whose pages have them; bare parts
-count where most of their phrases are found on pages of other hosts, or come again and again on the page itself.
+Two kinds of evidence have to meet. List density: a text is cut into parts, and those without sentences (by their function
+words) are lists; lists that are a document's own (numerals, references, sequences, values, figures) are none. Replication: the
+items of lists become phrases, shingles of at most SHINGLE words in which links, tags, prices and numbers stand for themselves, and the phrases of
+every page are counted by the distinct hosts (applicants, else sources) whose pages have them, each also with one or two words left open, as an
+item may carry a name or a choice of words that no other page has (lists of links, prices and the like also by their form alone). A list is stitched where most of its items have a phrase of HOSTS or more hosts; a
+page is spam if stitched lists, and bare phrases it repeats itself, are more than SHARE of it.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from itertools import combinations
 
 import regex
 import xxhash
@@ -18,12 +20,14 @@ from pyspark.sql import functions as F
 
 #: Longest shingle of a phrase in words, share of a page that makes it a case.
 SHINGLE, SHARE = 5, 0.5
-#: Distinct hosts that make a phrase replicated, share of replicated phrases that makes a part stitched.
+#: Distinct hosts that make a phrase replicated, share of replicated items that makes a part stitched.
 HOSTS, STITCHED = 3, 0.5
+#: Parts into which a phrase that much of the collection has is split where pages look up its hosts.
+SALTS = 8
 #: Least share of function words in prose.
 PROSE = 0.07
 
-# Function words of the languages of the collection.
+# Function words of the languages patents are written in.
 FUNCTION = frozenset(
     "the a an of is and to in which that from one at by with be can has have as it on for so when between are or than into its may each not without before after while "
     "der die das den dem des ein eine einer einem eines und ist zu in an auf mit von für wird werden als so nicht sich durch nach bei aus um über oder bis wenn einen wobei nach daß dass "
@@ -33,29 +37,21 @@ FUNCTION = frozenset(
 _WORD = regex.compile(r"[\p{L}\p{N}]+(?:['’_-][\p{L}\p{N}]+)*")
 #: A heading of a patent's own, alone on its line.
 _HEADING = regex.compile(r"^[\p{Lu}\s]{4,40}$")
-_LINK = regex.compile(r"https?://\S+|\bwww\.\S+|\b[\w-]+(?:\.[\w-]+)*\.(?:test|example|invalid|com|net|org|info|biz|shop)\b(?:/\S*)?|\[[^\]\n]*\]\([^)\n]*\)")
-_TAG = regex.compile(r"#\p{L}[\p{L}\p{N}_]{3,}|\b(?:tag|cat|sku|cat\w*|label):\S+")
-_PRICE = regex.compile(r"\d+[.,]\d\d ?(?:EUR|USD|GBP|CHF|€|\$)|[€$£] ?\d")
+_LINK = regex.compile(r"\[[^\]\n]*\]\([^)\n]*\)|https?://\S+|\bwww\.\S+|(?<![\w.@])[\w-]{2,}(?:\.[\w-]{2,})*\.\p{Ll}{2,10}(?![\w.])(?:/\S*)?")
+_TAG = regex.compile(r"#\p{L}[\p{L}\p{N}_]{2,}|(?<![\w/])\p{L}[\p{L}_]+:[\p{L}\p{N}_](?!//)[^\s,;|]*")
+_PRICE = regex.compile(r"\d+[.,]\d\d ?(?:\p{Sc}|[A-Z]{3}\b)|\p{Sc} ?\d+(?:[.,]\d+)?")
 _PATH = regex.compile(r"[»›]|\(\d{1,4}\)\s*(?:[;|,-]|$)|\s(?:>|::|→)\s")
 _OWN = regex.compile(
     r"\b(?:FIG|Fig|Abb|Figura?|figure|Figur|figura|Tab|Table|Tabelle|Tableau|Tabla)\.?\s*\d+|\b[A-Z]{2}[ -]?\d{5,}(?: ?[A-Z]\d?)?\b|\b[acgtun]{8,}\b|\b[ACGTUN]{8,}\b|\b(?:SEQ ID|INT\. CL|IPC)\b|\[\d{4}\]"
 )
 _NUMBER = regex.compile(r"(?<![\p{L}\d])\d+(?:[.,]\d+)*(?![\p{L}\d])")
 _CUT = regex.compile(r"\n+|(?<=[.!?])\s+(?=\p{Lu}|\[)")
+_MARKED = regex.compile(r"[:»›#]|\]\(|\p{Sc}|\w\.\w\w|\d [A-Z]{3}\b")
 
 
 def parts(text: str) -> list[tuple[str, str]]:
     """(kind, part) of a text in order; kind is prose, evident, own or bare."""
-    out = []
-    for seg in _CUT.split(text):
-        seg = seg.strip()
-        if not seg:
-            continue
-        out.append((kind(seg), seg))
-    return out
-
-
-_MARKS = ("://", "www.", "](", "#", "»", "›", "tag:", "sku", "EUR", "€", "$", ".test", ".com", ".org", ".net")
+    return [(kind(x), x) for seg in _CUT.split(text) if (x := seg.strip())]
 
 
 def kind(seg: str) -> str:
@@ -63,11 +59,13 @@ def kind(seg: str) -> str:
     n = len(ws)
     f = sum(map(FUNCTION.__contains__, ws))
     prose = n >= 4 and f >= max(1, (PROSE if n >= 14 else 2 * PROSE) * n) and (f >= 2 or n < 14)
-    if prose and not any(m in seg for m in _MARKS):
+    marks = _MARKED.search(seg)
+    if prose and not marks:
         return "prose"
-    marked = sum(len(m[0]) for p in (_LINK, _TAG, _PRICE) for m in p.finditer(seg))
-    if marked * 3 >= len(seg) or len(_PATH.findall(seg)) * 40 >= len(seg) and _PATH.search(seg) or _PRICE.search(seg) and len(_PRICE.findall(seg)) * 60 >= len(seg):
-        return "evident"
+    if marks or ">" in seg or "→" in seg or "(" in seg:
+        marked = sum(len(m[0]) for p in (_LINK, _TAG, _PRICE) for m in p.finditer(seg))
+        if marked * 3 >= len(seg) or len(_PATH.findall(seg)) * 40 >= len(seg) and _PATH.search(seg) or _PRICE.search(seg) and len(_PRICE.findall(seg)) * 60 >= len(seg):
+            return "evident"
     ws = _WORD.findall(seg)
     if not ws:
         return "own"
@@ -83,16 +81,35 @@ def kind(seg: str) -> str:
     return "bare"
 
 
-def phrases(seg: str) -> list[str]:
-    """The phrases of a bare part: its items, if it is a list of short items, else its runs of SHINGLE words."""
-    items = [i for i in regex.split(r"[|;,•·\n!?.:]+|\s[-–—*]\s", seg.lower()) if i.strip()]
-    ws = [_WORD.findall(i) for i in items]
+#: What stands for a link, a price, a tag and a number, whatever they say; an item ends with a link or a price.
+LINK, PRICE, TAG, NUMBER = map(chr, range(0xE001, 0xE005))
+_SHAPES = (
+    (regex.compile(r"\[([^\]\n]*)\]\([^)\n]*\)"), rf" \1 {LINK} | "), (_LINK, f" {LINK} | "), (_PRICE, f" {PRICE} | "), (_TAG, f" {TAG} "), (regex.compile(r"(?:\p{L}+-)?\d[\d.,]*"), f" {NUMBER} "),
+)
+_ITEMS = regex.compile(rf"[|;,•·\n!?]+|\.(?=\s|$)|\s[-–—*»]\s|(?<=\))\s|(?<={NUMBER})\s+(?=\p{{L}})|^\W+(?=\w)")
+_SHAPED = regex.compile(rf"\p{{L}}+(?:['’_-]\p{{L}}+)*|[{LINK}-{NUMBER}]")
+
+
+def items(seg: str) -> list[list[str]]:
+    """The items of a list part as words; links, prices, tags and numbers are one sign each, whatever they say."""
+    for p, to in _SHAPES:
+        seg = p.sub(to, seg)
+    return [w for i in _ITEMS.split(seg.lower()) if i and (w := _SHAPED.findall(i))]
+
+
+def phrases(item: list[str], bare: bool = True) -> list[str]:
+    """The phrases of an item: its shingle, or all of SHINGLE words of a longer one, each also with one or two words left
+    open while two others remain; unless the item is bare, also with all of its words left open, which leaves its form."""
     out = []
-    for w in ws:
-        if 0 < len(w) <= SHINGLE:
-            out.append(" ".join(w))
-        else:
-            out += [" ".join(w[i : i + SHINGLE]) for i in range(len(w) - SHINGLE + 1)]
+    for k in range(max(1, len(item) - SHINGLE + 1)):
+        w = item[k : k + SHINGLE]
+        out.append(" ".join(w))
+        at = [i for i, x in enumerate(w) if x < LINK]
+        if not bare and 0 < len(at) < len(w):
+            out.append(" ".join("*" if x < LINK else x for x in w))
+        for n in (1, 2):
+            if len(w) - n >= 2:
+                out += [" ".join("*" if i in o else x for i, x in enumerate(w)) for o in combinations(at, n)]
     return out
 
 
@@ -104,43 +121,69 @@ def repeats(bare: str) -> float:
 
 
 _ITEM = regex.compile(r"^\W*(?:\p{L}[\p{L}'’_-]*\s+){1,4}?(\p{L}[\p{L}'’_-]*)\s+#?\d{1,6}\W*$")
-_ITEMS = regex.compile(r"[|;,•·\n]+|\s[-–—*]\s")
+_LIST = regex.compile(r"[|;,•·\n]+|\s[-–—*]\s")
 
 
-def catalogue(own: list[str], prose: list[str]) -> int:
-    """Characters of lists of numbered articles: six or more items that end in a name and a number, the names
+def catalogue(own: list[str], prose: list[str]) -> list[str]:
+    """The parts that are lists of numbered articles: six or more items that end in a name and a number, the names
     differing from item to item and hardly ever met in the page's prose, as the parts of a patent's own list are."""
-    names, size = [], 0
+    names, out = [], []
     for seg in own:
-        items = [i for i in _ITEMS.split(seg) if i.strip()]
-        hits = [m[1].lower() for i in items if (m := _ITEM.match(i))]
-        if hits and 2 * len(hits) >= len(items):
+        each = [i for i in _LIST.split(seg) if i.strip()]
+        hits = [m[1].lower() for i in each if (m := _ITEM.match(i))]
+        if hits and 2 * len(hits) >= len(each):
             names += hits
-            size += len(seg)
+            out.append(seg)
     if len(names) < 6 or len(set(names)) < 0.7 * len(names):
-        return 0
+        return []
     told = {w.lower() for s in prose for w in _WORD.findall(s)}
-    return size if sum(n in told for n in names) <= 0.3 * len(names) else 0
+    return out if sum(n in told for n in names) <= 0.3 * len(names) else []
+
 
+def measure(text: str | None) -> tuple[int, float, list[tuple[bool, int, list[tuple[int, list[str]]]]]]:
+    """(characters, share of repeated words in bare parts, lists) of a text; a list is (is bare, characters, [(times, phrases) of each item]).
 
-def measure(text: str | None) -> tuple[int, int, int, float, list[str]]:
-    """(characters, evident ones, bare ones, share of repeated words in bare parts, phrases of bare parts)."""
+    Lists of one kind and of few items are taken together, as links or keywords often stand alone on their lines.
+    """
     if not text:
-        return 0, 0, 0, 0.0, []
+        return 0, 0.0, []
     ps = parts(text)
     total = sum(len(s) for _, s in ps)
-    ev = sum(len(s) for k, s in ps if k == "evident")
     own = [s for k, s in ps if k == "own"]
+    evident = [s for k, s in ps if k == "evident"]
     if sum(map(len, own)) > 100:
-        ev += catalogue(own, [s for k, s in ps if k == "prose"])
+        evident += catalogue(own, [s for k, s in ps if k == "prose"])
     bare = [s for k, s in ps if k == "bare"]
-    return total, ev, sum(map(len, bare)), repeats("\n".join(bare)), [x for s in bare for x in phrases(s)]
+    lists = []
+    for is_bare, segs in ((False, evident), (True, bare)):
+        for group in grouped(segs):
+            c = Counter(tuple(i) for s in group for i in items(s))
+            lists.append((is_bare, sum(map(len, group)), [(n, phrases(list(i), is_bare)) for i, n in c.items()]))
+    return total, repeats("\n".join(bare)), lists
+
+
+#: Characters that are judged together at least.
+TOGETHER = 400
+
+
+def grouped(segs: list[str]) -> list[list[str]]:
+    """Parts in order in groups of TOGETHER characters or more."""
+    out: list[list[str]] = []
+    room = 0
+    for s in segs:
+        if room <= 0:
+            out.append([])
+            room = TOGETHER
+        out[-1].append(s)
+        room -= len(s)
+    return out
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """(doc_id, host, total, evident, bare, repeated, phrases) of every document; phrases are hashes, each with its number.
+    """(doc_id, host, total, repeated, lists, phrase, at, item) of every document: its lists as (number, bare, characters, items), and
+    the hash of each phrase with the number of its list and its item.
 
-    Every bare phrase is listed, however little of its page it is: it can decide beside evident parts, and it counts for its host.
+    Every phrase of every list is listed, however little of its page it is: it counts for its host.
     """
     import pandas as pd
 
@@ -148,32 +191,50 @@ def measured(docs: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for i, h, t in zip(b["doc_id"], b["host"], b["text"]):
-                total, ev, bare, rep, ph = measure(t if isinstance(t, str) else None)
-                c = Counter(xxhash.xxh64_intdigest(x) - (1 << 63) for x in ph)
-                rows.append((i, h, total, ev, bare, rep, list(c), list(c.values())))
-            yield pd.DataFrame(rows, columns=["doc_id", "host", "total", "evident", "bare", "repeated", "phrase", "times"])
+                total, rep, lists = measure(t if isinstance(t, str) else None)
+                ph, at, item, times, k = [], [], [], [], 0
+                for j, (_, _, its) in enumerate(lists):
+                    for n, phs in its:
+                        for x in set(phs):
+                            ph.append(xxhash.xxh64_intdigest(x) - (1 << 63))
+                            at.append(j)
+                            item.append(k)
+                            times.append(n)
+                        k += 1
+                rows.append((i, h, total, rep, [x[0] for x in lists], [x[1] for x in lists], [sum(n for n, _ in x[2]) for x in lists], ph, at, item, times))
+            yield pd.DataFrame(rows, columns=["doc_id", "host", "total", "repeated", "bare", "chars", "items", "phrase", "at", "item", "times"])
 
     src = docs.filter("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("applicant", "source", F.lit("")).alias("host"), "text")
-    return src.mapInPandas(run, "doc_id bigint, host string, total bigint, evident bigint, bare bigint, repeated double, phrase array<bigint>, times array<bigint>")
+    return src.mapInPandas(
+        run, "doc_id bigint, host string, total bigint, repeated double, bare array<boolean>, chars array<bigint>, items array<bigint>, phrase array<bigint>, at array<int>, item array<int>, times array<bigint>"
+    )
 
 
 def scored(docs: DataFrame) -> DataFrame:
-    """(doc_id, density, evident, bare, repeated, stitched, spam) of every document; shares of its characters.
+    """(doc_id, listed, stitched, repeated, density, spam) of every document; shares of its characters.
 
-    Null and empty texts have shares of 0 and are no spam. ``stitched`` is the share of a page's bare phrases that
-    pages of HOSTS or more hosts have. Phrases are counted once a host before they are counted over hosts, so a phrase that
-    much of the collection has is no hot key.
+    ``listed`` is the share of lists, ``stitched`` that of lists most items of which have a phrase on pages of HOSTS or more
+    hosts, ``repeated`` the share of repeated words in bare parts; ``density``, stitched lists and bare parts the page repeats, decides.
+    Null and empty texts have shares of 0 and are no spam. Phrases are counted once a host before they are counted over hosts, and pages
+    look up replicated phrases in SALTS parts, so a phrase that much of the collection has is no hot key.
     """
     from ..session import cut
 
-    m = cut(measured(docs))
-    e = m.filter("size(phrase) > 0").select("doc_id", "host", F.explode(F.arrays_zip("phrase", "times")).alias("p")).select("doc_id", "host", "p.phrase", "p.times")
-    hosts = e.select("phrase", "host").distinct().groupBy("phrase").agg(F.count(F.lit(1)).alias("hosts"))
-    j = e.join(hosts, "phrase").groupBy("doc_id").agg((F.sum(F.when(F.col("hosts") >= HOSTS, F.col("times")).otherwise(0)) / F.sum("times")).alias("stitched"))
-    share = lambda c: F.round(F.coalesce(F.expr(f"try_divide({c}, total)"), F.lit(0.0)), 6)
-    out = m.join(j, "doc_id", "left").select("doc_id", share("evident").alias("evident"), share("bare").alias("bare"), F.round("repeated", 6).alias("repeated"), F.round(F.coalesce("stitched", F.lit(0.0)), 6).alias("stitched"))
-    counts = (F.col("stitched") >= STITCHED) | (F.col("repeated") >= STITCHED)
-    out = out.withColumn("density", F.round(F.col("evident") + F.when(counts, F.col("bare")).otherwise(0.0), 6))
+    m = cut(measured(docs).dropDuplicates(["doc_id"]))
+    e = m.filter("size(phrase) > 0").select("doc_id", "host", F.explode(F.arrays_zip("phrase", "at", "item", "times")).alias("p")).select("doc_id", "host", "p.*")
+    hosts = e.select("phrase", "host").distinct().groupBy("phrase").agg(F.count(F.lit(1)).alias("hosts")).filter(F.col("hosts") >= HOSTS)
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+    common = hosts.select("phrase", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    met = e.withColumn("salt", salt).join(common, ["phrase", "salt"]).groupBy("doc_id", "at", "item").agg(F.max("times").alias("times"))
+    j = met.groupBy("doc_id", "at").agg(F.sum("times").alias("met"))
+    lists = m.select("doc_id", "total", "repeated", F.posexplode_outer(F.arrays_zip("bare", "chars", "items")).alias("at", "l")).select("doc_id", "total", "repeated", "at", "l.*")
+    x = lists.join(j, ["doc_id", "at"], "left")
+    stitched = F.coalesce(F.col("met") >= STITCHED * F.col("items"), F.lit(False))
+    counts = stitched | (F.col("bare") & (F.col("repeated") >= STITCHED))
+    share = lambda c: F.round(F.coalesce(F.try_divide(F.coalesce(F.sum(c), F.lit(0)), F.max("total")), F.lit(0.0)), 6)
+    out = x.groupBy("doc_id").agg(
+        share(F.col("chars")).alias("listed"), share(F.when(stitched, F.col("chars"))).alias("stitched"), F.round(F.max("repeated"), 6).alias("repeated"), share(F.when(counts, F.col("chars"))).alias("density")
+    )
     return out.withColumn("spam", F.col("density") > SHARE)
 
 

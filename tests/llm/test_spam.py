@@ -2,59 +2,98 @@ from strophe.llm import spam
 
 PATENT = "The flexible rotor 10 is mounted on the bearing 112 and extends along its longitudinal axis. As shown in FIG. 3, the valve engages the housing when pressure rises above 16 kPa. "
 OWN = "\n".join(["10 rotor", "112 bearing", "FIG. 3: valve", "YV 2152290 B2 (Fenkirbo)", "71.6 | 509 | flexible", "ggcagatttt gggacactct gctacagggc"])
-SPAM = {
-    "links": "\n".join(f"https://shop.x{i}.example/a/b{i}" for i in range(20)),
-    "tags": " | ".join(f"tag:valve cat:cheap sku:{i}" for i in range(30)),
-    "hash": ", ".join(f"#valvecheap{i}" for i in range(40)),
-    "prices": " - ".join(f"LENS XAN-{i} {i},99 EUR" for i in range(30)),
-    "words": "valve cheap hinge quality valve bearing hinge bracket cheap valve rotor cheap bracket rotor valve hinge cheap quality rotor bracket valve hinge bearing cheap " * 4,
-    "catalogue": "\n".join(f"Drive belt {a}{b} {100 + i}" for i, (a, b) in enumerate((x, y) for x in ("lusk", "dar", "zel") for y in ("gren", "wick", "fi", "mor"))),
-    "paths": "\n".join(f"valve lusk{i} › supplier › www.fen{i}.test" for i in range(15)),
-}
-
-
-def flags(spark, docs):
-    df = spark.createDataFrame([(i, t, "h%d" % (i % 4), "s", 1) for i, t in docs], "doc_id bigint, text string, applicant string, source string, total int")
+NAMES = [a + b + c for a in ("lusk", "dar", "zel", "mor") for b in ("gren", "wick", "fi", "mor") for c in ("bo", "tir", "ka")]
+
+
+def spam_page(kind, k):
+    """A page of one kind; k varies its names and numbers, so that no two pages share them."""
+    n = NAMES[k:] + NAMES[:k]
+    return {
+        "links": "\n".join(f"https://shop.{n[i]}x{i}.example/a/b{i}" for i in range(20)),
+        "tags": " | ".join(f"tag:{n[i]} cat:cheap sku:{i * k}" for i in range(30)),
+        "hash": ", ".join(f"#{n[i]}cheap{i}" for i in range(30)),
+        "prices": " - ".join(f"LENS XAN-{i * k} {i},99 EUR" for i in range(30)),
+        "words": "valve cheap hinge quality valve bearing hinge bracket cheap valve rotor cheap bracket rotor valve hinge cheap quality rotor bracket valve hinge bearing cheap " * 4,
+        "catalogue": "\n".join(f"Drive belt {n[i]} {100 + i}" for i in range(14)),
+        "paths": "\n".join(f"valve {n[i]} › supplier › www.{n[i + 1]}.test" for i in range(15)),
+    }[kind]
+
+
+KINDS = ("links", "tags", "hash", "prices", "words", "catalogue", "paths")
+
+
+def flags(spark, docs, hosts=4):
+    df = spark.createDataFrame([(i, t, "h%d" % (i % hosts), "s", 1) for i, t in docs], "doc_id bigint, text string, applicant string, source string, total int")
     return {r.doc_id for r in spam.found(df).collect()}
 
 
 def test_kinds(spark):
-    docs = list(enumerate(SPAM.values()))
-    docs += [(100, PATENT * 5), (101, PATENT * 3 + "\n" + OWN), (102, None), (103, ""), (104, "Valve / bracket"), (105, PATENT * 9 + "\n" + SPAM["links"][:300]), (106, PATENT + "\n" + SPAM["links"] * 2)]
-    assert flags(spark, docs) == set(range(len(SPAM))) | {106}
+    docs = [(4 * j + k, spam_page(kind, k)) for j, kind in enumerate(KINDS) for k in range(4)]
+    links = spam_page("links", 1)
+    docs += [(100, PATENT * 5), (101, PATENT * 3 + "\n" + OWN), (102, None), (103, ""), (104, "Valve / bracket"), (105, PATENT * 9 + "\n" + links[:300]), (106, PATENT + "\n" + links * 2)]
+    assert flags(spark, docs) == set(range(4 * len(KINDS))) | {106}
+
+
+def test_hosts_decide(spark):
+    """The same pages of one host: no list is stitched from what others have, and only repetition on the page remains."""
+    docs = [(4 * j + k, spam_page(kind, k)) for j, kind in enumerate(KINDS) for k in range(4)]
+    assert flags(spark, docs, hosts=1) == {i for i, _ in docs if KINDS[i // 4] == "words"}
+
+
+def test_own_lists_are_no_case(spark):
+    docs = [(i, PATENT + "\n" + "\n".join([OWN] * 6)) for i in range(6)]
+    assert flags(spark, docs) == set()
 
 
 def test_long_and_repeated(spark):
-    docs = [(1, SPAM["words"] * 400), (1, SPAM["words"] * 400), (2, PATENT * 2000)]
-    assert flags(spark, docs) == {1}
+    w = spam_page("words", 0)
+    assert flags(spark, [(1, w * 400), (1, w * 400), (2, PATENT * 2000)]) == {1}
+
+
+def test_hot_phrase(spark):
+    """One phrase on every page."""
+    docs = [(i, "\n".join(["https://a.example/x"] * 10)) for i in range(200)]
+    assert flags(spark, docs) == set(range(200))
 
 
 def test_empty(spark):
     assert flags(spark, []) == set()
+    rows = [(None, "x", None, None), (1, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, applicant string, source string")
+    assert [tuple(r) for r in spam.scored(df).collect()] == [(1, 0.0, 0.0, 0.0, 0.0, False)]
 
 
 def test_replicated_phrases(spark):
     """Bare phrases without repetition on the page count where pages of other hosts have them, not otherwise."""
-    page = "\n".join(f"alpha{i} beta{i} gamma{i}" for i in range(40))
-    own = "\n".join(f"delta{i} epsilon{i} zeta{i}" for i in range(40))
+    page = "\n".join(f"alpha{i} beta{i} gamma{i}".translate(str.maketrans("0123456789", "abcdefghij")) for i in range(40))
+    own = "\n".join(f"delta{i} epsilon{i} zeta{i}".translate(str.maketrans("0123456789", "abcdefghij")) for i in range(40))
     assert flags(spark, [(0, page), (1, page), (2, page), (7, own)]) == {0, 1, 2}
 
 
-def few_bare(i):
-    """A page with evident parts of less than a half, bare ones of less than a tenth, and prose."""
-    return "\n".join(["alpha%s beta%s gamma%s delta%s epsilon%s zeta%s" % (*"kmprst",), f"https://shop.x{i}.example/" + "a" * 255, (PATENT * 2)[:300]])
-
-
-def test_few_replicated_phrases_decide_beside_evident_parts(spark):
-    total, ev, bare, rep, _ = spam.measure(few_bare(0))
-    assert ev <= spam.SHARE * total < ev + bare and 10 * bare < total and rep == 0
-    assert flags(spark, [(i, few_bare(i)) for i in range(3)]) == {0, 1, 2}
-
-
 def test_few_phrases_count_for_their_hosts(spark):
     """A page is stitched from phrases that other hosts hold among much prose."""
-    page = "\n".join(f"alpha{i} beta{i} gamma{i}" for i in range(40))
+    page = "\n".join(f"alpha{c} beta{c} gamma{c}" for c in "abcdefghijklmnopqrstuvwxyz")
     docs = [(0, page), (1, PATENT * 80 + "\n" + page), (2, PATENT * 80 + "\n" + page)]
-    total, _, bare, _, _ = spam.measure(docs[1][1])
-    assert 10 * bare < total
     assert flags(spark, docs) == {0}
+
+
+def test_brute_force(spark, data):
+    """Scores of the test tables as a plain count over all pages gives them."""
+    df = spark.read.parquet(f"{data}/documents.parquet")
+    rows = {r.doc_id: (r.applicant or r.source or "", r.text) for r in df.select("doc_id", "applicant", "source", "text").collect()}
+    m = {i: spam.measure(t) for i, (_, t) in rows.items()}
+    hosts = {}
+    for i, (h, _) in rows.items():
+        for _, _, its in m[i][2]:
+            for _, phs in its:
+                for x in phs:
+                    hosts.setdefault(x, set()).add(h)
+    want = set()
+    for i, (total, rep, lists) in m.items():
+        n = 0
+        for bare, chars, its in lists:
+            met = sum(k for k, phs in its if any(len(hosts[x]) >= spam.HOSTS for x in phs))
+            n += chars if its and met >= spam.STITCHED * sum(k for k, _ in its) or bare and rep >= spam.STITCHED else 0
+        if total and n > spam.SHARE * total:
+            want.add(i)
+    assert {r.doc_id for r in spam.found(df).collect()} == want and want
