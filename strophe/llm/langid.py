@@ -1,10 +1,10 @@
 """Language of texts and of stretches in mixed texts by rank-order n-gram profiles.
 
-A profile lists a language's n-grams from the most to the least frequent. The out-of-place distance of a text
-sums, over its n-grams, how far their places in the two lists lie apart; n-grams a profile lacks count as
-its length. A single word has no frequencies of its own, so inside a text each word gets the place of its
-n-grams in each profile (on a log scale), and the cheapest path through the words, with a price for each
-change of language, cuts the text into stretches.
+A profile lists a language's n-grams from the most to the least frequent. The out-of-place distance of a text ranks the
+text's own n-grams in the same way and averages how far the two places lie apart; n-grams a profile lacks are as far away as its
+length. It names the language of every document and of every stretch. Where a stretch may begin and end is
+proposed first: each word by itself gets the place of its n-grams in each profile (on a log scale), and the cheapest path through the
+words, with a price for each change of language, cuts the text.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ SAMPLE = 16_000
 SWITCH = 7.0
 #: Words a stretch needs.
 STRETCH = 8
+#: How sharply a difference of out-of-place distances (of 0 to 1) tells on the confidence.
+SHARP = 12.0
 #: A word whose n-grams are this rare on average (log2 places) even in its best profile is a name.
 NAME = 7.4
 
@@ -52,6 +54,12 @@ class Profiles:
                     m[g] = np.full(len(self.langs), miss)
                 m[g][k] = math.log2(r + 1)
         self._rows, self._miss = m, np.full(len(self.langs), miss)
+        self._at = {g: i for i, g in enumerate(m)}
+        self._places = np.full((len(m), len(self.langs)), TOP, np.float64)
+        for k, lang in enumerate(self.langs):
+            for g, r in ranks[lang].items():
+                self._places[self._at[g], k] = r
+        self._ids: dict[str, np.ndarray] = {}
         self._zero = np.zeros(len(self.langs))
         self._cache: dict[str, tuple[np.ndarray, float]] = {}
         self._plain: dict[str, tuple[list[float], float, bool]] = {}
@@ -151,35 +159,64 @@ class Profiles:
             out[i - 1] = back[i, out[i]]
         return out
 
-    def runs(self, text: str) -> list[tuple[str, int, float]]:
-        """(language, words that have one, confidence) of each stretch in order."""
-        _, pen, has = self.tokens(text)
-        pen = pen[has]
-        p = self.path(pen)
-        out = []
-        if len(p):
-            cuts = np.r_[0, np.flatnonzero(np.diff(p)) + 1, len(p)]
+    def ids(self, w: str) -> np.ndarray:
+        """Numbers of the word's n-grams that some profile has."""
+        hit = self._ids.get(w)
+        if hit is None:
+            if len(self._ids) > 200_000:
+                self._ids.clear()
+            hit = self._ids[w] = np.array([self._at[g] for g in grams(w) if g in self._at], np.int64)
+        return hit
+
+    def out_of_place(self, words: list[str]) -> np.ndarray | None:
+        """The distance of some words to each profile, 0 to 1: their n-grams, of which the TOP most frequent count, are ranked by
+        frequency (equals share the mean of their places) and compared with their places in the profile. None without n-grams."""
+        own = [self.ids(w) for w in words]
+        a = np.concatenate(own) if own else np.zeros(0, np.int64)
+        if not len(a):
+            return None
+        g, n = np.unique(a, return_counts=True)
+        _, group, size = np.unique(-n, return_inverse=True, return_counts=True)
+        place = (np.cumsum(size) - size + (size + 1) / 2)[group]
+        if len(g) > TOP:
+            keep = np.argsort(-n, kind="stable")[:TOP]
+            g, place = g[keep], place[keep]
+        return np.minimum(np.abs(self._places[g] - place[:, None]), TOP).mean(0) / TOP
+
+    def runs(self, text: str, before: str = "", after: str = "") -> list[tuple[str, int, float]]:
+        """(language, words that have one, confidence) of each stretch of a text in order.
+
+        ``before`` and ``after`` are the texts around it: they take part in the path, so that a cut near a border falls where it
+        would in the whole, but their words are not counted. The language of a stretch is the one at the least out-of-place distance; neighbours
+        of one language are one stretch.
+        """
+        ws, pen, has = self.tokens(text)
+        parts = [self.tokens(before), (ws, pen, has), self.tokens(after)]
+        own = [p[h] for _, p, h in parts]
+        way = self.path(np.concatenate(own))[len(own[0]) : len(own[0]) + len(own[1])]
+        words = [w for w, h in zip(ws, has) if h]
+        out: list[tuple[str, int, int, np.ndarray | None]] = []
+        if len(way):
+            cuts = np.r_[0, np.flatnonzero(np.diff(way)) + 1, len(way)]
             for a, b in zip(cuts, cuts[1:]):
-                out.append((self.langs[p[a]], int(b - a), confidence(pen[a:b].sum(0), int(p[a]))))
-        return out
+                d = self.out_of_place(words[a:b])
+                lang = self.langs[int(way[a] if d is None else d.argmin())]
+                if out and out[-1][0] == lang:
+                    a = out.pop()[1]
+                    d = self.out_of_place(words[a:b])
+                out.append((lang, int(a), int(b), d))
+        return [(lang, b - a, confidence(d, self.langs.index(lang))) for lang, a, b, d in out]
 
     def distance(self, text: str) -> dict[str, float]:
-        """The classical out-of-place distance of a whole text to every profile, 0 to 1; empty for no words."""
-        c: Counter = Counter()
-        for w in WORD.findall(text):
-            c.update(grams(w.lower()))
-        own = [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:TOP]]
-        return {
-            lang: sum(abs(r[g] - i - 1) if g in r else TOP for i, g in enumerate(own)) / (TOP * len(own))
-            for lang, r in self.ranks.items()
-            if own
-        }
+        """The out-of-place distance of a whole text to every profile, 0 to 1; empty for no words with a language."""
+        ws, _, has = self.tokens(text)
+        d = self.out_of_place([w for w, h in zip(ws, has) if h])
+        return {} if d is None else dict(zip(self.langs, d.tolist()))
 
 
-def confidence(total: np.ndarray, k: int) -> float:
-    """Share of language k when each language weighs by the places it lies behind."""
-    e = np.exp(np.clip(total[k] - total, -50, 50))
-    return round(float(1 / e.sum()), 4)
+def confidence(d: np.ndarray | None, k: int) -> float:
+    """Share of language k when each language weighs by how much farther than k it is out of place."""
+    return 0.0 if d is None else round(float(1 / np.exp(np.clip(SHARP * (d[k] - d), -50, 50)).sum()), 4)
 
 
 _FITTED: dict[int, Profiles] = {}
@@ -214,57 +251,103 @@ def fit(lines, plans) -> Profiles:
     return Profiles.fit([(r[0], r[1]) for r in rows])
 
 
-def _summary(runs: list[tuple[str, int, float]]):
-    """(languages with a stretch, first run, last run) of a piece of text."""
-    return sorted({r[0] for r in runs if r[1] >= STRETCH}), runs[0] if runs else None, runs[-1] if runs else None
+#: Lines of a plan in one piece, and of its neighbours beside it.
+CHUNK, BESIDE = 256, 12
 
 
-CHUNK = 256
+def _pieces(vocals, lines):
+    """(src, rec_id, chunk, before, text, after): transcripts whole, plans in pieces of CHUNK lines with BESIDE lines of their neighbours.
+
+    Lines without a number follow all others in the order of line_id. No plan is gathered whole.
+    """
+    from pyspark.sql import functions as F
+
+    v = vocals.filter("transcript_id is not null").select(
+        F.lit("scribe_vocals").alias("src"), F.col("transcript_id").cast("string").alias("rec_id"), F.lit(0).cast("bigint").alias("chunk"), F.lit("").alias("before"), "text", F.lit("").alias("after")
+    )
+    n = F.coalesce(F.col("i").cast("bigint"), F.lit(1 << 40) + F.coalesce(F.col("line_id"), F.lit(0)).cast("bigint"))
+    own = lines.filter("plan_id is not null and text is not null").select("plan_id", n.alias("n"), "line_id", "text")
+    k, at = F.floor(F.col("n") / CHUNK), F.pmod("n", F.lit(CHUNK))
+    part = lambda c, p: F.struct(c.alias("chunk"), F.lit(p).alias("part"))
+    goes = F.array_compact(F.array(part(k, 1), F.when(at < BESIDE, part(k - 1, 2)), F.when(at >= CHUNK - BESIDE, part(k + 1, 0))))
+    rows = own.select("plan_id", F.explode(goes).alias("g"), F.struct("n", "line_id", "text").alias("l")).select("plan_id", "g.chunk", "g.part", "l")
+    text = lambda p: F.array_join(F.array_sort(F.collect_set(F.when(F.col("part") == p, F.col("l"))))["text"], "\n")
+    pl = rows.groupBy("plan_id", "chunk").agg(text(0).alias("before"), text(1).alias("text"), text(2).alias("after"), F.max(F.col("part") == 1).alias("own")).filter("own")
+    return v.unionByName(pl.select(F.lit("plan_docs").alias("src"), F.col("plan_id").alias("rec_id"), "chunk", "before", "text", "after"))
+
+
+def _sent(vocals, profiles: Profiles):
+    import zlib
+
+    key = zlib.crc32(repr(sorted((k, len(v)) for k, v in profiles.ranks.items())).encode())
+    return key, vocals.sparkSession.sparkContext.broadcast((profiles.ranks, profiles.words))  # at most TOP n-grams a language, words of SAMPLE lines
 
 
 def stretches(vocals, plans, lines, profiles: Profiles):
-    """(src, rec_id, lang, words, confidence): every stretch of each transcript and plan in text order (col ``pos``).
+    """(src, rec_id, pos, lang, words, confidence): every stretch of each transcript and plan in text order (col ``pos``).
 
-    A plan's text is cut into pieces of CHUNK lines, so that no plan is gathered whole, and the runs of words at
-    the borders of pieces are joined. Null and empty texts give no row; redelivered rows count once.
+    A plan is read in pieces, each with the lines around it, and the runs of words at the borders of pieces are joined. Null and
+    empty texts give no row; redelivered rows count once.
     """
-    import zlib
-
     import pandas as pd
+    from pyspark.sql import Window as W
     from pyspark.sql import functions as F
 
     from .canonical import canonical
 
-    key = zlib.crc32(repr(sorted((k, len(v)) for k, v in profiles.ranks.items())).encode())
-    sent = vocals.sparkSession.sparkContext.broadcast((profiles.ranks, profiles.words))
+    key, sent = _sent(vocals, profiles)
 
     def run(batches):
         p = unpack(key, *sent.value)
         for b in batches:
             rows = []
-            for s, r, c, t in zip(b["src"], b["rec_id"], b["chunk"], b["text"]):
-                runs = p.runs(canonical(t)) if isinstance(t, str) else []
-                rows += [(s, r, c, i, len(runs), *x) for i, x in enumerate(runs)]
-            yield pd.DataFrame(rows, columns=["src", "rec_id", "chunk", "k", "n", "lang", "words", "confidence"])
+            for s, r, c, u, t, v in zip(b["src"], b["rec_id"], b["chunk"], b["before"], b["text"], b["after"]):
+                runs = p.runs(canonical(t), canonical(u), canonical(v)) if isinstance(t, str) else []
+                rows += [(s, r, c, i, *x) for i, x in enumerate(runs)]
+            yield pd.DataFrame(rows, columns=["src", "rec_id", "chunk", "k", "lang", "words", "confidence"])
 
-    v = vocals.filter("transcript_id is not null").select(F.lit("scribe_vocals").alias("src"), F.col("transcript_id").cast("string").alias("rec_id"), F.lit(0).cast("bigint").alias("chunk"), "text")
-    own = lines.filter("plan_id is not null and text is not null").select(
-        "plan_id", F.floor(F.coalesce("i", F.lit(0)) / CHUNK).alias("chunk"), F.struct(F.coalesce("i", F.lit(0)).alias("i"), "line_id", "text").alias("l")
-    )
-    pieces = own.groupBy("plan_id", "chunk").agg(F.array_sort(F.collect_set("l")).alias("l"))
-    pl = pieces.select(F.lit("plan_docs").alias("src"), F.col("plan_id").alias("rec_id"), "chunk", F.array_join(F.col("l.text"), "\n").alias("text"))
-    schema = "src string, rec_id string, chunk bigint, k int, n int, lang string, words int, confidence double"
-    r = v.unionByName(pl).mapInPandas(run, schema)
+    r = _pieces(vocals, lines).mapInPandas(run, "src string, rec_id string, chunk bigint, k int, lang string, words int, confidence double")
     # runs that touch a border of a piece and go on in the next one are one stretch
-    from pyspark.sql import Window as W
-
     r = r.dropDuplicates(["src", "rec_id", "chunk", "k"])
     w = W.partitionBy("src", "rec_id").orderBy("chunk", "k")
     r = r.withColumn("new", F.when(F.lag("lang").over(w) == F.col("lang"), 0).otherwise(1))
     r = r.withColumn("pos", F.sum("new").over(w))
-    return r.groupBy("src", "rec_id", "pos").agg(
-        F.first("lang").alias("lang"), F.sum("words").alias("words"), F.max("confidence").alias("confidence")
-    )
+    sure = F.round(F.sum(F.col("confidence") * F.col("words")) / F.sum("words"), 4)
+    return r.groupBy("src", "rec_id", "pos").agg(F.first("lang").alias("lang"), F.sum("words").alias("words"), sure.alias("confidence"))
+
+
+def documents(vocals, lines, profiles: Profiles):
+    """(src, rec_id, lang, words, confidence): the one language of each transcript and plan, that at the least out-of-place distance.
+
+    The distances of the pieces of a plan are averaged by their words. Texts without words that have a language give no row.
+    """
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from .canonical import canonical
+
+    key, sent = _sent(vocals, profiles)
+
+    def run(batches):
+        p = unpack(key, *sent.value)
+        for b in batches:
+            rows = []
+            for s, r, c, t in zip(b["src"], b["rec_id"], b["chunk"], b["text"]):
+                ws, _, has = p.tokens(canonical(t)) if isinstance(t, str) else ([], None, [])
+                own = [w for w, h in zip(ws, has) if h]
+                if (d := p.out_of_place(own)) is not None:
+                    rows.append((s, r, c, len(own), d.tolist()))
+            yield pd.DataFrame(rows, columns=["src", "rec_id", "chunk", "words", "far"])
+
+    r = _pieces(vocals, lines).select("src", "rec_id", "chunk", "text").mapInPandas(run, "src string, rec_id string, chunk bigint, words int, far array<double>").dropDuplicates(["src", "rec_id", "chunk"])
+    langs = profiles.langs
+    total = F.sum("words")
+    far = F.array(*(F.sum(F.col("far")[k] * F.col("words")) / total for k in range(len(langs)))) if langs else F.array().cast("array<double>")
+    out = r.groupBy("src", "rec_id").agg(total.alias("words"), far.alias("far"))
+    best = F.array_min("far")
+    weight = F.aggregate("far", F.lit(0.0), lambda a, x: a + F.exp(SHARP * (F.array_min("far") - x)))
+    name = F.element_at(F.array(*map(F.lit, langs)) if langs else F.array().cast("array<string>"), F.array_position("far", best).cast("int"))
+    return out.select("src", "rec_id", name.alias("lang"), "words", F.round(1 / weight, 4).alias("confidence"))
 
 
 def labels(vocals, plans, codes):

@@ -51,6 +51,11 @@ def p6_stretches(spark: SparkSession, d: str) -> DataFrame:
     return langid.stretches(v, p, l, langid.fit(l, p))
 
 
+def p6_languages(spark: SparkSession, d: str) -> DataFrame:
+    v, p, l = (table(spark, d, t) for t in ("scribe_vocals", "plan_docs", "plan_lines"))
+    return langid.documents(v, l, langid.fit(l, p))
+
+
 def p8_pack(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(tokens.counted(table(spark, d, "documents")), table(spark, d, "pack_sizes"))
 
@@ -75,7 +80,7 @@ def p10_scores(spark: SparkSession, d: str) -> DataFrame:
     return spam.scored(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p3_found, p4_found, p4_copies, p5_found, p6_found, p6_stretches, p7_found, p7_canonical, p8_pack, p8_usage, p9_mix, p9_shares, p10_found, p10_scores)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p3_found, p4_found, p4_copies, p5_found, p6_found, p6_stretches, p6_languages, p7_found, p7_canonical, p8_pack, p8_usage, p9_mix, p9_shares, p10_found, p10_scores)}
 
 _P4 = r"""
 with r as (

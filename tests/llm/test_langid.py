@@ -42,6 +42,47 @@ def test_distance(profiles):
     assert min(d, key=d.get) == "fr" and profiles.distance("") == {}
 
 
+def test_the_distance_decides(profiles, monkeypatch):
+    """Whatever language the path proposes for a stretch, the least out-of-place distance names it."""
+    import numpy as np
+
+    t = "Nous avons perdu la lumière du matin dans cette ville, et personne ne chante plus"
+    k = profiles.langs.index("pl")
+    monkeypatch.setattr(profiles, "path", lambda pen: np.full(len(pen), k))
+    assert [x[0] for x in profiles.runs(t)] == ["fr"]
+    monkeypatch.setattr(profiles, "out_of_place", lambda ws: None)
+    assert [x[0] for x in profiles.runs(t)] == ["pl"]
+
+
+def test_confidence(profiles):
+    sure = profiles.runs("Nous avons perdu la lumière du matin dans cette ville, et personne ne chante plus")[0]
+    assert sure[0] == "fr" and 0.5 < sure[2] <= 1
+
+
+def test_pieces_equal_the_whole(profiles):
+    """A text read in two pieces with the lines around each gives the runs of the whole."""
+    en, fr = "they count the silence in the garden and nothing more", "ils comptent la lumière du matin à la gare"
+    lines = [en, en, fr, en, fr, fr, en, en] * 3
+    whole = profiles.runs("\n".join(lines))
+    for cut in range(4, 20):
+        a = profiles.runs("\n".join(lines[:cut]), "", "\n".join(lines[cut : cut + langid.BESIDE]))
+        b = profiles.runs("\n".join(lines[cut:]), "\n".join(lines[max(0, cut - langid.BESIDE) : cut]), "")
+        both = a + b
+        if a[-1][0] == b[0][0]:
+            both = a[:-1] + [(a[-1][0], a[-1][1] + b[0][1], 0.0)] + b[1:]
+        assert [x[:2] for x in both] == [x[:2] for x in whole], cut
+
+
+def test_documents(spark, profiles):
+    en, fr = "they count the silence in the garden and nothing more once again", "ils comptent la lumière du matin à la gare comme si tu étais là"
+    v = spark.createDataFrame([(1, en), (1, en), (2, en[:40] + " " + fr), (3, None), (4, "la la")], "transcript_id bigint, text string")
+    rows = [("p", 1000 + i, i, fr) for i in range(300)] + [("p", 1, None, en), ("q", 2, None, en), (None, 3, 0, en), ("q", 4, 1, None)]
+    lines = spark.createDataFrame(rows, "plan_id string, line_id bigint, i int, text string")
+    got = sorted((r.src, r.rec_id, r.lang) for r in langid.documents(v, lines, profiles).collect())
+    assert got == [("plan_docs", "p", "fr"), ("plan_docs", "q", "en"), ("scribe_vocals", "1", "en"), ("scribe_vocals", "2", "fr")]
+    assert langid.documents(v.limit(0), lines.limit(0), profiles).count() == 0
+
+
 def test_long(profiles):
     assert [x[:2] for x in profiles.runs("they count the silence in the garden " * 20_000)] == [("en", 140_000)]
 
