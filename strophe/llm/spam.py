@@ -10,6 +10,7 @@ page is spam if stitched lists, and bare phrases it repeats itself, are more tha
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from itertools import combinations
 
@@ -46,7 +47,9 @@ _OWN = regex.compile(
 )
 _NUMBER = regex.compile(r"(?<![\p{L}\d])\d+(?:[.,]\d+)*(?![\p{L}\d])")
 _CUT = regex.compile(r"\n+|(?<=[.!?])\s+(?=\p{Lu}|\[)")
-_MARKED = regex.compile(r"[:»›#]|\]\(|\p{Sc}|\w\.\w\w|\d [A-Z]{3}\b")
+#: What links, tags, prices and paths have; sentences without any need no closer look.
+_MARKS = ":»›#$€£¥["
+_MONEY, _WAYS = set("$€£¥"), set("»›:")
 
 
 def parts(text: str) -> list[tuple[str, str]]:
@@ -54,17 +57,34 @@ def parts(text: str) -> list[tuple[str, str]]:
     return [(kind(x), x) for seg in _CUT.split(text) if (x := seg.strip())]
 
 
+_DIGIT = re.compile(r"\d")
+
+
 def kind(seg: str) -> str:
     ws = seg.lower().split()
     n = len(ws)
     f = sum(map(FUNCTION.__contains__, ws))
     prose = n >= 4 and f >= max(1, (PROSE if n >= 14 else 2 * PROSE) * n) and (f >= 2 or n < 14)
-    marks = _MARKED.search(seg)
-    if prose and not marks:
+    dot = seg.find(".")
+    dotted = -1 < dot < len(seg) - 2
+    signs = {c for c in _MARKS if c in seg}
+    if prose and not signs and not dotted:
         return "prose"
-    if marks or ">" in seg or "→" in seg or "(" in seg:
-        marked = sum(len(m[0]) for p in (_LINK, _TAG, _PRICE) for m in p.finditer(seg))
-        if marked * 3 >= len(seg) or len(_PATH.findall(seg)) * 40 >= len(seg) and _PATH.search(seg) or _PRICE.search(seg) and len(_PRICE.findall(seg)) * 60 >= len(seg):
+    digits = _DIGIT.search(seg) is not None
+    # each pattern only where what it needs is there
+    marked = prices = 0
+    if dotted or "[" in signs:
+        marked += sum(len(m[0]) for m in _LINK.finditer(seg))
+    if "#" in signs or ":" in signs:
+        marked += sum(len(m[0]) for m in _TAG.finditer(seg))
+    if digits and (dotted or "," in seg or signs & _MONEY):
+        found = [len(m[0]) for m in _PRICE.finditer(seg)]
+        marked, prices = marked + sum(found), len(found)
+    if marked * 3 >= len(seg) or prices and prices * 60 >= len(seg):
+        return "evident"
+    if signs & _WAYS or "(" in seg or ">" in seg or "→" in seg:
+        paths = len(_PATH.findall(seg))
+        if paths and paths * 40 >= len(seg):
             return "evident"
     ws = _WORD.findall(seg)
     if not ws:
@@ -72,11 +92,11 @@ def kind(seg: str) -> str:
     if prose:
         return "prose"
     n = len(ws)
-    numbers = len(_NUMBER.findall(seg))
+    numbers = len(_NUMBER.findall(seg)) if digits else 0
     own = sum(len(m[0]) for m in _OWN.finditer(seg))
     if own * 3 >= len(seg) or (numbers >= 1 and numbers * 4 >= n) or own and n <= 8:
         return "own"
-    if _HEADING.match(seg) and n <= 4:
+    if n <= 4 and _HEADING.match(seg):
         return "own"
     return "bare"
 
@@ -220,14 +240,14 @@ def scored(docs: DataFrame) -> DataFrame:
     """
     from ..session import cut
 
-    m = cut(measured(docs).dropDuplicates(["doc_id"]))
+    m = cut(measured(docs))
     e = m.filter("size(phrase) > 0").select("doc_id", "host", F.explode(F.arrays_zip("phrase", "at", "item", "times")).alias("p")).select("doc_id", "host", "p.*")
     hosts = e.select("phrase", "host").distinct().groupBy("phrase").agg(F.count(F.lit(1)).alias("hosts")).filter(F.col("hosts") >= HOSTS)
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
     common = hosts.select("phrase", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     met = e.withColumn("salt", salt).join(common, ["phrase", "salt"]).groupBy("doc_id", "at", "item").agg(F.max("times").alias("times"))
     j = met.groupBy("doc_id", "at").agg(F.sum("times").alias("met"))
-    lists = m.select("doc_id", "total", "repeated", F.posexplode_outer(F.arrays_zip("bare", "chars", "items")).alias("at", "l")).select("doc_id", "total", "repeated", "at", "l.*")
+    lists = m.select("doc_id", "total", "repeated", F.posexplode_outer(F.arrays_zip("bare", "chars", "items")).alias("at", "l")).select("doc_id", "total", "repeated", "at", "l.*").dropDuplicates(["doc_id", "at"])
     x = lists.join(j, ["doc_id", "at"], "left")
     stitched = F.coalesce(F.col("met") >= STITCHED * F.col("items"), F.lit(False))
     counts = stitched | (F.col("bare") & (F.col("repeated") >= STITCHED))
