@@ -2,7 +2,7 @@
 
 Texts with the same set of shingles form a class, and classes meet through one representative. Representatives
 that share a key are candidates; candidates are verified on their whole texts; verified pairs are expanded to
-the members of both classes at the very end.
+the members of both classes at the very end, or only counted (:func:`links`).
 
 Keys come from a fingerprint of SEGMENTS times 23 bits, each bit taken from the least word of the text under a hash of
 its own. A segment is decoded to the Golay codewords nearby, so texts whose segments differ in a few bits still
@@ -21,9 +21,11 @@ from pyspark.sql import functions as F
 
 from . import golay
 
-#: Bits of 64 in which the sketches of a pair may differ. At a similarity of 0.6 they differ in 12.8 on average with a
-#: deviation of 3.2; texts without common shingles in 32. One in eight thousand pairs right at 0.6 differs in more, none at 0.7.
-APART = 25
+#: A sketch has PLACES places of three bits, one for each of as many least shingles. Two texts of similarity 0.6 differ in 22 places
+#: on average with a deviation of 3.8, texts without common shingles in 56 with 2.6; one in ten million pairs right at 0.6 differs in more than APART.
+PLACES, APART = 64, 42
+#: Rows of one key, and members of one class, that meet each other in one task; more are split into blocks.
+BLOCK = 2_000
 #: Segments of the fingerprint, and least shingles that join a segment in its keys.
 SEGMENTS, ANCHORS = 24, 3
 
@@ -86,12 +88,24 @@ def folded(anchors: np.ndarray) -> np.ndarray:
     return ((anchors.reshape(n, SEGMENTS, ANCHORS) * _FOLD).sum(2, dtype=np.uint64) ^ _SEGMENT).view(np.int64)
 
 
-def sketch(anchors: np.ndarray) -> np.ndarray:
-    """64 bits of each text, one from each of its first least shingles: two texts of similarity s differ in (1 - s) / 2
-    of them on average."""
-    x = anchors[:, :64]
-    bit = (x ^ (x >> np.uint64(29))) * _STEP[2] >> np.uint64(63)
-    return (bit << np.arange(64, dtype=np.uint64)).sum(1, dtype=np.uint64).view(np.int64)
+def sketch(anchors: np.ndarray) -> list[np.ndarray]:
+    """Three numbers of PLACES bits for each text: the three bits of a place come from one least shingle, so a place differs in
+    seven eighths of the cases in which that does."""
+    x = anchors[:, :PLACES]
+    x = (x ^ (x >> np.uint64(29))) * _STEP[2]
+    at = np.arange(PLACES, dtype=np.uint64)
+    return [((x >> np.uint64(63 - k) & np.uint64(1)) << at).sum(1, dtype=np.uint64).view(np.int64) for k in range(3)]
+
+
+def keys(folds: np.ndarray, segments: np.ndarray) -> list[np.ndarray]:
+    """The keys of each text, (n, SEGMENTS) folded anchors and vectors: every index near a segment with the anchors of the segment.
+
+    48 bits of a key are enough to tell millions of texts apart, and a quarter less to move.
+    """
+    index = golay.indices(segments)
+    x = (folds.view(np.uint64)[..., None] + index.astype(np.uint64) * _STEP[1]) * _STEP[0]
+    x = ((x ^ (x >> np.uint64(31))) * _STEP[3] >> np.uint64(16)).view(np.int64)
+    return [v[i >= 0] for v, i in zip(x.reshape(len(x), -1), index.reshape(len(index), -1))]
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -101,70 +115,80 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return n / (len(a) + len(b) - n)
 
 
-def classes(df: DataFrame, k: int, skip=None) -> DataFrame:
-    """(id, c1, c2) of every text (id, text) of at least k words; c1, c2 name its set of shingles. ``skip`` drops texts."""
+def prepared(df: DataFrame, k: int, skip=None) -> DataFrame:
+    """(id, c1, c2, s0, s1, s2, folds, segments) of every text (id, text) of at least k words: the name of its set of shingles, its
+    sketch, and for each segment its anchors and its vector. Each text is read and hashed once. ``skip`` drops texts."""
     import pandas as pd
 
     def run(batches):
         for b in batches:
-            rows = []
+            ids, names, least, segs = [], [], [], []
             for i, t in zip(b["id"], b["text"]):
                 if not isinstance(t, str) or (skip is not None and skip(t)):
                     continue
-                s = shingles(t, k)
+                h = hashed(t)
+                s = runs(h, k)
                 if len(s):
                     d = xxhash.xxh128_intdigest(s.tobytes())
-                    rows.append((i, (d & (1 << 64) - 1) - (1 << 63), (d >> 64) - (1 << 63)))
-            yield pd.DataFrame(rows, columns=["id", "c1", "c2"])
+                    ids.append(i)
+                    names.append(((d & (1 << 64) - 1) - (1 << 63), (d >> 64) - (1 << 63)))
+                    least.append(_least(s, _ANCHOR))
+                    segs.append(fingerprint(h))
+            if ids:
+                a = np.array(least)
+                out = pd.DataFrame({"id": ids, "c1": [n[0] for n in names], "c2": [n[1] for n in names]})
+                out = out.assign(**{f"s{j}": v for j, v in enumerate(sketch(a))})
+                yield out.assign(folds=list(folded(a)), segments=list(np.array(segs).astype(np.int32)))
 
-    return df.mapInPandas(run, "id bigint, c1 bigint, c2 bigint")
+    return df.mapInPandas(run, "id bigint, c1 bigint, c2 bigint, s0 bigint, s1 bigint, s2 bigint, folds array<bigint>, segments array<int>")
 
 
-def keyed(df: DataFrame, k: int) -> DataFrame:
-    """(rep, bits, anchor, near) of texts (id, text): sketch, anchors of each segment, and KEYS codeword indices of each
-    segment in a row, -1 where there are fewer. An anchor with an index is a key."""
+def keyed(own: DataFrame) -> DataFrame:
+    """(rep, key): the keys of prepared representatives."""
     import pandas as pd
 
     def run(batches):
         for b in batches:
-            if not len(b):
-                continue
-            hs = [hashed(t) for t in b["text"]]
-            anchors = np.array([_least(runs(h, k), _ANCHOR) for h in hs])
-            index = golay.indices(np.array([fingerprint(h) for h in hs])).reshape(len(b), -1).astype(np.int16)
-            yield pd.DataFrame({"rep": b["id"], "bits": sketch(anchors), "anchor": list(folded(anchors)), "near": list(index)})
+            if len(b):
+                yield pd.DataFrame({"rep": b["id"], "key": keys(np.stack(b["folds"]), np.stack(b["segments"]))})
 
-    return df.mapInPandas(run, "rep bigint, bits bigint, anchor array<bigint>, near array<smallint>")
+    return own.select("id", "folds", "segments").mapInPandas(run, "rep bigint, key array<bigint>").select("rep", F.explode("key").alias("key"))
 
 
-def pairs(df: DataFrame, key: str, text: str, k: int = 3, least: float = 0.6, skip=None) -> DataFrame:
-    """(id_a, id_b), id_a < id_b: all pairs of records whose sets of distinct runs of k words have an intersection of
-    at least ``least`` of their union.
+def _blocks(n):
+    """How many blocks a group of n rows has."""
+    return F.ceil(n / BLOCK).cast("int")
 
-    Null texts, texts of fewer than k words and texts ``skip`` holds for are not compared; repeated rows count once.
-    """
-    import pandas as pd
 
-    from ..session import cut, release
+def met(at: DataFrame) -> DataFrame:
+    """(a, b), a < b: representatives that share a key, each pair once. Rows (rep, key) of one key meet in blocks: a row of the first side goes to
+    one block of its key, on the second side to all, so a key that much of the collection has is split over tasks."""
+    hot = at.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK).withColumn("n", _blocks(F.col("n")))
+    cold = at.join(hot.select("key"), "key", "left_anti")
+    a, b = cold.withColumnRenamed("rep", "a"), cold.withColumnRenamed("rep", "b")
+    few = a.join(b, "key").filter("a < b").select("a", "b")
+    big = at.join(hot, "key")
+    ha = big.select("key", F.col("rep").alias("a"), F.pmod(F.xxhash64("rep"), "n").cast("int").alias("block"))
+    hb = big.select("key", F.col("rep").alias("b"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("block"))
+    return few.unionByName(ha.join(hb, ["key", "block"]).filter("a < b").select("a", "b")).distinct()
+
+
+def linked(df: DataFrame, key: str, text: str, k: int, least: float, skip=None) -> tuple[DataFrame, DataFrame]:
+    """(members, sure): (rep, id, n) of every compared record with its class and the size of that, and the pairs (a, b) of
+    representatives whose texts are as similar as asked."""
+    from ..session import cut
 
     texts = df.filter(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
-    f = cut(classes(texts, k, skip))
-    reps = f.groupBy("c1", "c2").agg(F.min("id").alias("rep"))
-    members = cut(f.distinct().join(reps, ["c1", "c2"]).select("rep", "id"))
-    # only representatives get keys, and their texts travel once; keys themselves travel once for both sides of the join
-    own = texts.join(members.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"])
-    made = cut(keyed(own, k))
-    at = made.select("rep", "anchor", F.posexplode("near").alias("k", "i")).filter("i >= 0")
-    # 48 bits of a key are enough to tell millions of texts apart, and a quarter less to move
-    at = at.select("rep", F.shiftrightunsigned(F.xxhash64(F.expr(f"anchor[k div {golay.KEYS}]"), "i"), 16).alias("key"))
-    a, b = at.withColumnRenamed("rep", "a"), at.withColumnRenamed("rep", "b")
-    met = a.join(b, "key").filter("a < b").select("a", "b").distinct()
-    # most that meet by chance differ in too many bits of their sketches to be worth the sight of their texts
-    bits = made.select("rep", "bits")
-    met = met.join(bits.select(F.col("rep").alias("a"), F.col("bits").alias("ba")), "a").join(bits.select(F.col("rep").alias("b"), F.col("bits").alias("bb")), "b")
-    near = cut(met.filter(F.bit_count(F.col("ba").bitwiseXOR(F.col("bb"))) <= APART).select("a", "b"))
-    del own, made, at, a, b, met, bits
-    release(df.sparkSession)
+    made = cut(prepared(texts, k, skip))
+    own = made.select("id", "c1", "c2").distinct()
+    reps = own.groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    members = cut(own.join(reps, ["c1", "c2"]).select("rep", "id", "n"))
+    first = made.join(members.filter("rep = id").select("id"), "id", "left_semi").dropDuplicates(["id"])
+    found = met(keyed(first))
+    # most that meet by chance differ in too many places of their sketches to be worth the sight of their texts
+    of = lambda x: made.select(F.col("id").alias(x), *(F.col(f"s{j}").alias(f"{x}{j}") for j in range(3))).dropDuplicates([x])
+    apart = F.bit_count(F.expr(" | ".join(f"(a{j} ^ b{j})" for j in range(3))))
+    near = cut(found.join(of("a"), "a").join(of("b"), "b").filter(apart <= APART).select("a", "b"))
     need = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     told = texts.join(need, "id", "left_semi").dropDuplicates(["id"])
 
@@ -182,8 +206,31 @@ def pairs(df: DataFrame, key: str, text: str, k: int = 3, least: float = 0.6, sk
 
     ta = told.select(F.col("id").alias("a"), F.col("text").alias("ta"))
     tb = told.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    sure = near.join(ta, "a").join(tb, "b").select("a", "ta", "b", "tb").mapInPandas(verify, "a bigint, b bigint")
-    ma, mb = members.select(F.col("rep").alias("a"), F.col("id").alias("x")), members.select(F.col("rep").alias("b"), F.col("id").alias("y"))
-    across = sure.join(ma, "a").join(mb, "b").select("x", "y")
-    within = ma.join(mb, F.col("a") == F.col("b")).filter("x < y").select("x", "y")
+    return members, near.join(ta, "a").join(tb, "b").select("a", "ta", "b", "tb").mapInPandas(verify, "a bigint, b bigint")
+
+
+def pairs(df: DataFrame, key: str, text: str, k: int = 3, least: float = 0.6, skip=None) -> DataFrame:
+    """(id_a, id_b), id_a < id_b: all pairs of records whose sets of distinct runs of k words have an intersection of
+    at least ``least`` of their union.
+
+    Null texts, texts of fewer than k words and texts ``skip`` holds for are not compared; repeated rows count once. Large classes
+    are expanded in blocks.
+    """
+    members, sure = linked(df, key, text, k, least, skip)
+    one = lambda rep, x: members.select(F.col("rep").alias(rep), F.col("id").alias(x), F.pmod(F.xxhash64("id"), _blocks(F.col("n"))).cast("int").alias("block"))
+    all_ = lambda rep, x: members.select(F.col("rep").alias(rep), F.col("id").alias(x), F.explode(F.sequence(F.lit(0), _blocks(F.col("n")) - 1)).alias("block"))
+    within = one("rep", "x").join(all_("rep", "y"), ["rep", "block"]).filter("x < y").select("x", "y")
+    size = members.filter("rep = id").select(F.col("rep").alias("b"), "n")
+    left = sure.join(size, "b").join(one("a", "x").drop("block"), "a").select("x", "b", F.pmod(F.xxhash64("x"), _blocks(F.col("n"))).cast("int").alias("block"))
+    across = left.join(all_("b", "y"), ["b", "block"]).select("x", "y")
     return across.unionByName(within).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+
+
+def links(df: DataFrame, key: str, text: str, k: int = 3, least: float = 0.6, skip=None) -> DataFrame:
+    """(id, rep, copies, links): every compared record with its class, named by the least id in it, the records of the class, and the
+    records of other classes it is linked to. No pair of copies is ever made, so this holds for classes of any size."""
+    members, sure = linked(df, key, text, k, least, skip)
+    size = members.filter("rep = id").select("rep", "n")
+    both = sure.select(F.col("a").alias("rep"), F.col("b").alias("other")).unionByName(sure.select(F.col("b").alias("rep"), F.col("a").alias("other")))
+    n = both.join(size.select(F.col("rep").alias("other"), "n"), "other").groupBy("rep").agg(F.sum("n").alias("links"))
+    return members.join(n, "rep", "left").select("id", "rep", F.col("n").alias("copies"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))

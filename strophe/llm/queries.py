@@ -30,6 +30,16 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.pairs(table(spark, d, "lrclib"), "lrclib_id", "plainlyrics", skip=encoding.is_garbled)
 
 
+def p3_links(spark: SparkSession, d: str) -> DataFrame:
+    """Classes and their links, without the pairs of copies."""
+    return neardup.links(table(spark, d, "lrclib"), "lrclib_id", "plainlyrics", skip=encoding.is_garbled)
+
+
+def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs of p3_found with those of wrongly decoded records, as SQL can tell them."""
+    return neardup.pairs(table(spark, d, "lrclib"), "lrclib_id", "plainlyrics")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return copies.found(table(spark, d, "lrclib"))
 
@@ -80,7 +90,7 @@ def p10_scores(spark: SparkSession, d: str) -> DataFrame:
     return spam.scored(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p3_found, p4_found, p4_copies, p5_found, p6_found, p6_stretches, p6_languages, p7_found, p7_canonical, p8_pack, p8_usage, p9_mix, p9_shares, p10_found, p10_scores)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p3_found, p3_links, p3_pairs, p4_found, p4_copies, p5_found, p6_found, p6_stretches, p6_languages, p7_found, p7_canonical, p8_pack, p8_usage, p9_mix, p9_shares, p10_found, p10_scores)}
 
 _P4 = r"""
 with r as (
@@ -94,7 +104,15 @@ n as (
   from r),
 g as (select id, min(id) over (partition by p, h, s) k from n where p <> '' or s <> '' or len(h) > 0)
 """
+_P3 = r"""
+with r as (select distinct lrclib_id id, string_split(trim(regexp_replace(lower(plainlyrics), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') w from lrclib where lrclib_id is not null and plainlyrics is not null),
+s as (select distinct id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) g from r where len(w) > 2),
+n as (select id, count(*) n from s group by 1),
+j as (select a.id a, b.id b, count(*) c from s a join s b on a.g = b.g and a.id < b.id group by 1, 2)
+select a as id_a, b as id_b from j join n x on x.id = a join n y on y.id = b where c >= 0.6 * (x.n + y.n - c)
+"""
 SQL: dict[str, str] = {
+    "p3_pairs": _P3,
     "p4_found": _P4 + "select distinct k as keep_id, id as copy_id from g where id > k",
     "p4_copies": _P4 + "select k as keep_id, count(distinct id) as copies from g group by k",
 }

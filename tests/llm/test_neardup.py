@@ -84,5 +84,38 @@ def test_recall_on_the_test_data(spark, data):
 
 
 def test_sketches_hardly_ever_part_pairs_at_the_threshold():
-    """Each of the 64 bits of a pair of similarity 0.6 differs with a probability of 0.2."""
-    assert sum(math.comb(64, k) * 0.2**k * 0.8 ** (64 - k) for k in range(neardup.APART + 1, 65)) < 2e-4
+    """Each place of a pair of similarity 0.6 differs with a probability of 0.4 * 7 / 8."""
+    n, p = neardup.PLACES, 0.4 * 7 / 8
+    assert sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(neardup.APART + 1, n + 1)) < 2e-7
+
+
+def test_hot_keys_and_classes_are_split(spark, monkeypatch):
+    """With blocks of three rows everything is hot: the same pairs, each once."""
+    monkeypatch.setattr(neardup, "BLOCK", 3)
+    r = random.Random(9)
+    base = [r.choice(VOCABULARY) for _ in range(80)]
+    rows = []
+    for n in range(24):
+        t = list(base)
+        t[r.randrange(80)] = r.choice(VOCABULARY)
+        rows += [(3 * n + c, " ".join(t)) for c in range(1 + n % 3)]
+    rows += [(1000 + i, " ".join(base)) for i in range(10)]
+    want = brute(rows)
+    assert len(want) > 500 and run(spark, rows) == want
+
+
+def test_links(spark):
+    a, b = " ".join(VOCABULARY[:50]), " ".join(VOCABULARY[:48] + ["x", "y"])
+    rows = [(5, a), (3, a.upper()), (3, a), (9, b), (11, "a b c d"), (12, None), (13, "a b")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "lrclib_id bigint, plainlyrics string, rep int")
+    got = sorted(map(tuple, neardup.links(df, "lrclib_id", "plainlyrics").collect()))
+    assert got == [(3, 3, 2, 1), (5, 3, 2, 1), (9, 9, 1, 2), (11, 11, 1, 0)]
+    assert neardup.links(df.limit(0), "lrclib_id", "plainlyrics").count() == 0
+
+
+def test_without_golay_keys_nothing_is_found(spark, monkeypatch):
+    t = [" ".join(VOCABULARY[:50]), " ".join(VOCABULARY[:49] + ["x"])]
+    rows = list(enumerate(t))
+    assert run(spark, rows) == {(0, 1)}
+    monkeypatch.setattr(golay, "indices", lambda v: np.full((*v.shape, golay.KEYS), -1))
+    assert neardup.keys(np.zeros((1, 24), np.int64), np.zeros((1, 24), np.int32))[0].size == 0
