@@ -144,15 +144,25 @@ def prepared(df: DataFrame, k: int, skip=None) -> DataFrame:
 
 
 def keyed(own: DataFrame) -> DataFrame:
-    """(rep, key): the keys of prepared representatives."""
+    """(rep, key, n) of prepared representatives: their keys, and the blocks of a key; a column ``blocks`` has the blocks of each segment."""
     import pandas as pd
 
     def run(batches):
         for b in batches:
-            if len(b):
-                yield pd.DataFrame({"rep": b["id"], "key": keys(np.stack(b["folds"]), np.stack(b["segments"]))})
-
-    return own.select("id", "folds", "segments").mapInPandas(run, "rep bigint, key array<bigint>").select("rep", F.explode("key").alias("key"))
+            if not len(b):
+                continue
+            segs = np.stack(b["segments"])
+            out = pd.DataFrame({"rep": b["id"], "key": keys(np.stack(b["folds"]), segs)})
+            if "blocks" in b:
+                many = np.repeat(np.stack(b["blocks"]), golay.KEYS, 1)
+                out["n"] = [v[i >= 0] for v, i in zip(many, golay.indices(segs).reshape(len(b), -1))]
+            yield out
+
+    cols = [c for c in ("id", "folds", "segments", "blocks") if c in own.columns]
+    if "blocks" not in cols:
+        return own.select(*cols).mapInPandas(run, "rep bigint, key array<bigint>").select("rep", F.explode("key").alias("key"))
+    k = own.select(*cols).mapInPandas(run, "rep bigint, key array<bigint>, n array<int>")
+    return k.select("rep", F.explode(F.arrays_zip("key", "n")).alias("k")).select("rep", "k.key", "k.n")
 
 
 def _blocks(n):
@@ -160,17 +170,26 @@ def _blocks(n):
     return F.ceil(n / BLOCK).cast("int")
 
 
-def met(at: DataFrame) -> DataFrame:
-    """(a, b), a < b: representatives that share a key, each pair once. Rows (rep, key) of one key meet in blocks: a row of the first side goes to
-    one block of its key, on the second side to all, so a key that much of the collection has is split over tasks."""
-    hot = at.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK).withColumn("n", _blocks(F.col("n")))
-    cold = at.join(hot.select("key"), "key", "left_anti")
-    a, b = cold.withColumnRenamed("rep", "a"), cold.withColumnRenamed("rep", "b")
-    few = a.join(b, "key").filter("a < b").select("a", "b")
-    big = at.join(hot, "key")
-    ha = big.select("key", F.col("rep").alias("a"), F.pmod(F.xxhash64("rep"), "n").cast("int").alias("block"))
-    hb = big.select("key", F.col("rep").alias("b"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("block"))
-    return few.unionByName(ha.join(hb, ["key", "block"]).filter("a < b").select("a", "b")).distinct()
+def met(first: DataFrame) -> DataFrame:
+    """(a, b), a < b: representatives that share a key, each pair once.
+
+    The anchors of a segment bound how many texts can share its keys. If any are those of more than BLOCK texts, the keys of such segments meet in blocks: a
+    row of the first side goes to one block of its key, on the second side to all, so that a key that much of the
+    collection has is split over tasks. Otherwise both sides are one shuffle.
+    """
+    from ..session import cut
+
+    folds = first.select("id", F.posexplode("folds").alias("seg", "fold"))
+    hot = cut(folds.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK).withColumn("n", _blocks(F.col("n"))))
+    if hot.isEmpty():
+        at = keyed(first)
+        return at.withColumnRenamed("rep", "a").join(at.withColumnRenamed("rep", "b"), "key").filter("a < b").select("a", "b").distinct()
+    own = folds.join(hot, "fold").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("seg", "n"))).alias("own"))
+    blocks = F.transform(F.sequence(F.lit(0), F.lit(SEGMENTS - 1)), lambda j: F.coalesce(F.element_at("own", j), F.lit(1)))
+    at = keyed(first.join(own, "id", "left").withColumn("own", F.coalesce("own", F.create_map().cast("map<int,int>"))).withColumn("blocks", blocks))
+    a = at.select("key", F.col("rep").alias("a"), F.pmod(F.xxhash64("rep"), "n").cast("int").alias("block"))
+    b = at.select("key", F.col("rep").alias("b"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("block"))
+    return a.join(b, ["key", "block"]).filter("a < b").select("a", "b").distinct()
 
 
 def linked(df: DataFrame, key: str, text: str, k: int, least: float, skip=None) -> tuple[DataFrame, DataFrame]:
@@ -184,7 +203,7 @@ def linked(df: DataFrame, key: str, text: str, k: int, least: float, skip=None)
     reps = own.groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
     members = cut(own.join(reps, ["c1", "c2"]).select("rep", "id", "n"))
     first = made.join(members.filter("rep = id").select("id"), "id", "left_semi").dropDuplicates(["id"])
-    found = met(keyed(first))
+    found = met(first)
     # most that meet by chance differ in too many places of their sketches to be worth the sight of their texts
     of = lambda x: made.select(F.col("id").alias(x), *(F.col(f"s{j}").alias(f"{x}{j}") for j in range(3))).dropDuplicates([x])
     apart = F.bit_count(F.expr(" | ".join(f"(a{j} ^ b{j})" for j in range(3))))
