@@ -115,14 +115,22 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return n / (len(a) + len(b) - n)
 
 
+#: Classes a task remembers, to prepare one text of each only.
+REMEMBERED = 200_000
+
+
 def prepared(df: DataFrame, k: int, skip=None) -> DataFrame:
     """(id, c1, c2, s0, s1, s2, folds, segments) of every text (id, text) of at least k words: the name of its set of shingles, its
-    sketch, and for each segment its anchors and its vector. Each text is read and hashed once. ``skip`` drops texts."""
+    sketch, and for each segment its anchors and its vector. Each text is read and hashed once. ``skip`` drops texts.
+
+    Of the texts of one class in one task only the first has more than its name, so copies cost next to nothing.
+    """
     import pandas as pd
 
     def run(batches):
+        seen: set[int] = set()
         for b in batches:
-            ids, names, least, segs = [], [], [], []
+            ids, names, own, least, segs = [], [], [], [], []
             for i, t in zip(b["id"], b["text"]):
                 if not isinstance(t, str) or (skip is not None and skip(t)):
                     continue
@@ -130,39 +138,93 @@ def prepared(df: DataFrame, k: int, skip=None) -> DataFrame:
                 s = runs(h, k)
                 if len(s):
                     d = xxhash.xxh128_intdigest(s.tobytes())
+                    if d not in seen:
+                        if len(seen) > REMEMBERED:
+                            seen.clear()
+                        seen.add(d)
+                        own.append(len(ids))
+                        least.append(_least(s, _ANCHOR))
+                        segs.append(fingerprint(h))
                     ids.append(i)
                     names.append(((d & (1 << 64) - 1) - (1 << 63), (d >> 64) - (1 << 63)))
-                    least.append(_least(s, _ANCHOR))
-                    segs.append(fingerprint(h))
             if ids:
-                a = np.array(least)
                 out = pd.DataFrame({"id": ids, "c1": [n[0] for n in names], "c2": [n[1] for n in names]})
-                out = out.assign(**{f"s{j}": v for j, v in enumerate(sketch(a))})
-                yield out.assign(folds=list(folded(a)), segments=list(np.array(segs).astype(np.int32)))
+                full = {c: np.full(len(ids), None, object) for c in ("s0", "s1", "s2", "folds", "segments")}
+                if own:
+                    a = np.array(least)
+                    for c, v in zip(full, (*sketch(a), folded(a), np.array(segs).astype(np.int32))):
+                        full[c][own] = [int(x) for x in v] if v.ndim == 1 else list(v)[:]
+                yield out.assign(**full)
 
     return df.mapInPandas(run, "id bigint, c1 bigint, c2 bigint, s0 bigint, s1 bigint, s2 bigint, folds array<bigint>, segments array<int>")
 
 
-def keyed(own: DataFrame) -> DataFrame:
-    """(rep, key, n) of prepared representatives: their keys, and the blocks of a key; a column ``blocks`` has the blocks of each segment."""
+def representatives(made: DataFrame, *cols: str) -> DataFrame:
+    """(rep, cols...): the least id of each class with what is prepared of it; partial aggregates, so a class of any size travels as few rows."""
+    return made.groupBy("c1", "c2").agg(F.min("id").alias("rep"), *(F.first(c, True).alias(c) for c in cols))
+
+
+def keyed(first: DataFrame) -> DataFrame:
+    """(rep, key): the keys of representatives (rep, folds, segments)."""
     import pandas as pd
 
     def run(batches):
         for b in batches:
-            if not len(b):
+            if len(b):
+                yield pd.DataFrame({"rep": b["rep"], "key": keys(np.stack(b["folds"]), np.stack(b["segments"]))})
+
+    return first.select("rep", "folds", "segments").mapInPandas(run, "rep bigint, key array<bigint>").select("rep", F.explode("key").alias("key"))
+
+
+def meeting(block: int):
+    """A function over rows (rep, key) in order of key: pairs (a, b) of one key, a < b, and rows (a, null, key) of keys that more than
+    ``block`` rows have. Only the rows of one key are held, and of a hot key hardly more than ``block``: from there on its rows are passed through."""
+    import pandas as pd
+
+    def flush(k, r):
+        """Pairs and hot rows of whole keys; k is sorted."""
+        begin = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+        size = np.diff(np.r_[begin, len(k)])
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for n in np.unique(size[(size > 1) & (size <= block)]):
+            rows = r[begin[size == n][:, None] + np.arange(n)]
+            i, j = np.triu_indices(n, 1)
+            a.append(rows[:, i].ravel())
+            b.append(rows[:, j].ravel())
+        a, b = np.concatenate(a), np.concatenate(b)
+        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b], axis=0)
+        yield pd.DataFrame({"a": both[:, 0], "b": pd.array(both[:, 1], "Int64"), "key": pd.array([None] * len(both), "Int64")})
+        hot = np.repeat(size > block, size)
+        if hot.any():
+            yield pd.DataFrame({"a": r[hot], "b": pd.array([None] * int(hot.sum()), "Int64"), "key": pd.array(k[hot], "Int64")})
+
+    def run(batches):
+        k, r = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        passed = None  # the hot key whose rows are passed through
+        for batch in batches:
+            nk, nr = batch["key"].to_numpy(np.int64), batch["rep"].to_numpy(np.int64)
+            if passed is not None:
+                n = int(np.searchsorted(nk, passed, "right")) if len(nk) and nk[0] == passed else 0
+                if n:
+                    yield pd.DataFrame({"a": nr[:n], "b": pd.array([None] * n, "Int64"), "key": pd.array(nk[:n], "Int64")})
+                    nk, nr = nk[n:], nr[n:]
+                if len(nk):
+                    passed = None
+            k, r = np.concatenate([k, nk]), np.concatenate([r, nr])
+            if not len(k):
                 continue
-            segs = np.stack(b["segments"])
-            out = pd.DataFrame({"rep": b["id"], "key": keys(np.stack(b["folds"]), segs)})
-            if "blocks" in b:
-                many = np.repeat(np.stack(b["blocks"]), golay.KEYS, 1)
-                out["n"] = [v[i >= 0] for v, i in zip(many, golay.indices(segs).reshape(len(b), -1))]
-            yield out
+            last = int(np.searchsorted(k, k[-1], "left"))
+            if last:
+                yield from flush(k[:last], r[:last])
+                k, r = k[last:], r[last:]
+            if len(k) > block:
+                passed = k[-1]
+                yield from flush(k, r)
+                k, r = k[:0], r[:0]
+        if len(k):
+            yield from flush(k, r)
 
-    cols = [c for c in ("id", "folds", "segments", "blocks") if c in own.columns]
-    if "blocks" not in cols:
-        return own.select(*cols).mapInPandas(run, "rep bigint, key array<bigint>").select("rep", F.explode("key").alias("key"))
-    k = own.select(*cols).mapInPandas(run, "rep bigint, key array<bigint>, n array<int>")
-    return k.select("rep", F.explode(F.arrays_zip("key", "n")).alias("k")).select("rep", "k.key", "k.n")
+    return run
 
 
 def _blocks(n):
@@ -170,26 +232,32 @@ def _blocks(n):
     return F.ceil(n / BLOCK).cast("int")
 
 
-def met(first: DataFrame) -> DataFrame:
-    """(a, b), a < b: representatives that share a key, each pair once.
+def candidates(made: DataFrame) -> DataFrame:
+    """(a, b), a < b: representatives that share a key and whose sketches don't differ in too many places, each pair once.
 
-    The anchors of a segment bound how many texts can share its keys. If any are those of more than BLOCK texts, the keys of such segments meet in blocks: a
-    row of the first side goes to one block of its key, on the second side to all, so that a key that much of the
-    collection has is split over tasks. Otherwise both sides are one shuffle.
+    Keys are moved once. A key of more than BLOCK rows is met in blocks afterwards: a row of its first side goes to one block of the
+    key, on the second side to all, so that a key that much of the collection has is split over tasks.
     """
     from ..session import cut
 
-    folds = first.select("id", F.posexplode("folds").alias("seg", "fold"))
-    hot = cut(folds.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK).withColumn("n", _blocks(F.col("n"))))
+    places = ("s0", "s1", "s2")
+    first = representatives(made, "folds", "segments")
+    sketches = representatives(made, *places).select("rep", *places)
+    of = lambda x: sketches.select(F.col("rep").alias(x), *(F.col(c).alias(f"{x}{c}") for c in places))
+    near = lambda df: df.join(of("a"), "a").join(of("b"), "b", "left").filter(F.col("b").isNull() | (F.bit_count(F.expr(" | ".join(f"(a{c} ^ b{c})" for c in places))) <= APART))
+    met = keyed(first).repartition("key").sortWithinPartitions("key").mapInPandas(meeting(BLOCK), "a bigint, b bigint, key bigint").distinct()
+    # most that meet by chance differ in too many places of their sketches to be worth the sight of their texts
+    out = cut(near(met).select("a", "b", "key"))
+    hot = out.filter("b is null").select(F.col("a").alias("rep"), "key")
+    cold = out.filter("b is not null").select("a", "b")
     if hot.isEmpty():
-        at = keyed(first)
-        return at.withColumnRenamed("rep", "a").join(at.withColumnRenamed("rep", "b"), "key").filter("a < b").select("a", "b").distinct()
-    own = folds.join(hot, "fold").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("seg", "n"))).alias("own"))
-    blocks = F.transform(F.sequence(F.lit(0), F.lit(SEGMENTS - 1)), lambda j: F.coalesce(F.element_at("own", j), F.lit(1)))
-    at = keyed(first.join(own, "id", "left").withColumn("own", F.coalesce("own", F.create_map().cast("map<int,int>"))).withColumn("blocks", blocks))
+        return cold
+    n = hot.groupBy("key").agg(_blocks(F.count(F.lit(1))).alias("n"))
+    at = hot.join(n, "key")
     a = at.select("key", F.col("rep").alias("a"), F.pmod(F.xxhash64("rep"), "n").cast("int").alias("block"))
     b = at.select("key", F.col("rep").alias("b"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("block"))
-    return a.join(b, ["key", "block"]).filter("a < b").select("a", "b").distinct()
+    more = a.join(b, ["key", "block"]).filter("a < b").select("a", "b").distinct()
+    return cut(cold.unionByName(near(more).select("a", "b")).distinct())
 
 
 def linked(df: DataFrame, key: str, text: str, k: int, least: float, skip=None) -> tuple[DataFrame, DataFrame]:
@@ -202,12 +270,7 @@ def linked(df: DataFrame, key: str, text: str, k: int, least: float, skip=None)
     own = made.select("id", "c1", "c2").distinct()
     reps = own.groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
     members = cut(own.join(reps, ["c1", "c2"]).select("rep", "id", "n"))
-    first = made.join(members.filter("rep = id").select("id"), "id", "left_semi").dropDuplicates(["id"])
-    found = met(first)
-    # most that meet by chance differ in too many places of their sketches to be worth the sight of their texts
-    of = lambda x: made.select(F.col("id").alias(x), *(F.col(f"s{j}").alias(f"{x}{j}") for j in range(3))).dropDuplicates([x])
-    apart = F.bit_count(F.expr(" | ".join(f"(a{j} ^ b{j})" for j in range(3))))
-    near = cut(found.join(of("a"), "a").join(of("b"), "b").filter(apart <= APART).select("a", "b"))
+    near = candidates(made)
     need = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     told = texts.join(need, "id", "left_semi").dropDuplicates(["id"])
 

@@ -104,6 +104,24 @@ def test_hot_keys_and_classes_are_split(spark, monkeypatch):
     assert len(want) > 500 and run(spark, rows) == want
 
 
+def test_meeting_of_keys_in_batches():
+    """Brute force over any cut of the sorted rows into batches."""
+    import pandas as pd
+
+    r = random.Random(3)
+    for _ in range(200):
+        rows = sorted((r.choice([1, 2, 2, 2, 3, 4, 5]), r.randint(0, 30)) for _ in range(r.randint(0, 40)))
+        cuts = sorted(r.sample(range(len(rows) + 1), min(len(rows) + 1, r.randint(0, 5))))
+        parts = [rows[a:b] for a, b in zip([0, *cuts], [*cuts, len(rows)])]
+        got = pd.concat([pd.DataFrame({"a": [], "b": [], "key": []}), *neardup.meeting(5)(pd.DataFrame({"key": [k for k, _ in p], "rep": [x for _, x in p]}, dtype="int64") for p in parts)])
+        of = {k: [x for y, x in rows if y == k] for k, _ in rows}
+        want = {(min(a, b), max(a, b)) for v in of.values() if len(v) <= 5 for a, b in combinations(v, 2) if a != b}
+        pairs = got[got.b.notna()]
+        assert {(int(a), int(b)) for a, b in zip(pairs.a, pairs.b)} == want
+        hot = got[got.b.isna()]
+        assert sorted((int(k), int(a)) for k, a in zip(hot.key, hot.a)) == sorted((k, x) for k, v in of.items() if len(v) > 5 for x in v)
+
+
 def test_links(spark):
     a, b = " ".join(VOCABULARY[:50]), " ".join(VOCABULARY[:48] + ["x", "y"])
     rows = [(5, a), (3, a.upper()), (3, a), (9, b), (11, "a b c d"), (12, None), (13, "a b")]
