@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import intervals, islands
+from ..operators.periods import periods
 from ..session import table
 from .base import FRAMES, LINES, WORDS, Registry, frames, lines, words
+from .text import _MARK, _SPLIT, _STRIP
+from .text import _N as _NORM
 
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
@@ -33,11 +36,11 @@ def win_longest_pause(s, d):
     return m.select("user_id", "m.a", "m.b")
 
 
-@query(f"""with {FRAMES}, {_QUIET}, z as (select user_id, f as line, f * 10 a, f * 10 + 14 b from fr where f < 50)
+@query(f"""with {FRAMES}, {_QUIET}, z as (select user_id, f as line, f * 10 a, f * 10 + 14 b from fr)
 select z.user_id, z.line, greatest(ru.a, z.a) ra, least(ru.b, z.b) rb from z join ru on z.user_id = ru.user_id and ru.a < z.b and ru.b > z.a""")
 def join_line_silence(s, d):
-    """Silence around each line (a stretch of 14 frames every 10), clipped to it."""
-    z = frames(s, d).filter("f < 50").select("user_id", F.col("f").alias("line"), (F.col("f") * 10).alias("a"), (F.col("f") * 10 + 14).alias("b"))
+    """Silence around each line (a stretch of 14 frames from every tenth frame on), clipped to it."""
+    z = frames(s, d).select("user_id", F.col("f").alias("line"), (F.col("f") * 10).alias("a"), (F.col("f") * 10 + 14).alias("b"))
     return intervals.overlap(z, quiet(s, d), "user_id").select("user_id", "line", "ra", "rb")
 
 
@@ -73,9 +76,11 @@ def win_hit_clusters(s, d):
     return b.select("tid", "line", r6(F.col("start")).alias("start"), r6(F.col("end")).alias("end"), "n")
 
 
-@query(f'with {WORDS}, h as (select *, pos // 12 line from w), {_CLU} select tid, line, round(min(s), 6) as start, round(max(e), 6) as "end" from (select *, row_number() over (partition by tid, line order by n desc, cl) rn from g) where rn = 1 group by 1, 2')
+@query(f"with {LINES}, j as (select p.section, l.* from (select plan_id, section, unnest(line_idx) i from plan_sections) p join l using (plan_id, i)) select plan_id, section, round(min(start_s), 6) as start, round(max(end_s), 6) as \"end\" from j where start_s is not null and end_s is not null group by 1, 2")
 def agg_line_times(s, d):
-    return win_hit_clusters(s, d).select("tid", "line", "start", "end")
+    """From the first start to the largest end of what belongs together: the timed lines of each section."""
+    j = section_lines(s, d, "start_s", "end_s").filter("start_s is not null and end_s is not null")
+    return j.groupBy("plan_id", "section").agg(r6(F.min("start_s")).alias("start"), r6(F.max("end_s")).alias("end"))
 
 
 _ACT = """fr as (select tid, f from (select distinct tid, unnest(range(cast(trunc(s / 0.02) as bigint), cast(trunc(e / 0.02) as bigint))) f from w where e > s) where f % 100 < 55),
@@ -102,10 +107,11 @@ def join_word_frames(s, d):
     return j.groupBy("tid", "pos").agg(F.count(F.lit(1)).alias("n"), F.count("on").alias("active"))
 
 
-@query(f"with {WORDS}, {_ACT} select y.tid, y.pos from y left join fr on y.tid = fr.tid and y.f = fr.f group by 1, 2 having count(fr.f) >= 0.4 * count(*)")
+@query(f"with {WORDS}, {_ACT} select y.tid, y.pos from y left join fr on y.tid = fr.tid and y.f = fr.f group by 1, 2 having count(fr.f) >= 0.4 * count(*) union select transcript_id, cast(pos as bigint) from words where coalesce(wtype, '') <> 'word'")
 def flt_only_sung(s, d):
-    """Words at least 0.4 of whose frames are active."""
-    return join_word_frames(s, d).filter("active >= 0.4 * n").select("tid", "pos")
+    """What stays of a transcript: words at least 0.4 of whose frames are active, and all that is no word. Words without times have no frames."""
+    other = table(s, d, "words").filter(F.coalesce("wtype", F.lit("")) != "word").select(F.col("transcript_id").alias("tid"), F.col("pos").cast("bigint").alias("pos"))
+    return join_word_frames(s, d).filter("active >= 0.4 * n").select("tid", "pos").unionByName(other).distinct()
 
 
 _UN = f"""{LINES}, u as (select plan_id, i, line_id, case when timed then start_s end s, case when timed then end_s end e from l),
@@ -137,64 +143,69 @@ def flt_untimed(s, d):
     return t.select("line_id", "plan_id", (F.row_number().over(W.partitionBy("plan_id").orderBy("i", "line_id")) - 1).cast("bigint").alias("k"))
 
 
-_ANN = f"""{LINES}, t as (select plan_id, i, line_id, start_s s, end_s e from l where start_s is not null and end_s is not null),
+_ANN = f"""{LINES}, t as (select plan_id, i, line_id, start_s s, end_s e from l where start_s is not null and end_s is not null and plan_id is not null),
 nb as (select *, lead(s) over o ns, lag(e) over o pe from t window o as (partition by plan_id order by i, line_id)),
-fr as (select plan_id, f from (select distinct plan_id, unnest(range(cast(floor(s * 10) as bigint), cast(floor(e * 10) as bigint))) f from t where e > s and s >= 0 and e - s < 60)),
-q0 as (select plan_id, cast(max(floor(e * 10)) as bigint) + 300 m from t group by 1 having max(e) < 36000), q as (select plan_id, unnest(range(0, m)) f from q0),
-qq as (select q.plan_id, q.f, q.f - row_number() over (partition by q.plan_id order by q.f) g from q anti join fr on q.plan_id = fr.plan_id and q.f = fr.f),
-ru as (select plan_id, min(f) a, max(f) + 1 b from qq group by plan_id, g),
-w as (select *, cast(floor((e - 0.2) * 10) as bigint) wa, cast(floor((case when ns is null then e + 30 else ns + 0.1 end) * 10) as bigint) wb, case when ns is null then 30.0 else greatest(0.0, ns - e - 0.1) end wg from nb),
+iv as (select plan_id, greatest(0, cast(floor(s / 0.02) as bigint)) a, cast(floor(e / 0.02) as bigint) b from t where e > s),
+mx as (select plan_id, greatest(0, cast(floor(max(e) / 0.02) as bigint)) + 1500 m from t group by 1),
+cu as (select plan_id, a, b, max(b) over (partition by plan_id order by a, b rows between unbounded preceding and 1 preceding) top from iv where a < b),
+ru as (select plan_id, greatest(0, coalesce(top, 0)) a, a b from cu where a > coalesce(top, 0)
+  union all select mx.plan_id, greatest(0, coalesce(max(cu.b), 0)), mx.m from mx left join cu using (plan_id) group by mx.plan_id, mx.m having mx.m > coalesce(max(cu.b), 0)),
+w as (select *, cast(floor((e - 0.2) / 0.02) as bigint) wa, cast(floor((case when ns is null then e + 30 else ns + 0.1 end) / 0.02) as bigint) wb, case when ns is null then 30.0 else greatest(0.0, ns - e - 0.1) end wg,
+  cast(floor(greatest(0.0, case when pe is null then s - 30 else pe - 0.2 end) / 0.02) as bigint) va, cast(floor((s + 0.1) / 0.02) as bigint) vb from nb),
 cl as (select w.line_id, greatest(ru.a, w.wa) a, least(ru.b, w.wb) b from w join ru on w.plan_id = ru.plan_id and ru.a < w.wb and ru.b > w.wa),
-be as (select line_id, arg_max({{{{'a': a, 'b': b}}}}, (b - a) * 1000000000 - a) m from cl group by 1),
-lo as (select line_id, min(a) a from cl where b - a >= 3 group by 1),
-r as (select w.*, be.m.a a, be.m.b b, lo.a la, (coalesce(be.m.b - be.m.a, 0)) * 0.1 len from w left join be using (line_id) left join lo using (line_id))"""
-_ANN = _ANN.replace("{{{{", "{").replace("}}}}", "}").replace("{{", "{").replace("}}", "}")
+bk as (select w.line_id, max(least(ru.b, w.vb)) b from w join ru on w.plan_id = ru.plan_id and ru.a < w.vb and ru.b > w.va where least(ru.b, w.vb) - greatest(ru.a, w.va) >= 15 group by 1),
+be as (select line_id, a, b from cl qualify row_number() over (partition by line_id order by b - a desc, a) = 1),
+lo as (select line_id, min(a) a from cl where b - a >= 15 group by 1),
+r as (select w.*, be.a, be.b, lo.a la, bk.b ba, coalesce(be.b - be.a, 0) n from w left join be using (line_id) left join lo using (line_id) left join bk using (line_id))"""
 
 
-@query(f"""with {_ANN} select line_id, round(case when b is not null and len >= 0.15 then greatest(len, wg) else wg end, 6) as vgap,
-round(case when b is not null and len >= 0.15 then (a + b) / 2.0 * 0.1 when ns is not null then (e + ns) / 2 else e + 1.0 end, 6) as vgap_mid,
-round(least(coalesce(ns, 1e9), greatest(e, case when la is not null then least(la * 0.1, coalesce(ns, 1e9)) else e + least(0.15, wg / 2 + 0.02) end)), 6) as sing_end from r""")
+@query(f"""with {_ANN} select line_id, round(case when n >= 8 then greatest(n * 0.02, wg) else wg end, 6) as vgap,
+round(case when n >= 8 then (a + b) / 2.0 * 0.02 when ns is not null then (e + ns) / 2 else e + 1.0 end, 6) as vgap_mid,
+round(least(coalesce(ns, 1e9), greatest(e, case when la is not null then least(la * 0.02, coalesce(ns, 1e9)) else e + least(0.15, wg / 2 + 0.02) end)), 6) as sing_end,
+round(least(s, greatest(case when ba is not null then ba * 0.02 else s - 0.15 end, coalesce(pe, 0.0))), 6) as sing_start from r""")
 def win_annotate(s, d):
-    """Pause after each line: the longer of a real silence and the gap to the next line, where to cut in it, and where
-    the singing ends. Frames of 0.1 s; a frame is quiet if no line of the plan covers it.
+    """Where the singing of each line begins and ends, the pause after it (the longer of a real silence and the gap to the next line),
+    and where to cut in that. Frames of 0.02 s; a frame is quiet if no line of the plan covers it, up to 30 s after the last line.
 
-    As in the SQL, lines of 60 s or more or with a negative start cover no frame, and plans that end at 36,000 s or later have
-    no silence."""
-    t = lines(s, d, "start_s", "end_s").select("plan_id", "i", "line_id", F.col("start_s").alias("s"), F.col("end_s").alias("e")).filter("s is not null and e is not null")
+    Quiet runs are the gaps between the periods of a plan. Lines that end at or before their start cover nothing, what lies before 0 is cut off.
+    """
+    t = lines(s, d, "start_s", "end_s").select("plan_id", "i", "line_id", F.col("start_s").alias("s"), F.col("end_s").alias("e")).filter("s is not null and e is not null and plan_id is not null")
     w = W.partitionBy("plan_id").orderBy("i", "line_id")
-    fl = lambda c: F.floor(c * 10)
-    on = intervals.cover(t.filter("e > s and s >= 0 and e - s < 60"), ["plan_id"], fl(F.col("s")), fl(F.col("e")), "f").select("plan_id", "f").distinct()
-    m = t.groupBy("plan_id").agg(F.max("e").alias("x")).filter("x < 36000").select("plan_id", (fl(F.col("x")) + 300).alias("m"))
-    allf = m.select("plan_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m") - 1)).alias("f"))
-    ru = islands.runs(allf.join(on, ["plan_id", "f"], "left_anti"), ["plan_id"], "f", F.lit(True))
-    nb = t.withColumn("ns", F.lead("s").over(w))
-    z = nb.select(
-        "plan_id", "line_id", "e", "ns", fl(F.col("e") - 0.2).alias("a"), fl(F.when(F.col("ns").isNull(), F.col("e") + 30).otherwise(F.col("ns") + 0.1)).alias("b"),
-        F.when(F.col("ns").isNull(), 30.0).otherwise(F.greatest(F.lit(0.0), F.col("ns") - F.col("e") - 0.1)).alias("wg"),
-    )
-    c = intervals.overlap(z.select("plan_id", "line_id", "a", "b"), ru, "plan_id")
+    fl = lambda c: F.floor(c / HOP)
+    p = periods(t.filter("e > s").select("plan_id", F.greatest(F.lit(0), fl(F.col("s"))).alias("a"), fl(F.col("e")).alias("b")), ("plan_id",), "a", "b")
+    ends = p.filter("kind = 'period'").groupBy("plan_id").agg(F.min("from_ms").alias("p0"), F.max("to_ms").alias("p1"))
+    m = t.groupBy("plan_id").agg((F.greatest(F.lit(0), fl(F.max("e"))) + 1500).alias("m")).join(ends, "plan_id", "left")
+    edge = F.array(F.struct(F.lit(0).cast("bigint").alias("a"), F.coalesce("p0", F.lit(0)).alias("b")), F.struct(F.coalesce("p1", F.lit(0)).alias("a"), F.col("m").alias("b")))
+    ru = p.filter("kind = 'gap'").select("plan_id", F.col("from_ms").alias("a"), F.col("to_ms").alias("b")).unionByName(m.select("plan_id", F.explode(edge).alias("x")).select("plan_id", "x.a", "x.b").filter("a < b"))
+    z = t.withColumns({"ns": F.lead("s").over(w), "pe": F.lag("e").over(w)})
+    z = z.withColumn("wg", F.when(F.col("ns").isNull(), 30.0).otherwise(F.greatest(F.lit(0.0), F.col("ns") - F.col("e") - 0.1)))
+    after = F.struct(F.lit(1).alias("side"), fl(F.col("e") - 0.2).alias("a"), fl(F.coalesce(F.col("ns") + 0.1, F.col("e") + 30)).alias("b"))
+    back = F.struct(F.lit(0).alias("side"), fl(F.greatest(F.lit(0.0), F.coalesce(F.col("pe") - 0.2, F.col("s") - 30))).alias("a"), fl(F.col("s") + 0.1).alias("b"))
+    c = intervals.overlap(z.select("plan_id", "line_id", F.explode(F.array(after, back)).alias("x")).select("plan_id", "line_id", "x.*"), ru, "plan_id").withColumn("n", F.col("rb") - F.col("ra"))
     best = c.groupBy("line_id").agg(
-        F.max_by(F.struct("ra", "rb"), F.struct(F.col("rb") - F.col("ra"), -F.col("ra"))).alias("m"), F.min(F.when(F.col("rb") - F.col("ra") >= 3, F.col("ra"))).alias("la")
-    )
-    r = z.join(best, "line_id", "left").withColumn("len", F.coalesce(F.col("m.rb") - F.col("m.ra"), F.lit(0)) * 0.1)
-    ns = F.coalesce("ns", F.lit(1e9))
-    real = F.col("m").isNotNull() & (F.col("len") >= 0.15)
+        F.min(F.when(F.col("side") == 1, F.struct((-F.col("n")).alias("n"), "ra", "rb"))).alias("m"),
+        F.min(F.when((F.col("side") == 1) & (F.col("n") >= 15), F.col("ra"))).alias("la"), F.max(F.when((F.col("side") == 0) & (F.col("n") >= 15), F.col("rb"))).alias("ba"),
+    )
+    r = z.join(best, "line_id", "left").withColumn("n", F.coalesce(-F.col("m.n"), F.lit(0)))
+    ns, real = F.coalesce("ns", F.lit(1e9)), F.col("n") >= 8
     return r.select(
         "line_id",
-        r6(F.when(real, F.greatest("len", "wg")).otherwise(F.col("wg"))).alias("vgap"),
-        r6(F.when(real, (F.col("m.ra") + F.col("m.rb")) / 2.0 * 0.1).when(F.col("ns").isNotNull(), (F.col("e") + F.col("ns")) / 2).otherwise(F.col("e") + 1.0)).alias("vgap_mid"),
-        r6(F.least(ns, F.greatest("e", F.when(F.col("la").isNotNull(), F.least(F.col("la") * 0.1, ns)).otherwise(F.col("e") + F.least(F.lit(0.15), F.col("wg") / 2 + 0.02))))).alias("sing_end"),
+        r6(F.when(real, F.greatest(F.col("n") * HOP, F.col("wg"))).otherwise(F.col("wg"))).alias("vgap"),
+        r6(F.when(real, (F.col("m.ra") + F.col("m.rb")) / 2.0 * HOP).when(F.col("ns").isNotNull(), (F.col("e") + F.col("ns")) / 2).otherwise(F.col("e") + 1.0)).alias("vgap_mid"),
+        r6(F.least(ns, F.greatest("e", F.when(F.col("la").isNotNull(), F.least(F.col("la") * HOP, ns)).otherwise(F.col("e") + F.least(F.lit(0.15), F.col("wg") / 2 + 0.02))))).alias("sing_end"),
+        r6(F.least("s", F.greatest(F.coalesce(F.col("ba") * HOP, F.col("s") - 0.15), F.coalesce("pe", F.lit(0.0))))).alias("sing_start"),
     )
 
 
-@query(f"""with {FRAMES}, x as (select user_id, f, v >= 80 act from fr), y as (select user_id, f, act, max(act::int) over (partition by user_id order by f rows between 3 preceding and 2 following) dil from x)
-select user_id, f, min(dil) over (partition by user_id order by f rows between 2 preceding and 3 following) = 1 as active from y""")
+@query(f"""with {FRAMES}, x as (select user_id, f, v >= 80 act from fr), y as (select user_id, f, max(act::int) over (partition by user_id order by f rows between 2 preceding and 3 following) dil from x)
+select user_id, f, min(dil) over w = 1 and count(*) over w = 6 as active from y window w as (partition by user_id order by f rows between 3 preceding and 2 following)""")
 def win_closing(s, d):
-    """Morphological closing with a structure of six frames: dilate, then erode with the mirrored window. Frames beyond
-    the ends of the series don't count."""
+    """Morphological closing with a structure of six frames: dilate, then erode with the mirrored window. What lies beyond the ends
+    of the series is off, so the first three frames and the last two are never active."""
     w = W.partitionBy("user_id").orderBy("f")
-    x = frames(s, d).withColumn("dil", F.max((F.col("v") >= 80).cast("int")).over(w.rowsBetween(-3, 2)))
-    return x.select("user_id", "f", (F.min("dil").over(w.rowsBetween(-2, 3)) == 1).alias("active"))
+    x = frames(s, d).withColumn("dil", F.max((F.col("v") >= 80).cast("int")).over(w.rowsBetween(-2, 3)))
+    e = w.rowsBetween(-3, 2)
+    return x.select("user_id", "f", ((F.min("dil").over(e) == 1) & (F.count(F.lit(1)).over(e) == 6)).alias("active"))
 
 
 @query("select distinct lrclib_id from lrclib where not coalesce(instrumental, false)")
@@ -216,24 +227,32 @@ def section_lines(s, d, *cols):
     return x.join(lines(s, d, *cols), ["plan_id", "i"])
 
 
-@query(f"with {LINES}, {_SEC} select plan_id, section from j group by 1, 2 having coalesce(max(case when end_s is not null then end_s end) - min(start_s), 99) < 1.0 and sum(len(string_split_regex(trim(coalesce(text, '')), '\\s+'))) <= 2")
+@query(f"with {LINES}, {_SEC} select plan_id, section from j group by 1, 2 having arg_max(coalesce(end_s, 1e9), k) - arg_min(coalesce(start_s, -1e9), k) < 1.0 and sum(len(string_split_regex(trim(coalesce(text, '')), '\\s+'))) <= 2")
 def flt_adlib(s, d):
-    """Sections shorter than a second with at most two words."""
+    """Sections of less than a second from the start of their first line to the end of their last, with at most two words."""
     n = F.size(F.split(F.trim(F.coalesce("text", F.lit(""))), r"\s+"))
-    g = section_lines(s, d, "text", "start_s", "end_s").groupBy("plan_id", "section").agg(F.coalesce(F.max("end_s") - F.min("start_s"), F.lit(99.0)).alias("t"), F.sum(n).alias("n"))
+    span = F.max_by(F.coalesce("end_s", F.lit(1e9)), "k") - F.min_by(F.coalesce("start_s", F.lit(-1e9)), "k")
+    g = section_lines(s, d, "text", "start_s", "end_s").groupBy("plan_id", "section").agg(span.alias("t"), F.sum(n).alias("n"))
     return g.filter("t < 1.0 and n <= 2").select("plan_id", "section")
 
 
-_CAND = "y as (select lrclib_id, song_id, cand, plainlyrics t from (select distinct lrclib_id, song_id, cand, plainlyrics, instrumental from lrclib) where not coalesce(instrumental, false) and plainlyrics <> '')"
+_CAND = f"y as (select lrclib_id, song_id, cand, list_filter(list_transform({_SPLIT.format("coalesce(nullif(syncedlyrics, ''), plainlyrics)")}, lambda x: {_STRIP.format('x')}), lambda x: not {_MARK.format('x')}) ls from (select distinct on (lrclib_id) * from lrclib) where not coalesce(instrumental, false))"
+
 
+def sung_lines(s, d):
+    """(lrclib_id, song_id, cand, lines): the sung lines of each candidate that is not instrumental, of its synced text if it has one, else of
+    its plain text; candidates without any are left out."""
+    t = table(s, d, "lrclib").filter("not coalesce(instrumental, false)").select("lrclib_id", "song_id", "cand", "plainlyrics", "syncedlyrics").dropDuplicates(["lrclib_id"])
+    text = F.coalesce(F.nullif("syncedlyrics", F.lit("")), "plainlyrics")
+    return t.select("lrclib_id", "song_id", "cand", T.parse_lyrics(text).alias("lines")).filter("size(lines) > 0")
 
-@query(rf"with {_CAND}, k as (select *, regexp_replace(lower(t), '[^\p{{L}}\p{{M}}\p{{N}}_''\n]', '', 'g') key from y), f as (select *, row_number() over (partition by song_id, key order by cand, lrclib_id) n from k where key <> '') select song_id, lrclib_id, cast(row_number() over (partition by song_id order by cand, lrclib_id) as bigint) as rank from f where n = 1 qualify rank <= 8")
+
+@query(rf"with {_CAND}, k as (select *, array_to_string(list_transform(ls, lambda x: {_NORM.format('x')}), chr(10)) key from y where len(ls) > 0), f as (select *, row_number() over (partition by song_id, key order by cand, lrclib_id) n from k) select song_id, lrclib_id, cast(row_number() over (partition by song_id order by cand, lrclib_id) as bigint) as rank from f where n = 1 qualify rank <= 8")
 def dedup_candidates(s, d):
-    """Candidates of a song, the first of those with the same normalized text, at most eight in their order."""
-    t = table(s, d, "lrclib").filter("not coalesce(instrumental, false) and plainlyrics <> ''").select("lrclib_id", "song_id", "cand", "plainlyrics").dropDuplicates(["lrclib_id"])
-    t = t.withColumn("key", F.regexp_replace(F.lower("plainlyrics"), r"[^\p{L}\p{M}\p{N}_'\n]", "")).filter("key != ''")
+    """Candidates of a song, the first of those with the same normalized sung lines, at most eight in their order."""
+    t = sung_lines(s, d).withColumn("key", F.md5(F.array_join(F.transform("lines", T.norm), "\n")))
     # the first of equals by a mergeable minimum; no window over a song's texts
-    f = t.groupBy("song_id", F.md5(F.col("key")).alias("h")).agg(F.min(F.struct("cand", "lrclib_id")).alias("m"))
+    f = t.groupBy("song_id", "key").agg(F.min(F.struct("cand", "lrclib_id")).alias("m"))
     n = F.row_number().over(W.partitionBy("song_id").orderBy("m.cand", "m.lrclib_id")).cast("bigint")
     return f.select("song_id", "m.lrclib_id", n.alias("rank")).filter("rank <= 8")
 
@@ -269,4 +288,14 @@ def dedup_sections(s, d):
     return k.join(f, ["plan_id", "key"]).groupBy("plan_id", "section").agg(F.bool_or(F.col("f") == F.col("section")).alias("kept"))
 
 
-query(_DS, "join_subset")(dedup_sections)
+_JS = f"with {LINES}, {_SEC}, k as (select distinct plan_id, section, {_NK} key from j where text is not null) select a.plan_id, a.section as later, b.section as earlier from k a join k b on a.plan_id = b.plan_id and a.key = b.key and b.section < a.section group by 1, 2, 3 having count(*) = (select count(*) from k where k.plan_id = a.plan_id and k.section = a.section)"
+
+
+@query(_JS)
+def join_subset(s, d):
+    """Pairs of sections of a plan of which the later one has no line the earlier one lacks."""
+    k = section_lines(s, d, "text").filter("text is not null").select("plan_id", "section", T.norm(F.col("text")).alias("key")).distinct()
+    n = k.groupBy("plan_id", "section").agg(F.count(F.lit(1)).alias("n"))
+    a, b = k.withColumnRenamed("section", "later"), k.withColumnRenamed("section", "earlier")
+    c = a.join(b, ["plan_id", "key"]).filter("earlier < later").groupBy("plan_id", "later", "earlier").agg(F.count(F.lit(1)).alias("c"))
+    return c.join(n.withColumnRenamed("section", "later"), ["plan_id", "later"]).filter("c = n").select("plan_id", "later", "earlier")

@@ -7,10 +7,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import islands
 from ..operators import sections as S
 from ..session import table
 from .base import LINES, Registry, lines, words
-from .lines import _SEC, section_lines
+from .lines import _SEC, section_lines, sung_lines
 
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
@@ -78,12 +79,18 @@ def sort_segments(s, d):
     return t.select("plan_id", "section", F.row_number().over(W.partitionBy("plan_id").orderBy(F.array_min("line_idx").asc_nulls_last(), "section")).cast("bigint").alias("rank"))
 
 
-@query(f"with {LINES} select p.plan_id, coalesce(bool_and(coalesce(translation, '') <> '') and count(distinct i) = count(i), false) as complete from plan_docs p left join l using (plan_id) group by 1")
+@query(f"""with {LINES}, g as (select plan_id, i, list(translation order by coalesce(edited_at, timestamp '1970-01-01'), line_id) t from l where i is not null group by 1, 2),
+a as (select plan_id, i, k, t[k] tr from g, (select unnest([1, 2, 3]) k)), n as (select plan_id, k, bool_and(coalesce(tr, '') <> '') ok from a group by 1, 2), f as (select plan_id, min(k) k from n where ok group by 1)
+select p.plan_id, coalesce(cast(f.k as int), 0) as tries, f.k is not null as complete from plan_docs p left join f using (plan_id)""")
 def agg_complete_answer(s, d):
-    """Whether every line of a plan has exactly one translation that isn't empty."""
-    j = table(s, d, "plan_docs").select("plan_id").join(lines(s, d, "translation"), "plan_id", "left")
-    ok = F.bool_and(F.coalesce("translation", F.lit("")) != "") & (F.countDistinct("i") == F.count("i"))
-    return j.groupBy("plan_id").agg(F.coalesce(ok, F.lit(False)).alias("complete"))
+    """The first of three answers that has a translation for every line of a plan, 0 if none has: an answer that lacks one is
+    asked for again. The k-th answer for a line is its k-th row by time."""
+    t = lines(s, d, "translation", "edited_at").filter("i is not null and plan_id is not null")
+    at = F.struct(F.coalesce("edited_at", F.lit("1970-01-01").cast("timestamp_ntz")).alias("at"), "line_id", F.col("translation").alias("tr"))
+    g = t.groupBy("plan_id", "i").agg(F.array_sort(F.collect_list(at)).alias("t"))
+    a = g.select("plan_id", "i", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("k"), "t").select("plan_id", "k", F.coalesce(F.get(F.col("t.tr"), F.col("k") - 1), F.lit("")).alias("tr"))
+    ok = a.groupBy("plan_id", "k").agg(F.bool_and(F.col("tr") != "").alias("ok")).filter("ok").groupBy("plan_id").agg(F.min("k").alias("k"))
+    return table(s, d, "plan_docs").select("plan_id").join(ok, "plan_id", "left").select("plan_id", F.coalesce("k", F.lit(0)).cast("int").alias("tries"), F.col("k").isNotNull().alias("complete"))
 
 
 _FL = f"""{_J}, f as (select plan_id, section, arg_min(coalesce(sing_start, start_s), k) s0, arg_max(coalesce(sing_end, end_s), k) s1, arg_max(coalesce(vgap, 1.0), k) lg, arg_max(coalesce(vgap_mid, end_s), k) lm
@@ -116,13 +123,24 @@ def win_song_windows(s, d):
 
 
 
-@query(f'with w0 as ({_WIN}), b as (select plan_id, section, 3.0 + ("end" - start) len from w0) select plan_id, section, round(coalesce(sum(len + 0.6) over (partition by plan_id order by section rows between unbounded preceding and 1 preceding), 0), 6) as t0, round(coalesce(sum(len + 0.6) over (partition by plan_id order by section rows between unbounded preceding and 1 preceding), 0) + len, 6) as t1 from b')
+_CURSOR = f"""{_J}, le as (select plan_id, section, 2.0::double + sum(0.07::double * length(rtrim(text, '.,;:')) + 0.45 + 0.07::double * length(coalesce(translation, '')) + 0.9) + 0.5 x from j where narrate and text is not null group by 1, 2),
+w0 as (select * from ({{win}})), b as (select w0.plan_id, w0.section, coalesce(le.x, 0) + case when le.x is null then 0 else 0.4 end + ("end" - start) len, cut from w0 left join le using (plan_id, section)),
+c as (select *, lag(cut) over (partition by plan_id order by section) pc, coalesce(sum(len + case when cut then -least(1.0, len) else 0.6 end) over (partition by plan_id order by section rows between unbounded preceding and 1 preceding), 0) t from b)
+select plan_id, section, round(t, 6) as t0, round(t + len, 6) as t1 from c"""
+
+
+@query(_CURSOR.format(win=_WIN))
 def win_section_cursor(s, d):
-    """Where each section lies on the lesson's time line: its lesson (3 s here) and excerpt, then a gap of 0.6 s."""
-    b = win_song_windows(s, d).select("plan_id", "section", (3.0 + (F.col("end") - F.col("start"))).alias("len"))
+    """Where each section lies on the time line: its lesson (as win_narration_timeline lays it out, with a tail of 0.5 s and a gap of 0.4 s) and
+    its excerpt. After an excerpt that ends inside singing the next section fades in over its last second, else a gap of 0.6 s follows."""
+    c = section_lines(s, d, "text", "translation", "narrate").filter("narrate and text is not null")
+    clip = 0.07 * F.length(T.rstrip_punct(F.col("text"))) + 0.45 + 0.07 * F.length(F.coalesce("translation", F.lit(""))) + 0.9
+    le = c.groupBy("plan_id", "section").agg((2.0 + F.sum(clip) + 0.5).alias("x"))
+    b = win_song_windows(s, d).join(le, ["plan_id", "section"], "left")
+    b = b.withColumn("len", F.coalesce(F.col("x") + 0.4, F.lit(0.0)) + (F.col("end") - F.col("start")))
     x = W.partitionBy("plan_id").orderBy("section").rowsBetween(W.unboundedPreceding, -1)
-    t0 = F.coalesce(F.sum(F.col("len") + 0.6).over(x), F.lit(0.0))
-    return b.select("plan_id", "section", r6(t0).alias("t0"), r6(t0 + F.col("len")).alias("t1"))
+    t = F.coalesce(F.sum(F.col("len") + F.when(F.col("cut"), -F.least(F.lit(1.0), F.col("len"))).otherwise(0.6)).over(x), F.lit(0.0))
+    return b.select("plan_id", "section", r6(t).alias("t0"), r6(t + F.col("len")).alias("t1"))
 
 
 _CLIP = f"""{_J}, c as (select plan_id, section, k, line_id, 0.07::double * length(rtrim(text, '.,;:')) a, 0.07::double * length(coalesce(translation, '')) b from j where narrate and text is not null),
@@ -174,26 +192,27 @@ def join_zip(s, d):
     return a.join(b, ["plan_id", "section", "k"])
 
 
-@query(f"with {LINES}, m as (select p.song_id, plan_id, cast(count(case when timed then 1 end) as bigint) m, cast(count(*) as bigint) n from l join plan_docs p using (plan_id) group by 1, 2), r as (select *, m - 0.5 * (n - m) sc, row_number() over (partition by song_id order by m - 0.5 * (n - m) desc, plan_id) rn from m) select song_id, plan_id, round(cast(sc as double), 6) as score, m >= 0.4 * n as accepted from r where rn = 1")
+@query(f"with {LINES}, m as (select p.song_id, plan_id, cast(count(case when timed then 1 end) as bigint) m, cast(count(*) as bigint) n from l join plan_docs p using (plan_id) group by 1, 2), r as (select *, m - 0.5 * (n - m) sc, row_number() over (partition by song_id order by m - 0.5 * (n - m) desc, plan_id) rn from m) select song_id, plan_id, round(cast(sc as double), 6) as score, case when m >= 0.4 * n then 'lyrics' else 'transcript' end as source from r where rn = 1")
 def agg_match_score(s, d):
-    """The best matched candidate of a song: matched words (lines here) less half of the others, the first of equals."""
+    """The best matched candidate of a song, given how many of its parts matched (timed lines here): matched ones less half of the others,
+    the first of equals; below 0.4 the transcript serves. agg_match_aligned does the same with aligned words."""
     j = lines(s, d, "timed").join(table(s, d, "plan_docs").select("plan_id", "song_id"), "plan_id")
     m = j.groupBy("song_id", "plan_id").agg(F.count(F.when(F.col("timed"), 1)).alias("m"), F.count(F.lit(1)).alias("n"))
     sc = F.col("m") - 0.5 * (F.col("n") - F.col("m"))
     b = m.groupBy("song_id").agg(F.min(F.struct((-sc).alias("sc"), "plan_id", "m", "n")).alias("x"))
-    return b.select("song_id", "x.plan_id", F.round((-F.col("x.sc")).cast("double"), 6).alias("score"), (F.col("x.m") >= 0.4 * F.col("x.n")).alias("accepted"))
+    source = F.when(F.col("x.m") >= 0.4 * F.col("x.n"), "lyrics").otherwise("transcript")
+    return b.select("song_id", "x.plan_id", F.round((-F.col("x.sc")).cast("double"), 6).alias("score"), source.alias("source"))
 
 
-def _per_plan(s, d):
-    """Lines of each plan in order; timed ones only. A plan is one song's lines, which a task holds easily."""
-    return lines(s, d, "text", "start_s", "end_s", "vgap", "narrate").filter("start_s is not null and end_s is not null and plan_id is not null")
+def _timed(s, d, *cols):
+    """Timed lines of plans; a plan's lines fit a task."""
+    return lines(s, d, "start_s", "end_s", "vgap", "narrate", *cols).filter("start_s is not null and end_s is not null and plan_id is not null")
 
 
-def _lines_of(g: pd.DataFrame) -> tuple[pd.DataFrame, S.Lines]:
+def _track(g: pd.DataFrame) -> tuple[pd.DataFrame, S.Track]:
     g = g.sort_values(["i", "line_id"]).reset_index(drop=True)
-    nxt = g["start_s"].shift(-1) - g["end_s"]
-    gap = g["vgap"].fillna(nxt).fillna(1.0)
-    return g, S.Lines(g["start_s"], g["end_s"], gap, g["narrate"].eq(True))
+    pause = g["vgap"].fillna(g["start_s"].shift(-1) - g["end_s"]).fillna(1.0)
+    return g, S.Track(g["start_s"], g["end_s"], pause, g["narrate"].eq(True))
 
 
 @query()
@@ -201,11 +220,10 @@ def win_gap_sections(s, d):
     """Sections of each plan by its pauses: (plan_id, section, first, last) over its timed lines."""
 
     def run(key, g):
-        g, x = _lines_of(g)
-        out = S.by_gaps(x)
-        return pd.DataFrame({"plan_id": key[0], "section": range(len(out)), "first": [a for a, _ in out], "last": [b - 1 for _, b in out]})
+        b = S.by_pauses(_track(g)[1])
+        return pd.DataFrame({"plan_id": key[0], "section": range(len(b) - 1 if b else 0), "first": b[:-1], "last": [k - 1 for k in b[1:]]})
 
-    return _per_plan(s, d).groupBy("plan_id").applyInPandas(run, "plan_id string, section int, first int, last int")
+    return _timed(s, d).groupBy("plan_id").applyInPandas(run, "plan_id string, section int, first int, last int")
 
 
 @query()
@@ -213,60 +231,129 @@ def win_split_long(s, d):
     """All lines of a plan cut at their best pauses until no part has more than eight told lines."""
 
     def run(key, g):
-        g, x = _lines_of(g)
-        out = S.split_long(x, list(range(len(x))), 8)
+        t = _track(g)[1]
+        out = S.shortened(t, list(range(len(t))), 8)
         return pd.DataFrame({"plan_id": key[0], "part": range(len(out)), "first": [p[0] for p in out], "last": [p[-1] for p in out]})
 
-    return _per_plan(s, d).groupBy("plan_id").applyInPandas(run, "plan_id string, part int, first int, last int")
+    return _timed(s, d).groupBy("plan_id").applyInPandas(run, "plan_id string, part int, first int, last int")
 
 
 @query()
 def win_struct_sections(s, d):
-    """Structured sections of each plan from segments of twelve lines: (plan_id, section, label, n)."""
+    """Sections of each plan from its labelled segments (plan_sections), if these hold every timed line once and in order, else by
+    its pauses: (plan_id, section, label, first, last, n); first and last count the plan's timed lines."""
+
+    def run(key, g, seg):
+        if not len(g):
+            return pd.DataFrame([], columns=["plan_id", "section", "label", "first", "last", "n"])
+        g, t = _track(g)
+        at = {}
+        for k, i in enumerate(g["i"]):
+            at.setdefault(i, []).append(k)
+        segs = [(x or f"part {k + 1}", [j for i in idx for j in at.get(i, [])]) for k, (x, idx) in enumerate(zip(seg["label"], seg["line_idx"]))]
+        segs = sorted((x for x in segs if x[1]), key=lambda x: x[1][0])
+        if S.covers(segs, len(t)):
+            out = S.by_segments(t, [len(x.split()) if isinstance(x, str) else 0 for x in g["text"]], segs)
+        else:
+            b = S.by_pauses(t)
+            out = [(f"part {k + 1}", list(range(x, y))) for k, (x, y) in enumerate(zip(b, b[1:]))]
+        rows = [(key[0], k, label, idx[0], idx[-1], len(idx)) for k, (label, idx) in enumerate(out)]
+        return pd.DataFrame(rows, columns=["plan_id", "section", "label", "first", "last", "n"])
+
+    seg = table(s, d, "plan_sections").filter("plan_id is not null and line_idx is not null").select("plan_id", "section", "label", "line_idx").orderBy("plan_id", "section")
+    pairs = _timed(s, d, "text").groupBy("plan_id").cogroup(seg.groupBy("plan_id"))
+    return pairs.applyInPandas(run, "plan_id string, section int, label string, first int, last int, n int")
+
+
+_TIMED = "with t as (select distinct on (line_id) * from plan_lines) select plan_id, cast(count(*) as bigint) as lines, true as ordered, true as whole from t where start_s is not null and end_s is not null and plan_id is not null group by 1"
+
+
+def _covered(x):
+    """Whether (plan_id, part, first, last) hold the lines 0, 1, ... of each plan once each and in order."""
+    w = W.partitionBy("plan_id").orderBy("part")
+    y = x.withColumns({"p": F.lag("last").over(w)})
+    ok = F.bool_and(F.coalesce(F.col("first") == F.col("p") + 1, F.col("first") == 0))
+    return y.groupBy("plan_id").agg((F.max("last") + 1).cast("bigint").alias("lines"), ok.alias("ordered"), F.bool_and(F.col("first") <= F.col("last")).alias("whole"))
+
+
+@query(_TIMED)
+def x_gap_sections_cover(s, d):
+    """What win_gap_sections must hold: every timed line of a plan is in one section, in order."""
+    return _covered(win_gap_sections(s, d).withColumnRenamed("section", "part"))
+
+
+@query(_TIMED)
+def x_split_long_cover(s, d):
+    """The same of win_split_long."""
+    return _covered(win_split_long(s, d))
+
+
+@query("with t as (select distinct on (line_id) * from plan_lines), n as (select *, row_number() over (partition by plan_id order by i, line_id) - 1 k, coalesce(vgap, lead(start_s) over (partition by plan_id order by i, line_id) - end_s, 1.0) g, lead(line_id) over (partition by plan_id order by i, line_id) nx from t where start_s is not null and end_s is not null and plan_id is not null) select plan_id, cast(k as bigint) as line, false as joined from n where nx is not null and g >= 6.0")
+def x_gap_sections_breaks(s, d):
+    """Pauses of six seconds or more always end a section, unless one of its sides was too small to stand alone; none is inside a
+    section whose sides both have enough told lines."""
+    w = W.partitionBy("plan_id").orderBy("i", "line_id")
+    t = _timed(s, d).withColumns({"k": F.row_number().over(w) - 1, "g": F.coalesce("vgap", F.lead("start_s").over(w) - F.col("end_s"), F.lit(1.0)), "nx": F.lead("line_id").over(w)})
+    t = t.withColumn("told", F.count(F.when(F.col("narrate"), 1)).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    x = win_gap_sections(s, d)
+    inside = t.filter("nx is not null and g >= 6.0").select("plan_id", "k", "told").join(x, "plan_id").filter("k between first and last")
+    ends = t.select("plan_id", F.col("k").alias("e"), F.col("told").alias("n"))
+    j = inside.join(ends.select("plan_id", F.col("e").alias("last"), F.col("n").alias("n1")), ["plan_id", "last"])
+    j = j.join(ends.select("plan_id", (F.col("e") + 1).alias("first"), F.col("n").alias("n0")), ["plan_id", "first"], "left")
+    big = (F.col("told") - F.coalesce("n0", F.lit(0)) >= 4) & (F.col("n1") - F.col("told") >= 4) & (F.col("k") < F.col("last"))
+    return j.select("plan_id", F.col("k").cast("bigint").alias("line"), big.alias("joined"))
+
+
+def matched(s, d):
+    """(song_id, tid, lrclib_id, line, s, e): words of each transcript that match words of a candidate's lyric line, in blocks of two or more.
+
+    A candidate meets every transcript of its song; a song has at most eight candidates (dedup_candidates), so its transcripts are
+    never gathered. The words of one transcript are one array.
+    """
+    import difflib
 
-    def run(key, g):
-        g, x = _lines_of(g)
-        segs = [(f"part {k // 12}", list(range(k, min(k + 12, len(x))))) for k in range(0, len(x), 12)]
-        out = S.structured(x, [len(t.split()) if isinstance(t, str) else 0 for t in g["text"]], segs)
-        return pd.DataFrame({"plan_id": key[0], "section": range(len(out)), "label": [p[0] for p in out], "n": [len(p[1]) for p in out]})
+    from .lines import dedup_candidates
 
-    return _per_plan(s, d).groupBy("plan_id").applyInPandas(run, "plan_id string, section int, label string, n int")
+    w = words(s, d).withColumn("token", T.norm(F.col("text"))).filter("token != ''")
+    heard = w.groupBy("tid").agg(F.array_sort(F.collect_list(F.struct("pos", "token", "s", "e"))).alias("w")).select("tid", F.col("w.token").alias("token"), F.col("w.s").alias("s"), F.col("w.e").alias("e"))
+    of = table(s, d, "scribe_vocals").select("song_id", F.col("transcript_id").alias("tid")).dropDuplicates(["tid"])
+    c = dedup_candidates(s, d).join(sung_lines(s, d).select("lrclib_id", "lines"), "lrclib_id").select("song_id", "lrclib_id", F.transform("lines", T.tokens).alias("lines"))
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for song, tid, lid, text, token, x, y in zip(b["song_id"], b["tid"], b["lrclib_id"], b["lines"], b["token"], b["s"], b["e"]):
+                told = [(i, w) for i, ws in enumerate(text) for w in ws]
+                for m in difflib.SequenceMatcher(None, [w for _, w in told], list(token), autojunk=False).get_matching_blocks():
+                    if m.size >= 2:
+                        rows += [(song, tid, lid, told[m.a + k][0], x[m.b + k], y[m.b + k]) for k in range(m.size)]
+            yield pd.DataFrame(rows, columns=["song_id", "tid", "lrclib_id", "line", "s", "e"])
+
+    j = c.join(of, "song_id").join(heard, "tid").select("song_id", "tid", "lrclib_id", "lines", "token", "s", "e")
+    return j.mapInPandas(run, "song_id string, tid bigint, lrclib_id bigint, line int, s double, e double")
 
 
 @query()
 def join_sequence_align(s, d):
-    """Lyric lines matched to the words of their song's first transcript: (song_id, lrclib_id, line, start, end, matched).
+    """Lyric lines matched to the words of each transcript of their song: (song_id, tid, lrclib_id, line, start, end, n); of a
+    line's hits the largest cluster."""
+    keys = ["song_id", "tid", "lrclib_id", "line"]
+    b = islands.best_cluster(matched(s, d), keys, "s", "e", 2.5)
+    return b.select(*keys, r6(F.col("start")).alias("start"), r6(F.col("end")).alias("end"), "n")
 
-    Matching blocks of at least two normalized words; of a line's hits the largest cluster. A song has one transcript and
-    at most eight candidates (dedup_candidates), so a song's group is bounded.
-    """
+
+@query()
+def agg_match_aligned(s, d):
+    """The lyric of each transcript: of the song's candidates the one with the highest score, matched words less half of the others,
+    the first of equals; kept if 0.4 of its words matched, else the transcript itself serves (lrclib_id is null)."""
     from .lines import dedup_candidates
 
-    def run(key, a, b):
-        import difflib
-
-        b = b.sort_values("pos")
-        heard, at = list(b["token"]), list(zip(b["s"], b["e"]))
-        rows = []
-        for lid, text in zip(a["lrclib_id"], a["lines"]):
-            told = [(i, w) for i, ws in enumerate(text) for w in ws]
-            hits: dict[int, list] = {}
-            for m in difflib.SequenceMatcher(None, [w for _, w in told], heard, autojunk=False).get_matching_blocks():
-                if m.size >= 2:
-                    for k in range(m.size):
-                        hits.setdefault(told[m.a + k][0], []).append(at[m.b + k])
-            for i, h in sorted(hits.items()):
-                h.sort()
-                cl = [[h[0]]]
-                for x in h[1:]:
-                    cl[-1].append(x) if x[0] - cl[-1][-1][1] <= 2.5 else cl.append([x])
-                best = max(cl, key=len)
-                rows.append((key[0], lid, i, round(best[0][0], 6), round(max(e for _, e in best), 6), len(h)))
-        return pd.DataFrame(rows, columns=["song_id", "lrclib_id", "line", "start", "end", "matched"])
-
-    first = table(s, d, "scribe_vocals").groupBy("song_id").agg(F.min("transcript_id").alias("tid"))
-    w = words(s, d).withColumn("token", T.norm(F.col("text"))).filter("token != ''").join(first, "tid").select("song_id", "pos", "token", "s", "e")
-    t = table(s, d, "lrclib").select("lrclib_id", "plainlyrics").dropDuplicates(["lrclib_id"])
-    c = dedup_candidates(s, d).join(t, "lrclib_id").select("song_id", "lrclib_id", F.transform(T.parse_lyrics(F.col("plainlyrics")), T.tokens).alias("lines"))
-    schema = "song_id string, lrclib_id bigint, line int, start double, end double, matched int"
-    return c.groupBy("song_id").cogroup(w.groupBy("song_id")).applyInPandas(run, schema)
+    total = dedup_candidates(s, d).join(sung_lines(s, d).select("lrclib_id", "lines"), "lrclib_id").select("song_id", "lrclib_id", "rank", F.aggregate("lines", F.lit(0), lambda a, x: a + F.size(T.tokens(x))).alias("n"))
+    of = table(s, d, "scribe_vocals").select("song_id", F.col("transcript_id").alias("tid")).dropDuplicates(["tid"])
+    m = matched(s, d).groupBy("tid", "lrclib_id").agg(F.count(F.lit(1)).alias("m"))
+    x = total.join(of, "song_id").join(m, ["tid", "lrclib_id"], "left").withColumn("m", F.coalesce("m", F.lit(0)))
+    sc = F.col("m") - 0.5 * (F.col("n") - F.col("m"))
+    b = x.groupBy("song_id", "tid").agg(F.min(F.struct((-sc).alias("sc"), "rank", "lrclib_id", "m", "n")).alias("x"))
+    b = of.join(b.drop("song_id"), "tid", "left")
+    ok = F.coalesce(F.col("x.m") >= 0.4 * F.col("x.n"), F.lit(False))
+    return b.select("song_id", "tid", F.when(ok, F.col("x.lrclib_id")).alias("lrclib_id"), F.round((-F.col("x.sc")).cast("double"), 6).alias("score"), F.when(ok, "lyrics").otherwise("transcript").alias("source"))

@@ -106,9 +106,9 @@ def fn_default_target(s, d):
     return _labels(s, d).select("plan_id", F.when(F.lower("source_lang") == "en", "fr").otherwise("en").alias("v"))
 
 
-@query("select event_id, cast(cast(trunc(value) as bigint) // 60 as varchar) || ':' || lpad(cast(cast(trunc(value) as bigint) % 60 as varchar), 2, '0') as v from events where value >= 0")
+@query("select event_id, cast(cast(floor(trunc(value) / 60) as bigint) as varchar) || ':' || lpad(cast(cast(trunc(value) - 60 * floor(trunc(value) / 60) as bigint) as varchar), 2, '0') as v from events where value is not null")
 def fn_mmss(s, d):
-    return table(s, d, "events").filter("value >= 0").select("event_id", T.mmss(F.col("value")).alias("v"))
+    return table(s, d, "events").filter("value is not null").select("event_id", T.mmss(F.col("value")).alias("v"))
 
 
 @query("select event_id, round(pow(10, (-value / 10) / 20), 6) as v from events")
@@ -168,25 +168,30 @@ def fn_format_rows(s, d):
     return t.select("plan_id", F.md5(F.array_join("r.r", "\n").cast("binary")).alias("v"))
 
 
-@query("select plan_id, section, coalesce(nullif(label, ''), 'part ' || cast(section as varchar)) as v from plan_sections")
+@query(f"""with {LINES}, x as (select p.plan_id, p.section, p.label, l.text, row_number() over (partition by p.plan_id, p.section order by l.line_id) n from plan_sections p left join l on l.plan_id = p.plan_id and l.i = p.line_idx[1])
+select plan_id, section, coalesce(nullif(label, ''), 'part ' || cast(section as varchar)) as v, coalesce(nullif(label, ''), text[1:30]) as summary from x where n = 1""")
 def prj_section_meta(s, d):
-    t = table(s, d, "plan_sections")
-    return t.select("plan_id", "section", F.coalesce(F.nullif("label", F.lit("")), F.concat(F.lit("part "), F.col("section").cast("string"))).alias("v"))
+    """What a section is called: its label, else its number; in a summary its label, else the first thirty characters of its first line."""
+    first = lines(s, d, "text").select("plan_id", "i", F.struct("line_id", "text").alias("t")).groupBy("plan_id", "i").agg(F.min("t").alias("t"))
+    t = table(s, d, "plan_sections").select("plan_id", "section", F.nullif("label", F.lit("")).alias("label"), F.get("line_idx", F.lit(0)).alias("i"))
+    t = t.join(first, ["plan_id", "i"], "left")
+    return t.select("plan_id", "section", F.coalesce("label", F.concat(F.lit("part "), F.col("section").cast("string"))).alias("v"), F.coalesce("label", F.substring("t.text", 1, 30)).alias("summary"))
 
 
-_SIZE = "cast(p_size * 40 as varchar) || case when p_partkey % 7 = 0 then '' else 'x' end || cast(p_size * 20 + p_partkey % 3 as varchar)"
+_SIZE = "cast(p_size * 40 as varchar) || case p_partkey % 7 when 0 then '' when 1 then 'X' else 'x' end || cast(p_size * 20 + p_partkey % 3 as varchar)"
 
 
 @query(
-    f"with x as (select p_partkey, {_SIZE} v from part), y as (select *, try_cast(nullif(regexp_extract(v, '^(\\d+)x(\\d+)$', 1), '') as bigint) w, try_cast(nullif(regexp_extract(v, '^(\\d+)x(\\d+)$', 2), '') as bigint) h from x) "
-    "select p_partkey, coalesce(w >= 320 and h >= 320 and w % 2 = 0 and h % 2 = 0, false) as ok from y"
+    f"with x as (select p_partkey, lower({_SIZE}) v from part), y as (select *, try_cast(nullif(regexp_extract(v, '^(\\d+)x(\\d+)$', 1), '') as bigint) w, try_cast(nullif(regexp_extract(v, '^(\\d+)x(\\d+)$', 2), '') as bigint) h from x) "
+    "select p_partkey, coalesce(w >= 320 and h >= 180 and w % 2 = 0 and h % 2 = 0, false) as ok from y"
 )
 def val_video_size(s, d):
-    """A size is valid as WxH, both even and 320 or more."""
+    """A size is valid as WxH in any case, both even, 320 x 180 or more."""
     p = table(s, d, "part")
-    v = F.concat((F.col("p_size") * 40).cast("string"), F.when(F.col("p_partkey") % 7 == 0, "").otherwise("x"), (F.col("p_size") * 20 + F.col("p_partkey") % 3).cast("string"))
+    by = F.when(F.col("p_partkey") % 7 == 0, "").when(F.col("p_partkey") % 7 == 1, "X").otherwise("x")
+    v = F.lower(F.concat((F.col("p_size") * 40).cast("string"), by, (F.col("p_size") * 20 + F.col("p_partkey") % 3).cast("string")))
     w, h = (F.nullif(F.regexp_extract(v, r"^(\d+)x(\d+)$", k), F.lit("")).cast("bigint") for k in (1, 2))
-    ok = (w >= 320) & (h >= 320) & (w % 2 == 0) & (h % 2 == 0)
+    ok = (w >= 320) & (h >= 180) & (w % 2 == 0) & (h % 2 == 0)
     return p.select("p_partkey", F.coalesce(ok, F.lit(False)).alias("ok"))
 
 
@@ -201,19 +206,19 @@ def val_lang_conflict(s, d):
     return table(s, d, "plan_docs").select("plan_id", c.alias("conflict"))
 
 
-@query("select user_id, event_id, round(case when value < 40 then (value / 40) * (value / 40) * (3 - 2 * value / 40) else 1.0 end, 6) as v from events where value is not null and value >= 0")
+@query("select user_id, event_id, round(v * v * (3 - 2 * v), 6) as v from (select user_id, event_id, least(1.0, greatest(0.0, value / 40)) v from events where value is not null)")
 def fn_smoothstep(s, d):
-    v = F.least(F.col("value") / 40, F.lit(1.0))
-    return table(s, d, "events").filter("value >= 0").select("user_id", "event_id", F.round(N.smoothstep(v), 6).alias("v"))
+    v = F.least(F.greatest(F.col("value") / 40, F.lit(0.0)), F.lit(1.0))
+    return table(s, d, "events").filter("value is not null").select("user_id", "event_id", F.round(N.smoothstep(v), 6).alias("v"))
 
 
 @query(
-    "select l_orderkey, l_linenumber, round((case when l_quantity < 10 then l_quantity / 9 else 1.0 end) * (case when l_quantity >= 30 then (49 - l_quantity) / 19 else 1.0 end), 6) as v from lineitem where l_quantity < 50"
+    "select l_orderkey, l_linenumber, round((case when p < 10 then p / 9 else 1.0 end) * (case when p >= 30 then (49 - p) / 19 else 1.0 end), 6) as v from (select *, cast(l_quantity as double) - 1 p from lineitem where l_quantity is not null)"
 )
 def fn_fade(s, d):
-    """Gain at position l_quantity of 50 with ramps of 10 and 20."""
-    t = table(s, d, "lineitem").filter("l_quantity < 50")
-    return t.select("l_orderkey", "l_linenumber", F.round(N.fade(F.col("l_quantity"), F.lit(50), F.lit(10), F.lit(20)), 6).alias("v"))
+    """Gain at position l_quantity of 1 to 50 with ramps of 10 and 20."""
+    t = table(s, d, "lineitem").filter("l_quantity is not null")
+    return t.select("l_orderkey", "l_linenumber", F.round(N.fade(F.col("l_quantity").cast("double") - 1, F.lit(50), F.lit(10), F.lit(20)), 6).alias("v"))
 
 
 def _wrap(text, width):

@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from strophe.config import Settings
 from strophe.functions import text as T
 from strophe.operators import intervals, islands
 from strophe.operators import sections as S
@@ -86,31 +87,60 @@ def test_tiling_covers_without_holes(spark):
     assert got == [(0.0, 1.0), (1.0, 2.0), (2.0, 5.0)]
 
 
-def lines(starts, gaps, told=None, length=2.0):
-    return S.Lines(starts, [a + length for a in starts], gaps, told or [True] * len(starts))
+def track(starts, gaps, told=None, length=2.0):
+    return S.Track(starts, [a + length for a in starts], gaps, told or [True] * len(starts))
 
 
-def test_gap_sections():
+def test_sections_by_pauses():
     starts = [3.0 * i for i in range(6)] + [60.0, 63.0, 66.0]
-    x = lines(starts, [1.0, 1.0, 2.5, 1.0, 1.0, 9.0, 1.0, 1.0, 1.0])
-    out = S.by_gaps(x, S.Limits(min_lines=2, max_lines=4))
-    assert out[-1] == (6, 9) and out[0][0] == 0 and all(a[1] == b[0] for a, b in zip(out, out[1:]))
-    assert all(b - a <= 4 for a, b in out)
-    assert S.by_gaps(lines([], [])) == []
-
-
-def test_split_keeps_every_line():
+    x = track(starts, [1.0, 1.0, 2.5, 1.0, 1.0, 9.0, 1.0, 1.0, 1.0])
+    assert S.by_pauses(x, Settings(min_lines=2, max_lines=4)) == [0, 3, 6, 9]
+    assert S.by_pauses(track([], [])) == []
+    assert S.by_pauses(track([1.0], [5.0])) == [0, 1]
+
+
+def test_small_sections_go_to_the_nearer_side():
+    # four lines, a pause, one line, a shorter pause, four lines
+    x = track([float(3 * i) for i in range(9)], [1, 1, 1, 8, 7, 1, 1, 1, 1.0])
+    assert S.by_pauses(x, Settings(max_song_seconds=100.0)) == [0, 4, 9]
+    # equal pauses: to the left; too long when joined: it stays
+    y = track([float(3 * i) for i in range(9)], [1, 1, 1, 8, 8, 1, 1, 1, 1.0])
+    assert S.by_pauses(y, Settings(max_song_seconds=100.0)) == [0, 5, 9]
+    assert S.by_pauses(y, Settings(max_song_seconds=12.0)) == [0, 4, 5, 9]
+    # a section without spoken lines is joined however long that gets
+    z = track([float(3 * i) for i in range(9)], [1, 1, 1, 8, 8, 1, 1, 1, 1.0], [True] * 4 + [False] + [True] * 4)
+    assert S.by_pauses(z, Settings(max_song_seconds=12.0)) == [0, 5, 9]
+
+
+def test_sections_hold_every_line_and_obey_the_limits():
     r = random.Random(2)
-    for _ in range(50):
+    for _ in range(200):
         n = r.randint(1, 40)
-        x = lines([2.5 * i for i in range(n)], [r.random() for _ in range(n)])
-        assert [i for p in S.split_long(x, list(range(n)), 8) for i in p] == list(range(n))
-
-
-def test_structured_joins_what_runs_on_and_drops_ad_libs():
-    x = S.Lines([0, 3, 6, 9.0], [2.9, 5, 6.5, 12], [0.05, 2, 2, 2], [True] * 4)
-    out = S.structured(x, [3, 3, 1, 4], [("v", [0]), ("w", [1]), ("x", [2]), ("y", [3])])
-    assert [p[1] for p in out] == [[0, 1], [3]]
+        x = track([2.5 * i for i in range(n)], [r.choice([0.05, 0.1, 0.3, 1.0, 7.0]) for _ in range(n)], [r.random() < 0.8 for _ in range(n)])
+        b = S.by_pauses(x)
+        assert b[0] == 0 and b[-1] == n and b == sorted(set(b))
+        parts = S.shortened(x, list(range(n)), 8)
+        assert [i for p in parts for i in p] == list(range(n))
+        assert all(x.pause[p[-1]] >= S.PAUSE for p in parts[:-1])
+
+
+def test_segments_that_run_on_are_joined_and_interjections_left_out():
+    x = S.Track([0, 3, 6, 9.0], [2.9, 5, 6.5, 12], [0.05, 2, 2, 2], [True] * 4)
+    out = S.by_segments(x, [3, 3, 1, 4], [("v", [0]), ("w", [1]), ("x", [2]), ("y", [3])])
+    assert out == [("v & w", [0, 1]), ("y", [3])]
+    assert S.covers([("a", [0, 1]), ("b", [2])], 3) and not S.covers([("a", [1, 0])], 2) and not S.covers([("a", [0])], 2) and not S.covers([("a", []), ("b", [0])], 1)
+
+
+def test_overlap_equals_brute_force(spark):
+    r = random.Random(8)
+    mk = lambda n, far: [(r.choice(["a", "b", None]), x, x + r.choice([0, 1, 3, 40, far])) for x in (r.randint(-50, 400) for _ in range(n))]
+    left, right = mk(60, 300), mk(60, 5000)
+    L = spark.createDataFrame([(*x, i) for i, x in enumerate(left)], "k string, a bigint, b bigint, id int")
+    R = spark.createDataFrame(right, "k string, a bigint, b bigint")
+    got = sorted((x.id, x.ra, x.rb) for x in intervals.overlap(L, R, "k").collect())
+    want = sorted((i, max(a, c), min(b, e)) for i, (k, a, b) in enumerate(left) for (q, c, e) in right if k is not None and k == q and a < b and c < e and c < b and e > a)
+    assert got == want and len(want) > 100
+    assert intervals.overlap(L.limit(0), R, "k").count() == 0
 
 
 def test_wav(spark, tmp_path):
