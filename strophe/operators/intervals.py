@@ -37,8 +37,9 @@ def next_after(left: DataFrame, right: DataFrame, key: str, ts: str, cols: list[
     return u.select(*own, *(F.col("_m")[c].alias(c) for c in cols))
 
 
-def overlap(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Rows of (key, a, b, ...) and (key, a, b, ...) of whole numbers that overlap, the right clipped to the left as (ra, rb).
+def overlap(left: DataFrame, right: DataFrame, key: str, cols: list[str] = ()) -> DataFrame:
+    """Rows of (key, a, b, ...) and (key, a, b, ...) of whole numbers that overlap, the right clipped to the left as (ra, rb), with the
+    columns ``cols`` of the right.
 
     Both sides are cut at the borders of buckets of time and meet by (key, bucket), so that a key with many rows is no product; a pair counts in the
     first bucket it shares. A key's buckets are as wide as its rows lie apart on average, so there are hardly more pieces than rows.
@@ -48,11 +49,11 @@ def overlap(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     at = lambda c: F.floor(F.col(c) / F.col("_w"))
     pieces = lambda a, b: F.explode(F.sequence(at(a), F.floor((F.col(b) - 1) / F.col("_w"))))
     lo = left.filter("a < b").join(n, F.col(key) == F.col("_k")).drop("_k").withColumn("_at", pieces("a", "b"))
-    ro = right.filter("a < b").select(F.col(key).alias("_r"), F.col("a").alias("_a"), F.col("b").alias("_b")).join(n, F.col("_r") == F.col("_k")).drop("_k")
-    ro = ro.select("_r", "_a", "_b", pieces("_a", "_b").alias("_s"))
+    ro = right.filter("a < b").select(F.col(key).alias("_r"), F.col("a").alias("_a"), F.col("b").alias("_b"), *cols).join(n, F.col("_r") == F.col("_k")).drop("_k")
+    ro = ro.select("_r", "_a", "_b", *cols, pieces("_a", "_b").alias("_s"))
     j = lo.join(ro, (F.col(key) == F.col("_r")) & (F.col("_at") == F.col("_s")) & (F.col("_a") < F.col("b")) & (F.col("_b") > F.col("a")))
     j = j.filter(F.col("_at") == F.greatest(at("a"), at("_a")))
-    return j.select(*left.columns, F.greatest("_a", "a").alias("ra"), F.least("_b", "b").alias("rb"))
+    return j.select(*left.columns, *cols, F.greatest("_a", "a").alias("ra"), F.least("_b", "b").alias("rb"))
 
 
 def tile(cuts: DataFrame, key: str, t: str, thin: float = 0.04) -> DataFrame:

@@ -68,3 +68,23 @@ def fill_gaps(df: DataFrame, key: str, order: list[str], start: str = "start", e
     d = d.withColumns({"_s": s, "_e": e})
     d = d.withColumns({start: F.col("_s"), end: F.when(F.col("_s").isNull(), F.col("_e")).when(F.col("_e").isNull() | (F.col("_e") <= F.col("_s")), F.col("_s") + 0.8).otherwise(F.col("_e"))})
     return d.drop("_t", "_p", "_x", "_g", "_k", "_s", "_e")
+
+
+#: Slices of the order in which rows are numbered, and how finely their borders are estimated.
+SLICES, FINE = 64, 1000
+
+
+def numbered(df: DataFrame, key: str, by: str, ties: list[str], name: str) -> DataFrame:
+    """``df`` with the number of each row in its key, from 0 in order of ``by`` (a number), then of ``ties``.
+
+    Rows are numbered within slices of the range of ``by``; the rows of the slices before are added. So a key that holds much of the data is
+    sorted in many tasks. Rows without ``by`` come first. An empty table stays empty.
+    """
+    cuts = df.select(F.percentile_approx(by, [i / SLICES for i in range(1, SLICES)], FINE)).first()[0] or []
+    at = sum(((F.col(by) > c).cast("int") for c in sorted(set(cuts))), F.lit(0))
+    x = df.withColumn("_s", F.coalesce(at, F.lit(-1)))
+    n = x.groupBy(key, "_s").agg(F.count(F.lit(1)).alias("_n"))
+    n = n.select(F.col(key).alias("_k"), F.col("_s").alias("_t"), F.coalesce(F.sum("_n").over(W.partitionBy(key).orderBy("_s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    j = x.join(n, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_s") == F.col("_t")))
+    w = W.partitionBy(key, "_s").orderBy(by, *ties)
+    return j.withColumn(name, (F.row_number().over(w) - 1 + F.col("_b")).cast("bigint")).drop("_s", "_k", "_t", "_b")

@@ -39,3 +39,14 @@ def stretch(c: DataFrame, key: str, f: str, n: int) -> DataFrame:
     w = W.partitionBy(key).orderBy(f).rangeBetween(0, n - 1)
     s = c.withColumns({"sim": F.avg("cos").over(w), "_n": F.count(F.lit(1)).over(w)})
     return s.filter(F.col("_n") == n).select(key, f, "sim")
+
+
+def means(df: DataFrame, keys: list[str], v: str, name: str = "mean") -> DataFrame:
+    """(keys..., name): the mean of each place of the arrays of a key."""
+    b = df.select(*keys, F.posexplode(v).alias("_i", "_x")).groupBy(*keys, "_i").agg(F.avg("_x").alias("_m"))
+    return b.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_i", "_m"))).alias("_l")).select(*keys, F.col("_l._m").alias(name))
+
+
+def minus(a: Column, b: Column) -> Column:
+    """Difference of two arrays, place by place."""
+    return F.zip_with(a, b, lambda x, y: x - y)

@@ -50,11 +50,10 @@ WORDS = """w as (select transcript_id tid, cast(pos as bigint) pos, min(text) "t
 
 def frames(spark: SparkSession, d: str) -> DataFrame:
     """A level series for each user: (user_id, f, v), f counting from 0."""
-    from pyspark.sql import Window as W
+    from ..operators import islands
 
-    t = table(spark, d, "events").select("user_id", "ts", "event_id", F.col("value").alias("v"))
-    f = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")) - 1
-    return t.select("user_id", f.cast("bigint").alias("f"), "v")
+    t = table(spark, d, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("value").alias("v"))
+    return islands.numbered(t, "user_id", "us", ["event_id"], "f").select("user_id", "f", "v")
 
 
 FRAMES = "fr as (select user_id, row_number() over (partition by user_id order by ts, event_id) - 1 as f, value v from events)"

@@ -130,13 +130,13 @@ select plan_id, section, round(t, 6) as t0, round(t + len, 6) as t1 from c"""
 
 
 @query(_CURSOR.format(win=_WIN))
-def win_section_cursor(s, d):
+def win_section_cursor(s, d, windows=None):
     """Where each section lies on the time line: its lesson (as win_narration_timeline lays it out, with a tail of 0.5 s and a gap of 0.4 s) and
     its excerpt. After an excerpt that ends inside singing the next section fades in over its last second, else a gap of 0.6 s follows."""
     c = section_lines(s, d, "text", "translation", "narrate").filter("narrate and text is not null")
     clip = 0.07 * F.length(T.rstrip_punct(F.col("text"))) + 0.45 + 0.07 * F.length(F.coalesce("translation", F.lit(""))) + 0.9
     le = c.groupBy("plan_id", "section").agg((2.0 + F.sum(clip) + 0.5).alias("x"))
-    b = win_song_windows(s, d).join(le, ["plan_id", "section"], "left")
+    b = (windows or win_song_windows(s, d)).join(le, ["plan_id", "section"], "left")
     b = b.withColumn("len", F.coalesce(F.col("x") + 0.4, F.lit(0.0)) + (F.col("end") - F.col("start")))
     x = W.partitionBy("plan_id").orderBy("section").rowsBetween(W.unboundedPreceding, -1)
     t = F.coalesce(F.sum(F.col("len") + F.when(F.col("cut"), -F.least(F.lit(1.0), F.col("len"))).otherwise(0.6)).over(x), F.lit(0.0))
@@ -147,7 +147,10 @@ _CLIP = f"""{_J}, c as (select plan_id, section, k, line_id, 0.07::double * leng
 p as (select *, 2.0::double + coalesce(sum(a + 0.45 + b + 0.9) over (partition by plan_id, section order by k rows between unbounded preceding and 1 preceding), 0) t from c)"""
 
 
-@query(f"{_CLIP} select plan_id, section, line_id, 'src' as kind, round(t, 6) as t0, round(t + a, 6) as t1 from p union all select plan_id, section, line_id, 'dst', round(t + a + 0.45, 6), round(t + a + 0.45 + b, 6) from p")
+_NARRATION = f"{_CLIP} select plan_id, section, line_id, 'src' as kind, round(t, 6) as t0, round(t + a, 6) as t1 from p union all select plan_id, section, line_id, 'dst', round(t + a + 0.45, 6), round(t + a + 0.45 + b, 6) from p"
+
+
+@query(_NARRATION)
 def win_narration_timeline(s, d):
     """Spoken line, pause, translation, pause after a lead-in of 2 s; a clip lasts 0.07 s a character."""
     c = section_lines(s, d, "text", "translation", "narrate").filter("narrate and text is not null")

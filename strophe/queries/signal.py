@@ -6,9 +6,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
-from ..operators import intervals
+from ..operators import intervals, islands, repeats
 from ..operators import similarity as S
-from ..session import table
+from ..session import cut, table
 from .base import FRAMES, Registry, frames
 
 query = Registry()
@@ -18,9 +18,8 @@ r6 = lambda c: F.round(c, 6)
 
 def vectors(s, d):
     """Feature frames of each label: (label, f, v), f from 0 in order of vec_id."""
-    t = table(s, d, "embeddings")
-    f = F.row_number().over(W.partitionBy("label").orderBy("vec_id")) - 1
-    return t.select("label", f.cast("bigint").alias("f"), F.col("embedding").cast("array<double>").alias("v"))
+    t = table(s, d, "embeddings").select("label", "vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    return islands.numbered(t, "label", "vec_id", [], "f").select("label", "f", "v")
 
 
 _EM = "em as (select label, row_number() over (partition by label order by vec_id) - 1 as f, embedding::double[] v from embeddings)"
@@ -68,8 +67,8 @@ _BT = "bt as (select user_id, event_id, epoch_us(ts) / 1e6 t, row_number() over
 
 def beats(s, d):
     """Event times as beats: (user_id, event_id, j, t)."""
-    j = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")) - 1
-    return table(s, d, "events").select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), j.cast("bigint").alias("j"))
+    t = table(s, d, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    return islands.numbered(t, "user_id", "us", ["event_id"], "j").select("user_id", "event_id", (F.col("us") / 1e6).alias("t"), "j")
 
 
 @query(f"""with {_BT}, dd as (select user_id, t, t - lag(t) over (partition by user_id order by j) d from bt), m as (select user_id, median(d) m from dd group by 1)
@@ -90,10 +89,12 @@ def agg_cosine(s, d):
     return c.groupBy("label").agg(r6(F.when(F.count(F.lit(1)) < 4, -1.0).otherwise(F.avg("cos"))).alias("v"))
 
 
-@query(f"with {_EM}, x as (select label, unnest(v) v, generate_subscripts(v, 1) - 1 as bin from em) select label, cast(bin as int) as bin, round(avg(v), 6) as m from x group by 1, 2")
+@query(f"with {_EM}, x as (select label, f, unnest(v) v, generate_subscripts(v, 1) - 1 as bin from em) select label, f, cast(bin as int) as bin, round(v - avg(v) over (partition by label, bin), 6) as v from x")
 def agg_mean_centre(s, d):
-    """Mean of each feature bin, to be subtracted from its frames."""
-    return vectors(s, d).select("label", F.posexplode("v").alias("bin", "x")).groupBy("label", "bin").agg(r6(F.avg("x")).alias("m"))
+    """Frames less the mean of each feature bin over all frames of the label."""
+    v = vectors(s, d)
+    m = S.means(v, ["label"], "v")
+    return v.join(m, "label").select("label", "f", F.posexplode(S.minus(F.col("v"), F.col("mean"))).alias("bin", "v")).select("label", "f", "bin", r6("v").alias("v"))
 
 
 @query(f"with {_EM}, {_CY.format('c', 4)} select label, f, round(c, 6) as v from c")
@@ -128,122 +129,176 @@ def agg_flux(s, d):
     return flux(s, d).select("label", "f", r6(F.max("x").over(w)).alias("peak"))
 
 
-@query(f"""with {FRAMES}, p as (select a.user_id, d, a.v x, b.v y from fr a join (select unnest([-2, -1, 0, 1, 2]) d) on true join fr b on a.user_id = b.user_id and b.f = a.f + 8 + d where a.f < 16),
-c as (select user_id, d, round({_PE.format('x', 'y')}, 9) c from p group by 1, 2 having count(*) = 16) select user_id, cast(d as int) as lag, round(c, 6) as c from c qualify row_number() over (partition by user_id order by c desc, d) = 1""")
+@query(f"""with {FRAMES}, s as (select user_id, f a from fr where f % 4 = 0), p as (select s.user_id, s.a, d, x.v x, y.v y from s join (select unnest([-2, -1, 0, 1, 2]) d) on true join (select unnest(range(0, 16)) i) on true join fr x on s.user_id = x.user_id and x.f = s.a + i join fr y on s.user_id = y.user_id and y.f = s.a + 8 + d + i),
+c as (select user_id, a, d, round(covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y)), 6) c from p group by 1, 2, 3 having count(*) = 16 and stddev_pop(x) >= 1e-6 and stddev_pop(y) >= 1e-6) select user_id, a, cast(8 + d as int) as period, c from c qualify row_number() over (partition by user_id, a order by c desc, d) = 1""")
 def win_refine_period(s, d):
-    """The lag near eight frames at which the first sixteen frames recur best; the earliest of equals."""
-    x = frames(s, d)
-    a = x.filter("f < 16").select("user_id", "f", F.col("v").alias("x"), F.explode(F.array(*map(F.lit, (-2, -1, 0, 1, 2)))).alias("lag"))
-    b = x.select("user_id", F.col("f").alias("g"), F.col("v").alias("y"))
-    p = a.withColumn("g", F.col("f") + 8 + F.col("lag")).join(b, ["user_id", "g"])
-    c = p.groupBy("user_id", "lag").agg(F.round(S.pearson("x", "y"), 9).alias("c"), F.count(F.lit(1)).alias("n")).filter("n = 16")
-    m = c.groupBy("user_id").agg(F.min(F.struct((-F.col("c")).alias("nc"), "lag")).alias("m"))
-    return m.select("user_id", "m.lag", r6(-F.col("m.nc")).alias("c"))
-
+    """From every fourth frame on: the period of eight frames, two more or less, at which sixteen frames recur best, the shortest of
+    equals; stretches that are constant or too short are skipped."""
+    o = repeats.ahead(frames(s, d), "user_id", "f", {"o": ("v", 0, 25)}).filter("f % 4 = 0")
+    lag = F.explode(F.array(*map(F.lit, range(-2, 3)))).alias("d")
+    c = o.select("user_id", F.col("f").alias("a"), lag, "o").withColumn("c", F.round(repeats.correlation(F.slice("o", 1, 16), F.slice("o", F.col("d") + 9, 16), 16), 6))
+    m = c.filter("c is not null").groupBy("user_id", "a").agg(F.min(F.struct((-F.col("c")).alias("nc"), "d")).alias("m"))
+    return m.select("user_id", "a", (F.col("m.d") + 8).alias("period"), (-F.col("m.nc")).alias("c"))
 
-@query(f"""with {FRAMES}, m as (select user_id, median(v) med from fr where v < 80 group by 1),
-w as (select user_id, f, max(v) over (partition by user_id order by f range between 1 preceding and 12 following) hi, count(*) over (partition by user_id order by f range between 1 preceding and 12 following) n, avg(v) over (partition by user_id order by f range between current row and 11 following) mean from fr)
-select user_id, f from w join m using (user_id) where n = 14 and f % 2 = 0 and hi <= 120 and abs(mean - med) <= 20""")
-def flt_loop_hard(s, d):
-    """Starts of stretches of twelve frames with a frame on both sides, nothing too loud in them, near the usual level."""
-    o = W.partitionBy("user_id").orderBy("f")
-    x = frames(s, d)
-    m = x.filter("v < 80").groupBy("user_id").agg(F.median("v").alias("med"))
-    w = x.withColumns({"hi": F.max("v").over(o.rangeBetween(-1, 12)), "n": F.count(F.lit(1)).over(o.rangeBetween(-1, 12)), "mean": F.avg("v").over(o.rangeBetween(0, 11))})
-    return w.join(m, "user_id").filter("n = 14 and f % 2 = 0 and hi <= 120 and abs(mean - med) <= 20").select("user_id", "f")
 
+_THR = "x0 as (select user_id, f, greatest(v - 90, -80.0) x, v from fr), p0 as (select user_id, quantile_cont(x, 0.9) p90, quantile_cont(x, 0.1) lo from x0 group by 1), th as (select x0.user_id, greatest(median(x) - 18, max(lo) + 0.4 * (median(x) - max(lo))) t from x0 join p0 using (user_id) where x > p90 - 15 group by 1)"
 
-_LOOPS = f"with {_EM}, {_CY.format('c', 4)}, {_ST.format('st', 'c', 3)}"
 
-
-def loops(s, d, n=4):
-    """(label, f, sim): each stretch of n frames against the next n."""
-    return S.stretch(S.cycle(vectors(s, d), "label", "f", "v", n), "label", "f", n)
-
-
-@query(f"{_LOOPS} select label, f, round(sim, 6) as sim, cast(row_number() over (partition by label order by round(sim, 6) desc, f) as bigint) as rank from st")
+@query(f"""with {FRAMES}, {_THR}, m as (select user_id, median(v) med from x0 join th using (user_id) where x < t group by 1),
+w as (select user_id, f, max(x) over (partition by user_id order by f range between 1 preceding and 12 following) hi, count(*) over (partition by user_id order by f range between 1 preceding and 12 following) n, avg(v) over (partition by user_id order by f range between current row and 11 following) mean from x0)
+select user_id, f from w join m using (user_id) join th using (user_id) where n = 14 and f % 2 = 0 and hi <= t + 12 and abs(mean - med) <= 20""")
+def flt_loop_hard(s, d):
+    """Starts of stretches of twelve frames with a frame on both sides, none of them louder than the threshold of agg_vocal_threshold allows
+    (12 dB relaxed), whose mean is near the usual level of the quiet frames."""
+    o = W.partitionBy("user_id").orderBy("f")
+    x = frames(s, d).withColumn("x", F.greatest(F.col("v") - 90, F.lit(-80.0)))
+    th = repeats.threshold(x, "user_id", "x")
+    m = x.join(th, "user_id").filter("x < base").groupBy("user_id").agg(F.median("v").alias("med"), F.first("base").alias("base"))
+    w = x.withColumns({"hi": F.max("x").over(o.rangeBetween(-1, 12)), "n": F.count(F.lit(1)).over(o.rangeBetween(-1, 12)), "mean": F.avg("v").over(o.rangeBetween(0, 11))})
+    return w.join(m, "user_id").filter("n = 14 and f % 2 = 0 and hi <= base + 12 and abs(mean - med) <= 20").select("user_id", "f")
+
+
+# A label's frames stand for a song: the first bin of a frame for its onsets, the second and third for the levels of voice and music in dB;
+# a beat is two frames, a bar two beats.
+_X = f"""{_EM}, x as (select label, f, v, v[1] o, 60 * v[2] vl, 30 * v[3] il from em), nf as (select label, count(*) n from em group by 1),
+px as (select label, quantile_cont(greatest(vl, -80), 0.9) hi, quantile_cont(greatest(vl, -80), 0.1) lo from x group by 1),
+tb as (select label, greatest(median(greatest(vl, -80)) - 18, max(lo) + 0.4 * (median(greatest(vl, -80)) - max(lo))) base from x join px using (label) where greatest(vl, -80) > hi - 15 group by 1),
+th as (select label, k, case when k = 3 then 1e9 else base + 6 * k end vf from tb, (select unnest([0, 1, 2, 3]) k)),
+me as (select label, k, median(il) med from x join th using (label) where vl < vf group by 1, 2),
+cm as (select label, k, list(m order by bin) m from (select label, k, bin, avg(v[bin]) m from x join th using (label), (select unnest(range(1, 65)) bin) where vl < vf group by 1, 2, 3) group by 1, 2),
+sc as (select x.label, k, f, list_transform(list_zip(v, m), lambda z: z[1] - z[2]) u from x join cm using (label)),
+pd as (select a.label, b.f, bars, d, round(covar_pop(a.o, c.o) / (stddev_pop(a.o) * stddev_pop(c.o)), 6) c from (select label, f from x where f % 2 = 0) b, (select unnest([1, 2, 4]) bars), (select unnest([-2, -1, 0, 1, 2]) d), (select unnest(range(0, 16)) i)
+  join x a on a.label = b.label and a.f = b.f + i join x c on c.label = b.label and c.f = b.f + 4 * bars + d + i where i < 4 * bars group by 1, 2, 3, 4 having count(*) = least(16, 4 * bars) and stddev_pop(a.o) >= 1e-6 and stddev_pop(c.o) >= 1e-6),
+pr as (select x.label, x.f, b.bars, 4 * b.bars + coalesce(q.d, 0) L, coalesce(q.c, -9.0) pc from x, (select unnest([1, 2, 4]) bars) b left join (select * from pd qualify row_number() over (partition by label, f, bars order by c desc, d) = 1) q on q.label = x.label and q.f = x.f and q.bars = b.bars where x.f % 2 = 0),
+rg as (select pr.*, th.k, vf, strict, 2 * th.k + 1 - strict rung, f + (1 + strict) * L fin, n from pr join th using (label) join nf using (label), (select unnest([0, 1]) strict) where f >= 1 and f + 2 * L + 2 < n),
+lv as (select rg.label, rg.f, bars, rung, max(vl) hi, avg(case when x.f >= rg.f and x.f < fin then il end) mean from rg join x on x.label = rg.label and x.f >= rg.f - 1 and x.f < fin + 2 group by 1, 2, 3, 4),
+ok as (select rg.*, f + 3 * L < n third from rg join lv using (label, f, bars, rung) join me using (label, k) where hi <= vf and abs(mean - med) <= case when rung in (4, 5) then 8.0 else 4.0 end),
+si as (select ok.label, ok.f, bars, rung, avg(case when i < L then {_COS.replace('a.v', 'a.u').replace('b.v', 'b.u')} end) s1, avg(case when i >= L then {_COS.replace('a.v', 'a.u').replace('b.v', 'b.u')} end) s2 from ok, (select unnest(range(0, 36)) i) join sc a on a.label = ok.label and a.k = ok.k and a.f = ok.f + i join sc b on b.label = ok.label and b.k = ok.k and b.f = ok.f + L + i where i < 2 * L group by 1, 2, 3, 4),
+t3 as (select ok.label, ok.f, bars, rung, max(vl) hi from ok join x on x.label = ok.label and x.f >= ok.f + 2 * L and x.f < ok.f + 3 * L where third group by 1, 2, 3, 4),
+ca as (select ok.label, bars, rung, ok.f, cast(L as int) L, pc, case when L < 4 then -1.0 when third and t3.hi <= vf then least(s1, s2) else s1 end sim from ok join si using (label, f, bars, rung) left join t3 using (label, f, bars, rung)),
+lo as (select label, bars, rung, f, L, round(pc, 6) pc, round(sim, 6) sim, round(sim + 0.3 * pc, 6) score from ca)"""
+
+
+def song(s, d):
+    """(label, f, v, o, vl, il): frames with their onsets and levels."""
+    v = F.col("v")
+    return vectors(s, d).select("label", "f", "v", v[0].alias("o"), (60 * v[1]).alias("vl"), (30 * v[2]).alias("il"))
+
+
+def loops(s, d):
+    return repeats.search(song(s, d), "label", bars=(1, 2, 4), bar=4, beat=2)
+
+
+@query(f"with {_X} select label, bars, cast(rung as int) as rung, f, L as length, pc, sim, cast(row_number() over (partition by label, bars, rung order by score desc, f) as bigint) as rank from lo")
 def top_loops(s, d):
-    w = W.partitionBy("label").orderBy(F.desc("sim"), "f")
-    return loops(s, d).select("label", "f", r6("sim").alias("sim")).withColumn("rank", F.row_number().over(w).cast("bigint"))
-
-
-@query(f"""{_LOOPS}, {_FX}, fa as (select label, avg(x) m from fx group by 1), g as (select st.label, st.f, round(sim, 6) sim, case when sim >= 0.3 then 0 when sim >= 0.15 then 1 else 2 end rung, round(x / (m + 1e-9), 6) seam from st join fx using (label, f) join fa using (label)),
-h as (select *, min(rung) over (partition by label) mr from g), t as (select *, row_number() over (partition by label order by sim desc, f) n from h where rung = mr qualify n <= 40)
-select label, f, rung, cast(row_number() over (partition by label order by round(sim - 0.15 * greatest(0, seam - 1), 6) desc, f) as bigint) as rank from t""")
+    """Stretches that may be repeated, on every rung of the ladder of thresholds, by their similarity with the next cycle and 0.3 of the
+    correlation of their onsets; two cycles in a row have to match where the third one has no voice."""
+    w = W.partitionBy("label", "bars", "rung").orderBy(F.desc("score"), "f")
+    return loops(s, d).select("label", "bars", "rung", "f", "length", "pc", "sim", F.row_number().over(w).cast("bigint").alias("rank"))
+
+
+_FL = "fl as (select a.label, a.f, list_sum(list_transform(list_zip(a.v, b.v), lambda z: abs(z[1] - z[2]))) / len(a.v) y from em a join em b on a.label = b.label and b.f = a.f + 1)"
+_SEAM = f"""{_FL}, s0 as (select t.label, t.bars, t.rung, t.f, greatest(max(case when fl.f between t.f + L - 3 and t.f + L - 1 or fl.f between t.f + 1 and t.f + 2 then y end), max(list_sum(list_transform(list_zip(p.v, q.v), lambda z: abs(z[1] - z[2]))) / len(p.v))) seam
+  from t join fl on fl.label = t.label and fl.f between t.f + 1 and t.f + L - 1 join em p on p.label = t.label and p.f = t.f + 1 join em q on q.label = t.label and q.f = t.f + L group by 1, 2, 3, 4),
+s1 as (select t.label, t.bars, t.rung, t.f, c, max(y) y from t, (select unnest([0, 1, 2]) c) join fl on fl.label = t.label and fl.f between t.f + c * L - 3 and t.f + c * L + 2 group by 1, 2, 3, 4, 5),
+sm as (select label, bars, rung, f, round(max(seam) / (avg(y) + 1e-9), 6) seam from s0 join s1 using (label, bars, rung, f) group by 1, 2, 3, 4)"""
+_CANDS = f"""{_X}, r0 as (select *, min(rung) over (partition by label, bars) mr from lo where rung < 6), r1 as (select *, min(rung) over (partition by label, bars) mr from lo where rung >= 6),
+t as (select *, row_number() over (partition by label, bars, rung order by score desc, f) n from (select * from r0 union all select * from r1) where rung = mr qualify n <= 40), {_SEAM},
+cd as (select t.label, t.bars, cast(t.rung as int) as rung, t.f, t.L, t.sim, sm.seam, cast(row_number() over (partition by t.label, t.bars, t.rung >= 6 order by round(t.sim - 0.15 * greatest(0, sm.seam - 1), 6) desc, n) as bigint) rank from t join sm using (label, bars, rung, f))"""
+
+
+def candidates(s, d):
+    """(label, bars, rung, f, length, sim, seam, rank): of the first rung that has any the forty best, ranked anew with their seams; and the
+    same of the last two rungs, on which singing is allowed."""
+    x = song(s, d)
+    w = W.partitionBy("label", "bars", F.col("rung") >= 6)
+    c = loops(s, d).withColumn("mr", F.min("rung").over(w)).filter("rung = mr")
+    c = cut(c.withColumn("n", F.row_number().over(w.orderBy(F.desc("score"), "f"))).filter("n <= 40"))
+    c = c.join(repeats.seams(x, "label", c), ["label", "f", "length"])
+    key = F.round(F.col("sim") - 0.15 * F.greatest(F.lit(0.0), F.col("seam") - 1), 6)
+    return c.withColumn("key", key).withColumn("rank", F.row_number().over(w.orderBy(F.desc("key"), "n")).cast("bigint"))
+
+
+@query(f"with {_CANDS} select label, bars, rung, f, L as length, seam, rank from cd where rung < 6")
 def top_candidates(s, d):
-    """Stretches of the first rung of a ladder of thresholds that has any; of those the forty most similar, ranked anew
-    with their seams."""
-    fx = flux(s, d)
-    fa = fx.groupBy("label").agg(F.avg("x").alias("m"))
-    g = loops(s, d).join(fx, ["label", "f"]).join(fa, "label")
-    rung = F.when(F.col("sim") >= 0.3, 0).when(F.col("sim") >= 0.15, 1).otherwise(2)
-    g = g.select("label", "f", r6("sim").alias("sim"), rung.alias("rung"), r6(F.col("x") / (F.col("m") + 1e-9)).alias("seam"))
-    g = g.withColumn("mr", F.min("rung").over(W.partitionBy("label"))).filter("rung = mr")
-    t = g.withColumn("n", F.row_number().over(W.partitionBy("label").orderBy(F.desc("sim"), "f"))).filter("n <= 40")
-    score = r6(F.col("sim") - 0.15 * F.greatest(F.lit(0.0), F.col("seam") - 1))
-    return t.withColumn("score", score).select("label", "f", "rung", F.row_number().over(W.partitionBy("label").orderBy(F.desc("score"), "f")).cast("bigint").alias("rank"))
-
+    """Ranked candidates of each length: the threshold is relaxed by 6 and 12 dB, on each step first for two cycles, then for the loop alone; on the
+    last step the loudness may differ twice as much."""
+    return candidates(s, d).filter("rung < 6").select("label", "bars", "rung", "f", "length", "seam", "rank")
 
-_BARS = f"""with {_EM}, {_CY.format('c1', 1)}, {_CY.format('c2', 2)}, {_CY.format('c4', 4)}, {_ST.format('s1', 'c1', 0)}, {_ST.format('s2', 'c2', 1)}, {_ST.format('s4', 'c4', 3)},
-al as (select label, f, 1 bars, round(sim, 6) sim from s1 union all select label, f, 2, round(sim, 6) from s2 union all select label, f, 4, round(sim, 6) from s4)"""
 
+@query(f"with {_CANDS} select label, bars, f, L as length, seam from cd where rung < 6 and rank <= 10")
+def agg_seam(s, d):
+    """The jump at the seam of a loop against those at the same place of the bar in the original: 1 is as natural as the song."""
+    return candidates(s, d).filter("rung < 6 and rank <= 10").select("label", "bars", "f", "length", "seam")
 
-def _bars(s, d):
-    out = None
-    for n in (1, 2, 4):
-        x = loops(s, d, n).select("label", "f", F.lit(n).alias("bars"), r6("sim").alias("sim"))
-        out = x if out is None else out.unionByName(x)
-    return out
 
-
-@query(f"{_BARS} select label, bars, f, sim, cast(row_number() over (partition by label, bars order by sim desc, f) as bigint) as rank from al qualify rank <= 2")
+@query(f"with {_CANDS} select label, bars, f, L as length, rank from cd where rung < 6 and rank <= 2")
 def limit_list_loops(s, d):
     """The two best stretches of each length."""
-    w = W.partitionBy("label", "bars").orderBy(F.desc("sim"), "f")
-    return _bars(s, d).withColumn("rank", F.row_number().over(w).cast("bigint")).filter("rank <= 2").select("label", "bars", "f", "sim", "rank")
+    return candidates(s, d).filter("rung < 6 and rank <= 2").select("label", "bars", "f", "length", "rank")
 
 
-@query(f"{_BARS} select label, bars, f, sim, cast(greatest(2, ceil(24.0 / bars)) as bigint) as cycles from al qualify row_number() over (partition by label, bars order by sim desc, f) <= 2")
+@query(f"with {_CANDS} select label, bars, f, L as length, cast(greatest(2, ceil(24.0 / L)) as bigint) as cycles from cd where rung < 6 and rank <= 2")
 def sink_loops(s, d):
     """What is exported: the two best stretches of each length, repeated to at least two cycles and 24 frames."""
-    return limit_list_loops(s, d).select("label", "bars", "f", "sim", F.greatest(F.lit(2), F.ceil(24.0 / F.col("bars"))).cast("bigint").alias("cycles"))
+    return limit_list_loops(s, d).select("label", "bars", "f", "length", F.greatest(F.lit(2), F.ceil(24.0 / F.col("length"))).cast("bigint").alias("cycles"))
 
 
-@query(f"{_BARS}, p as (select *, case when bars = 4 and sim >= 0.2 then 0 when bars = 2 then 1 when bars = 1 then 2 else 3 end pref from al) select label, bars, f, sim from p qualify row_number() over (partition by label order by pref, sim desc, f) = 1")
-def pick_loop(s, d):
-    """The best long stretch if it repeats well, else the best of half the length, else of a quarter."""
-    pref = F.when((F.col("bars") == 4) & (F.col("sim") >= 0.2), 0).when(F.col("bars") == 2, 1).when(F.col("bars") == 1, 2).otherwise(3)
-    m = _bars(s, d).groupBy("label").agg(F.min(F.struct(pref.alias("p"), (-F.col("sim")).alias("ns"), "f", "bars", "sim")).alias("m"))
-    return m.select("label", "m.bars", "m.f", "m.sim")
+_PICK = f"""{_CANDS}, op as (select label, f, bars, L, sim, case when bars = 4 and rung < 6 then 1 when bars = 4 and sim >= 0.45 then 2 when bars = 2 and rung < 6 then 3 when bars = 1 and rung < 6 then 4 end pref from cd where rank = 1
+  union all select label, f, bars, cast(L as int), null, 0 from pr where label % 5 = 0 and f = 8 and bars = 4),
+pk as (select label, coalesce(f, -1) f, coalesce(bars, 0) bars, coalesce(L, 0) length, sim, case pref when 0 then 'manual' when 1 then 'asked' when 2 then 'sung' when 3 then 'shorter' when 4 then 'shorter' else 'none' end note from (select nf.label, op.* exclude (label) from nf left join (select * from op where pref is not null) op using (label) qualify row_number() over (partition by nf.label order by pref) = 1))"""
 
 
-_ENT = f"""with {_EM}, n as (select label, max(f) m from em group by 1), b as (select em.label, em.f j, em.f % 4 q, n.m from em join n using (label) where em.f >= 8 and em.f + 4 <= n.m)"""
+@query(f"with {_PICK} select label, cast(f as bigint) as f, cast(bars as int) as bars, length, round(sim, 6) as sim, note from pk")
+def pick_loop(s, d):
+    """The loop of each label: where its start is given (here 8, for every fifth label) that; else the best of the length asked for (4 bars);
+    else of that length with singing, if it repeats well (0.45 or more); else of a half and a quarter; else none."""
+    c = candidates(s, d).filter("rank = 1")
+    low = F.col("rung") < 6
+    pref = F.when((F.col("bars") == 4) & low, 1).when((F.col("bars") == 4) & (F.col("sim") >= 0.45), 2).when((F.col("bars") == 2) & low, 3).when((F.col("bars") == 1) & low, 4)
+    c = c.select("label", pref.alias("pref"), "f", "bars", "length", "sim").filter("pref is not null")
+    x = song(s, d)
+    given = repeats.periods(x.filter("label % 5 = 0"), "label", (4,), 4, 2).filter("f = 8").select("label", F.lit(0).alias("pref"), "f", "bars", "length", F.lit(None).cast("double").alias("sim"))
+    m = c.unionByName(given).groupBy("label").agg(F.min(F.struct("pref", "f", "bars", "length", "sim")).alias("m"))
+    note = F.when(F.col("m.pref") == 0, "manual").when(F.col("m.pref") == 1, "asked").when(F.col("m.pref") == 2, "sung").when(F.col("m.pref") > 2, "shorter").otherwise("none")
+    all_ = x.select("label").distinct().join(m, "label", "left")
+    return all_.select("label", F.coalesce("m.f", F.lit(-1)).cast("bigint").alias("f"), F.coalesce("m.bars", F.lit(0)).alias("bars"), F.coalesce("m.length", F.lit(0)).cast("int").alias("length"), r6("m.sim").alias("sim"), note.alias("note"))
+
+
+# an entry is searched on the beats from frame 8 to the last but two, with a crossfade of four frames, compared over six, for a loop that starts at frame 5
+_ENT = f"""{_EM}, x as (select label, f, v, v[1] o from em), nf as (select label, count(*) n from em group by 1), bt as (select label, f, f // 2 j from x where f % 2 = 0),
+j0 as (select label, j j0 from bt qualify row_number() over (partition by label order by abs(f - 5), j) = 1),
+cm as (select label, list(m order by bin) m from (select label, bin, avg(v[bin]) m from x, (select unnest(range(1, 65)) bin) group by 1, 2) group by 1),
+sc as (select x.label, f, list_transform(list_zip(v, m), lambda z: z[1] - z[2]) u from x join cm using (label)),
+rf as (select bt.label, bt.f rf, bt.j - j0 q from bt join j0 using (label) join nf using (label) where bt.j - j0 between 0 and 1 and bt.f + 6 <= n),
+en as (select bt.label, bt.f t, rf.q, rf.rf, n - 2 hi, n from bt join j0 using (label) join nf using (label) join rf on rf.label = bt.label and rf.q = ((bt.j - j0) % 2 + 2) % 2 where n >= 8 and bt.f >= 8 and bt.f + 4 <= n - 2 and bt.f + 6 + 1 < n)"""
 
 
 def entries(s, d):
-    """Beats at which a stretch of four frames may come in: (label, j, q, m)."""
-    v = vectors(s, d)
-    n = v.groupBy("label").agg(F.max("f").alias("m"))
-    return v.join(n, "label").filter("f >= 8 and f + 4 <= m").select("label", F.col("f").alias("j"), F.pmod("f", F.lit(4)).alias("q"), "m")
+    x = vectors(s, d).select("label", "f", "v", F.col("v")[0].alias("o"))
+    return repeats.entries(x, "label", loop=5, beat=2, bpb=2, lo=8, short=2, cross=4, width=6)
 
 
-@query(f"{_ENT} select label, j, q from b")
+@query(f"with {_ENT} select label, t, cast(q as bigint) as q from en")
 def flt_entry(s, d):
-    return entries(s, d).select("label", "j", "q")
+    """Beats on which an excerpt may begin: late enough, with room for the crossfade before the first sung word, with a reference stretch of
+    the loop at the same phase and all frames there."""
+    return entries(s, d).select("label", "t", "q")
 
 
-@query(f"""{_ENT}, i as (select unnest([0, 1, 2, 3]) i), c as (select b0.label, j, q, m, avg({_COS}) sim from b b0 join i on true join em a on a.label = b0.label and a.f = q + i join em b on b.label = b0.label and b.f = j + i group by 1, 2, 3, 4),
-z as (select *, round(sim + case when q = 0 then 0.05 else 0 end - 0.01 * greatest(0, m - 4 - j), 6) score from c) select label, j, q, score from z qualify row_number() over (partition by label order by score desc, j) = 1""")
+@query(f"""with {_ENT}, od as (select en.label, en.t, en.q, en.rf, hi, n, d, count(*) c, coalesce(case when count(*) = 6 and stddev_pop(a.o) >= 1e-9 and stddev_pop(b.o) >= 1e-9 then covar_pop(a.o, b.o) / (stddev_pop(a.o) * stddev_pop(b.o)) end, -1) oc
+  from en, (select unnest([-1, 0, 1]) d), (select unnest(range(0, 6)) i) left join x a on a.label = en.label and a.f = en.rf + i left join x b on b.label = en.label and b.f = en.t + d + i where en.t + d >= 0 group by 1, 2, 3, 4, 5, 6, 7),
+ob as (select * from od qualify row_number() over (partition by label, t order by round(oc, 6) desc, d) = 1),
+z as (select ob.label, ob.t, ob.q, ob.d, round(oc, 6) oc, round(avg({_COS.replace('a.v', 'a.u').replace('b.v', 'b.u')}), 6) sim, max(hi) hi from ob, (select unnest(range(0, 6)) i) join sc a on a.label = ob.label and a.f = ob.rf + i join sc b on b.label = ob.label and b.f = ob.t + ob.d + i group by 1, 2, 3, 4, 5 having count(*) = 6),
+y as (select *, round(sim + 0.5 * oc + case when q = 0 then 0.05 else 0 end - 0.01 * greatest(0, hi - 4 - (t + d)), 6) score from z)
+select label, t + d as t, cast(q as bigint) as q, cast(d as int) as lag, oc, sim, score from y qualify row_number() over (partition by label order by score desc, y.t) = 1""")
 def top_entry(s, d):
-    """The beat whose next four frames resemble those of the loop at the same phase most; bar lines and late beats preferred."""
-    v = vectors(s, d)
-    e = entries(s, d).withColumn("i", F.explode(F.array(*map(F.lit, range(4)))))
-    e = e.withColumns({"fa": F.col("q") + F.col("i"), "fb": F.col("j") + F.col("i")})
-    e = e.join(v.select("label", F.col("f").alias("fa"), F.col("v").alias("a")), ["label", "fa"]).join(v.select("label", F.col("f").alias("fb"), F.col("v").alias("b")), ["label", "fb"])
-    c = e.groupBy("label", "j", "q", "m").agg(F.avg(S.cosine(F.col("a"), F.col("b"))).alias("sim"))
-    score = r6(F.col("sim") + F.when(F.col("q") == 0, 0.05).otherwise(0.0) - 0.01 * F.greatest(F.lit(0), F.col("m") - 4 - F.col("j")))
-    b = c.withColumn("score", score).groupBy("label").agg(F.min(F.struct((-F.col("score")).alias("n"), "j", "q", "score")).alias("m"))
-    return b.select("label", "m.j", "m.q", "m.score")
+    """The beat on which the song takes over: where its next frames resemble those of the loop at the same phase most, in sound and in
+    onsets, moved by a frame if the onsets then fall together better; bar lines and late beats are preferred, the first of equals."""
+    x = vectors(s, d).select("label", "f", "v", F.col("v")[0].alias("o"))
+    b = repeats.scored_entries(x, "label", entries(s, d), lag=1, cross=4, width=6)
+    m = b.groupBy("label").agg(F.min(F.struct((-F.col("score")).alias("n"), F.col("t"), "q", "d", "oc", "sim", "score")).alias("m"))
+    return m.select("label", (F.col("m.t") + F.col("m.d")).alias("t"), "m.q", F.col("m.d").alias("lag"), "m.oc", "m.sim", "m.score")
 
 
 @query(f"with {FRAMES}, n as (select user_id, count(*) n from fr where v < 60 group by 1), x as (select user_id, n, unnest([1, 2, 4, 8]) k from n) select user_id, cast(min(k) as int) as k from x where n >= 64 / k group by 1")
@@ -316,9 +371,19 @@ def win_duck_envelope(s, d):
     return x.select("user_id", "f", r6(F.avg("h").over(o.rowsBetween(-5, 5))).alias("act"))
 
 
-@query(f"with {FRAMES} select user_id, f, round(case when f < 10 then f / 9.0 when f < 40 then pow(10.0, (-7.0 * v / 200) / 20) when f < 50 then (1.0 - ((f - 40) / 9.0) * ((f - 40) / 9.0) * (3 - 2 * (f - 40) / 9.0)) else 0.0 end, 6)::double as gain from fr")
+_GAIN = """case when f < 5 then 2.0 * (f / 4.0) * (f / 4.0) * (3 - 2 * f / 4.0) when f < 15 then 2.0 * pow(0.5, ((f - 5) / 9.0) * ((f - 5) / 9.0) * (3 - 2 * (f - 5) / 9.0)) when f < 25 then pow(10.0, 10.0 * case when f < 20 then ((f - 15) / 4.0) * ((f - 15) / 4.0) * (3 - 2 * (f - 15) / 4.0) else 1 - ((f - 20) / 4.0) * ((f - 20) / 4.0) * (3 - 2 * (f - 20) / 4.0) end / 20)
+when f < 40 then pow(10.0, (-7.0 * least(1.0, v / 200)) / 20) when f < 50 then 1.0 * pow(3.0, ((f - 40) / 9.0) * ((f - 40) / 9.0) * (3 - 2 * (f - 40) / 9.0)) when f < 55 then 3.0 * (1 - ((f - 50) / 4.0) * ((f - 50) / 4.0) * (3 - 2 * (f - 50) / 4.0)) else 0.0 end"""
+
+
+@query(f"with {FRAMES} select user_id, f, round({_GAIN}, 6)::double as gain from fr")
 def win_gain_curve(s, d):
-    """Gain of a bed: it rises, is ducked by the level, and hands over along a smooth step."""
+    """Gain of a bed: it fades in as a song fades out (to 2), settles to 1, rises by 10 dB and back while nobody speaks, is ducked by the level, swells
+    to 3 and hands over to the next song."""
     f = F.col("f")
-    g = F.when(f < 10, f / 9.0).when(f < 40, N.db_gain(-7.0 * F.col("v") / 200)).when(f < 50, 1.0 - N.smoothstep((f - 40) / 9.0)).otherwise(0.0)
+    st = lambda a, n: N.smoothstep((f - a) / float(n - 1))
+    swell = F.when(f < 20, st(15, 5)).otherwise(1 - st(20, 5))
+    g = (
+        F.when(f < 5, 2.0 * st(0, 5)).when(f < 15, 2.0 * F.pow(F.lit(0.5), st(5, 10))).when(f < 25, N.db_gain(10.0 * swell))
+        .when(f < 40, N.db_gain(-7.0 * F.least(F.lit(1.0), F.col("v") / 200))).when(f < 50, F.pow(F.lit(3.0), st(40, 10))).when(f < 55, 3.0 * (1 - st(50, 5))).otherwise(0.0)
+    )
     return frames(s, d).select("user_id", "f", r6(g).alias("gain"))

@@ -6,9 +6,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import intervals
-from ..session import table
-from .base import Registry
-from .sections import _CLIP, win_narration_timeline
+from ..session import cut, table
+from .base import LINES, Registry
+from .lines import _SEC, section_lines
+from .sections import _CURSOR, _NARRATION, _WIN, win_narration_timeline, win_section_cursor, win_song_windows
 
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
@@ -54,72 +55,118 @@ def join_src_dst(s, d):
 j as (select v.event_id, pr, iv.event_id match_id, row_number() over (partition by v.event_id order by pr, iv.a, iv.event_id) n from ev v join iv on v.user_id = iv.user_id and v.us >= iv.a and v.us < iv.b where v.event_type = 'view')
 select v.event_id, coalesce(case j.pr when 0 then 'text' when 1 then 'song' when 2 then 'lesson' end, 'title') as state, coalesce(j.match_id, -1) as match_id from ev v left join j on v.event_id = j.event_id and j.n = 1 where v.event_type = 'view'""")
 def join_interval_state(s, d):
-    """What a user sees at each view: a text, else a song, else a lesson whose interval holds it, else the title."""
+    """What a user sees at each view: a text, else a song, else a lesson whose interval holds it, else the title; of several the first begun.
+
+    Views and intervals meet by user and bucket of time, as :func:`intervals.overlap` cuts them, so a user with many events is no product."""
     iv = events(s, d).filter("event_type in ('signup', 'purchase', 'click')")
     pr = F.when(F.col("event_type") == "signup", 0).when(F.col("event_type") == "purchase", 1).otherwise(2)
-    iv = iv.select("user_id", F.col("us").alias("a"), (F.col("us") + F.round(F.col("value") * 60000000).cast("bigint") + F.when(pr == 0, 600000).otherwise(0)).alias("b"), pr.alias("pr"), F.col("event_id").alias("match_id"))
+    iv = iv.select("user_id", F.col("us").alias("a"), (F.col("us") + F.round(F.col("value") * 60000000).cast("bigint") + F.when(pr == 0, 600000).otherwise(0)).alias("b"), F.struct(pr.alias("pr"), F.col("us").alias("a"), F.col("event_id").alias("match_id")).alias("x"))
     v = events(s, d, "view").select("user_id", "us", "event_id")
-    j = v.join(iv, (v["user_id"] == iv["user_id"]) & (v["us"] >= iv["a"]) & (v["us"] < iv["b"]))
-    best = j.groupBy("event_id").agg(F.min(F.struct("pr", "a", "match_id")).alias("m"))
+    j = intervals.overlap(v.select("user_id", F.col("us").alias("a"), (F.col("us") + 1).alias("b"), "event_id"), iv, "user_id", ["x"])
+    best = j.groupBy("event_id").agg(F.min("x").alias("m"))
     state = F.coalesce(F.when(F.col("m.pr") == 0, "text").when(F.col("m.pr") == 1, "song").when(F.col("m.pr") == 2, "lesson"), F.lit("title"))
     return v.join(best, "event_id", "left").select("event_id", state.alias("state"), F.coalesce("m.match_id", F.lit(-1)).alias("match_id"))
 
 
-_TL = f"""{_CLIP}, e as (select plan_id, section, line_id, 'src' kind, round(t, 6) t0, round(t + a, 6) t1 from p union all select plan_id, section, line_id, 'dst', round(t + a + 0.45, 6), round(t + a + 0.45 + b, 6) from p),
-tot as (select plan_id, section, max(t1) + 1 total from e group by 1, 2), cu as (select plan_id, section, t0 t from e union select plan_id, section, t1 from e union select plan_id, section, 0.0::double from tot union select plan_id, section, total from tot
-union select plan_id, section, unnest(range(1, cast(trunc(total) as bigint) + 1))::double from tot)"""
-_IV = f"""{_TL}, th as (select *, lag(t) over (partition by plan_id, section order by t) pt from cu), iv as (select plan_id, section, t t0, lead(t) over (partition by plan_id, section order by t) t1 from th where pt is null or t - pt > 0.04),
-mi as (select *, (t0 + t1) / 2 mid from iv where t1 is not null), so as (select plan_id, section, t0 ta, max(line_id) line_id from e where kind = 'src' group by 1, 2, 3),
-st as (select mi.plan_id, mi.section, t0, t1, mid, so.line_id from mi asof left join so on mi.plan_id = so.plan_id and mi.section = so.section and mi.mid >= so.ta),
-fi as (select st.plan_id, st.section, st.t0, st.t1, case when st.line_id is null then 'title' else 'lesson:' || cast(st.line_id as varchar) || case when de.t0 <= mid then ':1' else ':0' end end as state
-from st left join e de on de.plan_id = st.plan_id and de.section = st.section and de.line_id = st.line_id and de.kind = 'dst')"""
-
-
-def timeline(s, d):
-    """Narration of each section with one key for both parts of its name."""
-    t = win_narration_timeline(s, d)
-    return t.withColumn("key", F.concat_ws("/", "plan_id", F.col("section").cast("string")))
-
-
-def _cuts(s, d):
-    e = timeline(s, d)
-    tot = e.groupBy("key", "plan_id", "section").agg((F.max("t1") + 1).alias("total"))
-    ticks = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("total").cast("bigint")), lambda x: x.cast("double"))
-    own = tot.select("key", F.explode(F.array_append(ticks, F.col("total"))).alias("t"))
-    return e.select("key", F.explode(F.array("t0", "t1")).alias("t")).unionByName(own).distinct()
-
-
-def _split(df):
-    return df.withColumns({"plan_id": F.substring_index("key", "/", 1), "section": F.substring_index("key", "/", -1).cast("int")})
+_EVENTS = f"""cu as ({_CURSOR.format(win=_WIN)}), wn as ({_WIN}), na as ({_NARRATION}), {LINES}, {_SEC},
+e as (select na.plan_id, na.section, line_id, kind, round(cu.t0 + na.t0, 6) t0, round(cu.t0 + na.t1, 6) t1 from na join cu using (plan_id, section)),
+so as (select plan_id, section, round(cu.t1 - (wn."end" - wn.start), 6) t0, cu.t1, wn.start src0 from cu join wn using (plan_id, section)),
+su as (select plan_id, section, j.k, round(so.t0 + coalesce(sing_start, start_s) - src0, 6) a, round(so.t0 + coalesce(sing_end, end_s) - src0, 6) b from j join so using (plan_id, section) where start_s is not null and end_s is not null),
+fa as (select plan_id, section, min(t0) begins from (select plan_id, section, t0 from e where kind = 'src' union all select plan_id, section, t0 from so) group by 1, 2),
+tot as (select plan_id, max(t1) + 1 total from (select plan_id, t1 from e union all select plan_id, t1 from so) group by 1),
+c0 as (select plan_id, t0 t from e union select plan_id, t1 from e union select plan_id, t0 from so union select plan_id, t1 from so union select plan_id, a from su union select plan_id, b from su union select plan_id, begins from fa
+  union select plan_id, unnest([0.0::double, 1.2, total]) from tot union select plan_id, unnest(range(1, cast(trunc(total) as bigint) + 1))::double from tot),
+cut as (select plan_id, t from c0 join tot using (plan_id) where t between 0 and total)"""
+
+
+def section_events(s, d):
+    """What happens on the time line of each plan: (e, songs, sung, first): spoken lines, excerpts of the song with the begin src0 of what they
+    play, when each line is sung in them, and when a section begins. A text is read at the very beginning, up to 1.2 s."""
+    wn = cut(win_song_windows(s, d))
+    cu = win_section_cursor(s, d, wn)
+    at = cu.select("plan_id", "section", F.col("t0").alias("c0"))
+    e = win_narration_timeline(s, d).join(at, ["plan_id", "section"]).select("plan_id", "section", "line_id", "kind", r6(F.col("c0") + F.col("t0")).alias("t0"), r6(F.col("c0") + F.col("t1")).alias("t1"))
+    e = cut(e)  # each of these is looked up in several ways
+    songs = cu.select("plan_id", "section", "t1").join(wn, ["plan_id", "section"]).select("plan_id", "section", r6(F.col("t1") - (F.col("end") - F.col("start"))).alias("t0"), "t1", F.col("start").alias("src0"))
+    songs = cut(songs)
+    j = section_lines(s, d, "start_s", "end_s", "sing_start", "sing_end").filter("start_s is not null and end_s is not null")
+    own = j.join(songs, ["plan_id", "section"])
+    x = lambda c, t: r6(F.col("t0") + F.coalesce(c, t) - F.col("src0"))
+    sung = cut(own.select("plan_id", "section", "k", x("sing_start", "start_s").alias("a"), x("sing_end", "end_s").alias("b")))
+    first = e.filter("kind = 'src'").select("plan_id", "section", "t0").unionByName(songs.select("plan_id", "section", "t0")).groupBy("plan_id", "section").agg(F.min("t0").alias("at"))
+    return e, songs, sung, first
+
+
+def cut_points(e, songs, sung, first):
+    """(plan_id, t): every moment at which something begins or ends, whole seconds, 0 and the end; each once."""
+    tot = e.select("plan_id", "t1").unionByName(songs.select("plan_id", "t1")).groupBy("plan_id").agg((F.max("t1") + 1).alias("total"))
+    ticks = F.transform(F.sequence(F.lit(1).cast("bigint"), F.greatest(F.lit(1), F.col("total").cast("bigint"))), lambda z: z.cast("double"))
+    own = tot.select("plan_id", F.explode(F.concat(ticks, F.array(F.lit(0.0), F.lit(1.2), "total"))).alias("t"))
+    edges = [df.select("plan_id", F.explode(F.array(*cs)).alias("t")) for df, cs in ((e, ("t0", "t1")), (songs, ("t0", "t1")), (sung, ("a", "b")), (first, ("at",)))]
+    for x in edges:
+        own = own.unionByName(x)
+    return own.join(tot, "plan_id").filter("t between 0 and total").select("plan_id", "t").distinct()
+
+
+@query(f"with {_EVENTS} select plan_id, t from cut")
+def set_union_cuts(s, d):
+    """Every moment at which something begins or ends on a plan's time line: spoken lines, excerpts, sung lines, sections; whole seconds, 0 and
+    the end; each once."""
+    return cut_points(*section_events(s, d))
 
 
-@query(f"{_TL} select plan_id, section, t from cu")
-def set_union_cuts(s, d):
-    """Every moment at which something begins or ends, whole seconds, 0 and the end; each once."""
-    return _split(_cuts(s, d)).select("plan_id", "section", "t")
+_IV = f"""{_EVENTS}, th as (select *, lag(t) over (partition by plan_id order by t) pt from cut), iv as (select plan_id, t t0, lead(t) over (partition by plan_id order by t) t1 from th where pt is null or t - pt > 0.04),
+mi as (select *, (t0 + t1) / 2 mid from iv where t1 is not null),
+sg as (select mi.plan_id, mi.t0, so.section, row_number() over (partition by mi.plan_id, mi.t0 order by so.section) n from mi join so on so.plan_id = mi.plan_id and so.t0 <= mid and mid < so.t1),
+cr as (select sg.plan_id, sg.t0, sg.section, coalesce(max(su.k), 0) k from sg join mi on mi.plan_id = sg.plan_id and mi.t0 = sg.t0 left join su on su.plan_id = sg.plan_id and su.section = sg.section and su.a <= mid where n = 1 group by 1, 2, 3),
+ps as (select *, row_number() over (partition by plan_id, section order by t0, line_id) pos, count(*) over (partition by plan_id, section) n from e where kind = 'src'),
+ls as (select mi.plan_id, mi.t0, mid, ps.section, ps.line_id, pos, n, row_number() over (partition by mi.plan_id, mi.t0 order by ps.t0 desc, ps.section desc, ps.line_id desc) r from mi join ps on ps.plan_id = mi.plan_id and ps.t0 <= mid),
+le as (select ls.*, coalesce(de.t0 <= mid, false) shown, mid < coalesce(so.t0, 1e18) open from ls left join e de on de.plan_id = ls.plan_id and de.section = ls.section and de.line_id = ls.line_id and de.kind = 'dst' left join so on so.plan_id = ls.plan_id and so.section = ls.section where r = 1),
+up as (select mi.plan_id, mi.t0, fa.section, row_number() over (partition by mi.plan_id, mi.t0 order by begins, fa.section) r from mi join fa on fa.plan_id = mi.plan_id and begins > mid),
+fi as (select mi.plan_id, mi.t0, mi.t1, case when mi.mid < 1.8 then 'text' when cr.section is not null then 'song:' || cast(cr.section as varchar) || ':' || cast(cr.k as varchar)
+  when le.open then 'lesson:' || cast(le.line_id as varchar) || case when shown then ':1:' else ':0:' end || cast(pos as varchar) || '/' || cast(le.n as varchar) else 'title:' || coalesce(cast(up.section as varchar), '-') end as state
+  from mi left join cr on cr.plan_id = mi.plan_id and cr.t0 = mi.t0 left join le on le.plan_id = mi.plan_id and le.t0 = mi.t0 left join up on up.plan_id = mi.plan_id and up.t0 = mi.t0 and up.r = 1)"""
 
 
-@query(f"{_IV} select * from fi")
+@query(f"with {_IV} select * from fi")
 def win_intervals(s, d):
-    """Intervals of one visual state: points closer than 0.04 s to the one before are thinned, the state is that of the middle."""
-    e = timeline(s, d)
-    iv = intervals.tile(_cuts(s, d), "key", "t").withColumn("mid", (F.col("t0") + F.col("t1")) / 2)
-    src = e.filter("kind = 'src'").select("key", F.col("t0").alias("mid"), "line_id")
-    st = intervals.asof_last(iv, src, "key", "mid", ["line_id"])
-    dst = e.filter("kind = 'dst'").select("key", "line_id", F.col("t0").alias("dt"))
-    j = st.join(dst, ["key", "line_id"], "left")
-    state = F.when(F.col("line_id").isNull(), "title").otherwise(F.concat(F.lit("lesson:"), F.col("line_id").cast("string"), F.when(F.col("dt") <= F.col("mid"), ":1").otherwise(":0")))
-    return _split(j.withColumn("state", state)).select("plan_id", "section", "t0", "t1", "state")
-
-
-@query(f"{_IV} select distinct plan_id, section, state from fi")
+    """Intervals of one visual state on a plan's time line: points closer than 0.04 s to the one before are thinned, the state is that of
+    the middle. A text is shown 0.6 s longer than it is read; else the excerpt that plays, with the number of the line last begun; else the
+    line last spoken, whether its translation has begun, its place in the lesson; else a title with the section that comes next."""
+    e, songs, sung, first = section_events(s, d)
+    iv = intervals.tile(cut_points(e, songs, sung, first), "plan_id", "t").withColumn("mid", (F.col("t0") + F.col("t1")) / 2)
+    # where excerpts overlap the first one is seen
+    o = W.partitionBy("plan_id").orderBy("section").rowsBetween(W.unboundedPreceding, -1)
+    so = songs.withColumn("mid", F.greatest("t0", F.coalesce(F.max("t1").over(o), F.col("t0")))).filter("mid < t1")
+    st = intervals.asof_last(iv, so.select("plan_id", "mid", F.col("t1").alias("until"), F.col("section").alias("song")), "plan_id", "mid", ["until", "song"])
+    st = st.withColumn("song", F.when(F.col("mid") < F.col("until"), F.col("song"))).withColumn("at", F.concat_ws("/", "plan_id", F.coalesce(F.col("song").cast("string"), F.lit("-"))))
+    # the highest number among the lines begun, whatever order they are sung in
+    w = W.partitionBy("plan_id", "section").orderBy("a").rangeBetween(W.unboundedPreceding, 0)
+    su = sung.withColumn("cur", F.max("k").over(w)).select(F.concat_ws("/", "plan_id", F.col("section").cast("string")).alias("at"), F.col("a").alias("mid"), "cur")
+    st = intervals.asof_last(st, su, "at", "mid", ["cur"]).drop("at", "until")
+    p = W.partitionBy("plan_id", "section")
+    src = e.filter("kind = 'src'").withColumns({"pos": F.row_number().over(p.orderBy("t0", "line_id")), "n": F.count(F.lit(1)).over(p)})
+    src = src.join(e.filter("kind = 'dst'").select("plan_id", "section", "line_id", F.col("t0").alias("dt")), ["plan_id", "section", "line_id"], "left").join(songs.select("plan_id", "section", F.col("t0").alias("st")), ["plan_id", "section"], "left")
+    st = intervals.asof_last(st, src.select("plan_id", F.col("t0").alias("mid"), "section", "line_id", "pos", "n", "dt", "st"), "plan_id", "mid", ["section", "line_id", "pos", "n", "dt", "st"])
+    nx = first.select("plan_id", F.col("at").alias("mid"), F.col("section").alias("next"))
+    st = intervals.next_after(st, nx, "plan_id", "mid", ["next"])
+    text = lambda c: F.col(c).cast("string")
+    lesson = F.col("line_id").isNotNull() & (F.col("mid") < F.coalesce("st", F.lit(1e18)))
+    state = (
+        F.when(F.col("mid") < 1.8, "text").when(F.col("song").isNotNull(), F.concat(F.lit("song:"), text("song"), F.lit(":"), F.coalesce("cur", F.lit(0)).cast("string")))
+        .when(lesson, F.concat(F.lit("lesson:"), text("line_id"), F.when(F.col("dt") <= F.col("mid"), ":1:").otherwise(":0:"), text("pos"), F.lit("/"), text("n"))).otherwise(F.concat(F.lit("title:"), F.coalesce(text("next"), F.lit("-"))))
+    )
+    return st.select("plan_id", "t0", "t1", state.alias("state"))
+
+
+@query(f"{'with ' + _IV} select distinct plan_id, state from fi")
 def distinct_states(s, d):
     """One picture is drawn for each distinct state."""
-    return win_intervals(s, d).select("plan_id", "section", "state").distinct()
+    return win_intervals(s, d).select("plan_id", "state").distinct()
 
 
-@query(f"{_IV}, n as (select *, row_number() over (partition by plan_id, section order by t0) - 1 as n from fi) select plan_id, section, cast(n as bigint) as n, state, round(t1 - t0, 4) as duration from n")
+@query(f"with {_IV}, nn as (select *, row_number() over (partition by plan_id order by t0) - 1 as n from fi) select plan_id, cast(n as bigint) as n, state, round(t1 - t0, 4) as duration from nn")
 def sink_video(s, d):
     """The listing of frames: a state and how long it is shown."""
-    n = F.row_number().over(W.partitionBy("plan_id", "section").orderBy("t0")) - 1
-    return win_intervals(s, d).select("plan_id", "section", n.cast("bigint").alias("n"), "state", F.round(F.col("t1") - F.col("t0"), 4).alias("duration"))
+    n = F.row_number().over(W.partitionBy("plan_id").orderBy("t0")) - 1
+    return win_intervals(s, d).select("plan_id", n.cast("bigint").alias("n"), "state", F.round(F.col("t1") - F.col("t0"), 4).alias("duration"))
