@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..config import Settings
 from ..functions import text as T
 from ..operators import islands
 from ..operators import sections as S
@@ -14,6 +15,8 @@ from .base import LINES, Registry, lines, words
 from .lines import _SEC, section_lines, sung_lines
 
 query = Registry()
+#: The numbers the queries below take; their SQL has the same ones written out.
+TUNED = Settings()
 QUERIES, SQL = query.queries, query.sql
 r6 = lambda c: F.round(c, 6)
 _J = f"with {LINES}, {_SEC}"
@@ -112,12 +115,12 @@ def win_song_windows(s, d):
     m = table(s, d, "plan_docs").select("plan_id", "song_id").join(table(s, d, "song_meta").filter("duration > 0").select("song_id", F.col("duration").alias("du")), "song_id")
     x = W.partitionBy("plan_id").orderBy("section")
     o = f.join(m, "plan_id").withColumns({"pm": F.lag("lm").over(x), "nx": F.lead("section").over(x)})
-    o = o.withColumn("a", F.greatest(F.lit(0.0), F.col("s0") - 2.0, F.coalesce("pm", F.lit(0.0))))
-    o = o.withColumn("b", F.when(F.col("nx").isNull(), F.col("du")).otherwise(F.least("du", F.col("s1") + 1.5, "lm")))
+    o = o.withColumn("a", F.greatest(F.lit(0.0), F.col("s0") - TUNED.song_preroll, F.coalesce("pm", F.lit(0.0))))
+    o = o.withColumn("b", F.when(F.col("nx").isNull(), F.col("du")).otherwise(F.least("du", F.col("s1") + TUNED.song_tail, "lm")))
     o = o.withColumn("b", F.greatest("b", F.when(F.col("lg") >= 0.2, F.col("s1")).otherwise(F.col("b"))))
     return o.select(
-        "plan_id", "section", r6("a").alias("start"), r6("b").alias("end"), r6(F.least(F.lit(0.3), F.greatest(F.lit(0.05), F.col("s0") - F.col("a")))).alias("fade_in"),
-        r6(F.when(F.col("nx").isNull(), 0.05).otherwise(F.least(F.lit(1.5), F.greatest(F.lit(0.1), F.col("b") - F.col("s1"))))).alias("fade_out"), (F.col("nx").isNotNull() & (F.col("lg") < 0.2)).alias("cut"),
+        "plan_id", "section", r6("a").alias("start"), r6("b").alias("end"), r6(F.least(F.lit(TUNED.song_fade_in), F.greatest(F.lit(0.05), F.col("s0") - F.col("a")))).alias("fade_in"),
+        r6(F.when(F.col("nx").isNull(), 0.05).otherwise(F.least(F.lit(TUNED.song_fade_out), F.greatest(F.lit(0.1), F.col("b") - F.col("s1"))))).alias("fade_out"), (F.col("nx").isNotNull() & (F.col("lg") < 0.2)).alias("cut"),
     )
 
 
@@ -134,12 +137,12 @@ def win_section_cursor(s, d, windows=None):
     """Where each section lies on the time line: its lesson (as win_narration_timeline lays it out, with a tail of 0.5 s and a gap of 0.4 s) and
     its excerpt. After an excerpt that ends inside singing the next section fades in over its last second, else a gap of 0.6 s follows."""
     c = section_lines(s, d, "text", "translation", "narrate").filter("narrate and text is not null")
-    clip = 0.07 * F.length(T.rstrip_punct(F.col("text"))) + 0.45 + 0.07 * F.length(F.coalesce("translation", F.lit(""))) + 0.9
-    le = c.groupBy("plan_id", "section").agg((2.0 + F.sum(clip) + 0.5).alias("x"))
+    clip = 0.07 * F.length(T.rstrip_punct(F.col("text"))) + TUNED.gap_lang + 0.07 * F.length(F.coalesce("translation", F.lit(""))) + TUNED.gap_line
+    le = c.groupBy("plan_id", "section").agg((TUNED.lead_in + F.sum(clip) + TUNED.learn_tail).alias("x"))
     b = (windows or win_song_windows(s, d)).join(le, ["plan_id", "section"], "left")
-    b = b.withColumn("len", F.coalesce(F.col("x") + 0.4, F.lit(0.0)) + (F.col("end") - F.col("start")))
+    b = b.withColumn("len", F.coalesce(F.col("x") + TUNED.gap_to_song, F.lit(0.0)) + (F.col("end") - F.col("start")))
     x = W.partitionBy("plan_id").orderBy("section").rowsBetween(W.unboundedPreceding, -1)
-    t = F.coalesce(F.sum(F.col("len") + F.when(F.col("cut"), -F.least(F.lit(1.0), F.col("len"))).otherwise(0.6)).over(x), F.lit(0.0))
+    t = F.coalesce(F.sum(F.col("len") + F.when(F.col("cut"), -F.least(F.lit(1.0), F.col("len"))).otherwise(TUNED.gap_section)).over(x), F.lit(0.0))
     return b.select("plan_id", "section", r6(t).alias("t0"), r6(t + F.col("len")).alias("t1"))
 
 
@@ -156,10 +159,10 @@ def win_narration_timeline(s, d):
     c = section_lines(s, d, "text", "translation", "narrate").filter("narrate and text is not null")
     c = c.withColumns({"a": 0.07 * F.length(T.rstrip_punct(F.col("text"))), "b": 0.07 * F.length(F.coalesce("translation", F.lit("")))})
     x = W.partitionBy("plan_id", "section").orderBy("k").rowsBetween(W.unboundedPreceding, -1)
-    t = 2.0 + F.coalesce(F.sum(F.col("a") + 0.45 + F.col("b") + 0.9).over(x), F.lit(0.0))
+    t = TUNED.lead_in + F.coalesce(F.sum(F.col("a") + TUNED.gap_lang + F.col("b") + TUNED.gap_line).over(x), F.lit(0.0))
     ev = lambda kind, u, v: F.struct(F.lit(kind).alias("kind"), r6(u).alias("t0"), r6(v).alias("t1"))
     p = c.withColumn("t", t)
-    e = F.array(ev("src", F.col("t"), F.col("t") + F.col("a")), ev("dst", F.col("t") + F.col("a") + 0.45, F.col("t") + F.col("a") + 0.45 + F.col("b")))
+    e = F.array(ev("src", F.col("t"), F.col("t") + F.col("a")), ev("dst", F.col("t") + F.col("a") + TUNED.gap_lang, F.col("t") + F.col("a") + TUNED.gap_lang + F.col("b")))
     return p.select("plan_id", "section", "line_id", F.explode(e).alias("e")).select("plan_id", "section", "line_id", "e.*")
 
 
@@ -223,7 +226,7 @@ def win_gap_sections(s, d):
     """Sections of each plan by its pauses: (plan_id, section, first, last) over its timed lines."""
 
     def run(key, g):
-        b = S.by_pauses(_track(g)[1])
+        b = S.by_pauses(_track(g)[1], TUNED)
         return pd.DataFrame({"plan_id": key[0], "section": range(len(b) - 1 if b else 0), "first": b[:-1], "last": [k - 1 for k in b[1:]]})
 
     return _timed(s, d).groupBy("plan_id").applyInPandas(run, "plan_id string, section int, first int, last int")
@@ -235,7 +238,7 @@ def win_split_long(s, d):
 
     def run(key, g):
         t = _track(g)[1]
-        out = S.shortened(t, list(range(len(t))), 8)
+        out = S.shortened(t, list(range(len(t))), TUNED.max_lines)
         return pd.DataFrame({"plan_id": key[0], "part": range(len(out)), "first": [p[0] for p in out], "last": [p[-1] for p in out]})
 
     return _timed(s, d).groupBy("plan_id").applyInPandas(run, "plan_id string, part int, first int, last int")

@@ -19,11 +19,15 @@ def _folder(s, name):
     return f"{shared_dir(s).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-@query("select event_id, lower('K') as tag, json_extract_string(props, '$.k') as v from events")
+@query("""select song_id, case when bad then null else title end as title, case when bad then null else artist end as artist, case when bad then 0.0 else coalesce(duration, 0.0) end as duration
+from (select *, length(title) % 7 = 0 bad from song_meta)""")
 def scan_tags(s, d):
-    """Media tags with keys in lower case."""
-    up = F.regexp_replace("props", '"k"', '"K"')
-    return table(s, d, "events").select("event_id", F.explode(formats.tags(up)).alias("tag", "v"))
+    """Title, artist and duration of a probed file: keys in any case, text that is no JSON has no tags, a missing duration is 0."""
+    t = table(s, d, "song_meta")
+    made = F.to_json(F.struct(F.struct(F.struct(F.col("title").alias("TITLE"), F.col("artist").alias("Artist")).alias("tags"), F.col("duration").cast("string").alias("duration")).alias("format")))
+    probe = F.when(F.length("title") % 7 == 0, F.concat(F.lit("{"), "title")).otherwise(made)
+    g = formats.probed(probe)
+    return t.select("song_id", g["tags"]["title"].alias("title"), g["tags"]["artist"].alias("artist"), g["duration"].alias("duration"))
 
 
 _PLANS = f"with {LINES}, p as (select plan_id, count(*) n, sum(length(text)) c from l group by 1) select p.plan_id, d.source_lang, cast(n as bigint) as n, cast(c as bigint) as chars from p join plan_docs d using (plan_id)"
@@ -41,7 +45,15 @@ def sink_json_stage(s, d):
     return b.select("plan_id", "source_lang", F.size("lines").cast("bigint").alias("n"), chars.alias("chars"))
 
 
-query(_PLANS, "scan_json_stage")(sink_json_stage)
+@query("select transcript_id, any_value(language_code) as language_code, any_value(language_probability) as p, any_value(length(text)) as chars from scribe_vocals group by 1")
+def scan_json_stage(s, d):
+    """Transcripts kept as multi-line JSON documents, one file for each task, read with a schema; a field that is missing is null."""
+    t = table(s, d, "scribe_vocals").select("transcript_id", "language_code", "language_probability", "text").dropDuplicates(["transcript_id"])
+    one = F.to_json(F.struct("transcript_id", "language_code", F.col("language_probability").alias("p"), "text"), {"pretty": "true"})
+    at = _folder(s, "transcripts")
+    t.groupBy(F.spark_partition_id()).agg(F.array_join(F.collect_list(one), ",\n").alias("docs")).select(F.concat(F.lit("["), "docs", F.lit("]"))).write.mode("overwrite").text(at)
+    b = s.read.schema("transcript_id bigint, language_code string, p double, text string, lost string").json(at, multiLine=True)
+    return b.select("transcript_id", "language_code", "p", F.length("text").alias("chars"))
 
 
 @query("select vec_id, label, len(embedding)::int as n, round(list_sum(embedding::double[]), 5) as v from embeddings")
@@ -61,10 +73,10 @@ def scan_features(s, d):
 
 @query("with y as (select distinct lrclib_id, plainlyrics t from lrclib where plainlyrics is not null), x as (select lrclib_id, unnest(string_split_regex(t, '\\r\\n|\\n|\\r')) r, generate_subscripts(string_split_regex(t, '\\r\\n|\\n|\\r'), 1) - 1 i from y) select lrclib_id, cast(i as int) as i, md5(r) as v from x")
 def scan_lyrics_text(s, d):
-    """Lyric texts written as one file a text in a folder a record, read whole and cut into lines again."""
+    """Lyric texts written, read whole and cut into lines again."""
     t = table(s, d, "lrclib").filter("plainlyrics is not null").select("lrclib_id", "plainlyrics").dropDuplicates(["lrclib_id"])
     at = _folder(s, "lyrics")
-    # one text a row in a column store stands for one file a text; millions of tiny files would serve nobody
+    # a text is a row of a column store, as millions of tiny files would serve nobody; formats.read_lyrics reads folders of text files
     t.write.mode("overwrite").parquet(at)
     return s.read.parquet(at).select("lrclib_id", F.posexplode(F.split("plainlyrics", r"\r\n|\n|\r")).alias("i", "r")).select("lrclib_id", "i", F.md5(F.col("r").cast("binary")).alias("v"))
 

@@ -31,6 +31,14 @@ def tags(props) -> F.Column:
     return F.transform_keys(F.coalesce(m, F.create_map().cast("map<string,string>")), lambda k, v: F.lower(k))
 
 
+def probed(text) -> F.Column:
+    """(tags, duration) of a media probe's JSON: format.tags with keys in lower case and format.duration, 0 if it is missing or no number; text that
+    is no JSON has no tags and lasts 0."""
+    g = F.from_json(text, "format struct<tags: map<string,string>, duration: string>")["format"]
+    t = F.transform_keys(F.coalesce(g["tags"], F.create_map().cast("map<string,string>")), lambda k, v: F.lower(k))
+    return F.struct(t.alias("tags"), F.coalesce(g["duration"].try_cast("double"), F.lit(0.0)).alias("duration"))
+
+
 def read_wav(spark: SparkSession, path: str, seconds: float = 1.0) -> DataFrame:
     """(path, chunk, rate, left, right): 16-bit PCM wav files in chunks of ``seconds``; mono files give two equal sides.
 

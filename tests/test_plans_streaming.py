@@ -35,7 +35,58 @@ def test_known_texts_are_not_asked_for(spark):
 
 
 def test_settings():
+    import argparse
+    from dataclasses import fields
+
+    from strophe.config import arguments
+
     assert Settings.of({"max_lines": 6, "lead_in": None, "unknown": 1}) == Settings(max_lines=6)
+    assert len(fields(Settings)) == 59
+    p = argparse.ArgumentParser()
+    arguments(p)
+    assert Settings.of(vars(p.parse_args(["--max-lines", "5", "--loop-start", "1.5", "--video"]))) == Settings(max_lines=5, loop_start=1.5, video=True)
+
+
+def test_retries():
+    import pytest
+
+    waits, left = [], [None, 429, 503]
+
+    def busy():
+        if left:
+            raise providers.Unavailable(left.pop(0))
+        return "ok"
+
+    assert providers.retrying(busy, sleep=waits.append)() == "ok" and waits == [2.0, 4.0, 6.0]
+    left[:] = [500] * 9
+    with pytest.raises(providers.Unavailable):
+        providers.retrying(busy, sleep=waits.append)()
+    assert len(left) == 5
+    left[:] = [404]
+    with pytest.raises(providers.Unavailable):
+        providers.retrying(busy, sleep=waits.append)()
+    tries = []
+    with pytest.raises(ValueError):
+        providers.complete(lambda t, g: tries.append(1) or ["x", " "])(["a", "b"], "fr")
+    assert len(tries) == 3
+
+
+def test_structure():
+    answers = [[("a", [0, 2])], [("b", [1]), ("a", [0])], [("c", [])]]
+    assert providers.structure(2, lambda: answers.pop(0)) == [("a", [0]), ("b", [1])]
+    assert providers.structure(2, lambda: [("a", [0])]) is None
+
+
+def test_speech_and_lookups_ask_once(spark):
+    t = spark.createDataFrame([("one",), ("one",), ("two",), (None,)], "text string")
+    none = spark.createDataFrame([], "key string, audio binary")
+    first = providers.speak(t, none, "m", "v", lambda x: x.encode()).collect()
+    assert sorted((bytes(r.audio), r.characters, r.asked) for r in first) == [(b"one", 3, True), (b"two", 3, True)]
+    again = providers.speak(t, spark.createDataFrame([(r.key, r.audio) for r in first], "key string, audio binary"), "m", "v", lambda x: 1 / 0)
+    assert {r.asked for r in again.collect()} == {False}
+    songs = spark.createDataFrame([("a", None), ("a", None), ("b", "x"), ("", "x"), (None, "y")], "title string, artist string")
+    known = spark.createDataFrame([("b", "x", "known")], "title string, artist string, answer string")
+    assert sorted((r.title, r.answer) for r in providers.look_up(songs, known, lambda t, a: f"{t}/{a}").collect()) == [("a", "a/None"), ("b", "known")]
 
 
 def test_stream_equals_batch_but_for_open_sessions(spark, tmp_path, data):
