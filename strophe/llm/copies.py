@@ -2,7 +2,8 @@
 
 Every field is reduced to its letters and digits in lower case. Header lines form a multiset whose hash is the
 sum of the hashes of its members, so their order doesn't matter and nothing is sorted; it is combined with the
-hashes of the other fields into a fingerprint. Rows meet by fingerprint; then the fields themselves are compared.
+hashes of the other fields into a fingerprint. Rows meet by fingerprint alone; then the fields of every copy are compared with those
+of the record that is kept, header lines by how often each occurs. Records without copies are not looked at again.
 """
 
 from __future__ import annotations
@@ -43,30 +44,41 @@ def _rows(f: DataFrame, key: str) -> DataFrame:
     return f.filter("plain != '' or rest != '' or size(head) > 0").withColumns({"h1": h(1), "h2": h(2)})
 
 
-def _groups(r: DataFrame, key: str) -> DataFrame:
-    """(h1, h2, plain, rest, head, keep_id): the records that agree in every field, whatever their fingerprint."""
-    # a header has a handful of lines; their order inside one row is the only thing ever put in order
-    return r.withColumn("head", F.array_sort("head")).groupBy("h1", "h2", "plain", "rest", "head").agg(F.min(key).alias("keep_id"))
+#: Header lines up to which each is counted in both records; longer headers are compared as sorted arrays.
+HEADERS = 64
+
+
+def same_lines(a, b):
+    """Whether two arrays hold the same lines equally often."""
+    often = lambda x, y: F.size(F.filter(x, lambda z: z == y))
+    few = F.forall(a, lambda y: often(a, y) == often(b, y))
+    return (F.size(a) == F.size(b)) & F.when(F.size(a) <= HEADERS, few).otherwise(F.array_sort(a) == F.array_sort(b))
 
 
 def classes(df: DataFrame, key: str = "lrclib_id", plain: str = "plainlyrics", synced: str = "syncedlyrics") -> DataFrame:
     """(keep_id, id): every record that isn't empty throughout with the smallest id of its group, its own included.
 
-    Null equals empty; repeated rows count once. Rows meet by fingerprint of 128 bits and their fields are compared;
+    Null equals empty; repeated rows count once. Rows meet by fingerprint of 128 bits, and the fields of copies are compared with the kept record's;
     should different records ever share a fingerprint, those are matched by their fields instead.
     """
     from ..session import cut
 
-    r = _rows(fields(df, key, plain, synced), key)
-    met = cut(_groups(r, key).groupBy("h1", "h2").agg(F.min("keep_id").alias("keep_id"), F.count(F.lit(1)).alias("kinds")))
-    ids = r.select(F.col(key).alias("id"), "h1", "h2").distinct()
-    out = ids.join(met.filter("kinds = 1"), ["h1", "h2"]).select("keep_id", "id")
-    if not met.filter("kinds > 1").isEmpty():
-        again = r.join(met.filter("kinds > 1").select("h1", "h2"), ["h1", "h2"], "left_semi")
-        by = ["h1", "h2", "plain", "rest", "head"]
-        more = again.withColumn("head", F.array_sort("head")).join(_groups(again, key), by)
-        out = out.unionByName(more.select("keep_id", F.col(key).alias("id")).distinct())
-    return out
+    r = cut(_rows(fields(df, key, plain, synced), key).select(F.col(key).alias("id"), "h1", "h2").distinct())
+    g = r.groupBy("h1", "h2").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = cut(r.join(g, ["h1", "h2"]).select("keep_id", "id", "h1", "h2"))
+    own = df.select(F.col(key).cast("bigint").alias(key), plain, synced).join(met.select(F.col("id").alias(key)), key, "left_semi").dropDuplicates([key])
+    f = fields(own, key, plain, synced)
+    of = lambda i, x: f.select(F.col(key).alias(i), F.struct("plain", "rest", "head").alias(x))
+    both = met.filter("id != keep_id").join(of("id", "a"), "id").join(of("keep_id", "b"), "keep_id")
+    same = (F.col("a.plain") == F.col("b.plain")) & (F.col("a.rest") == F.col("b.rest")) & same_lines(F.col("a.head"), F.col("b.head"))
+    wrong = cut(both.filter(~same).select("h1", "h2").distinct())
+    alone = r.join(g.select("h1", "h2"), ["h1", "h2"], "left_anti").select(F.col("id").alias("keep_id"), "id")
+    if wrong.isEmpty():
+        return alone.unionByName(met.select("keep_id", "id"))
+    again = f.join(met.join(wrong, ["h1", "h2"], "left_semi").select(F.col("id").alias(key)), key, "left_semi").withColumn("head", F.array_sort("head"))
+    by = ["plain", "rest", "head"]
+    more = again.join(again.groupBy(*by).agg(F.min(key).alias("keep_id")), by).select("keep_id", F.col(key).alias("id")).distinct()
+    return alone.unionByName(met.join(wrong, ["h1", "h2"], "left_anti").select("keep_id", "id")).unionByName(more)
 
 
 def found(df: DataFrame, **names: str) -> DataFrame:

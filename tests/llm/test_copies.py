@@ -37,3 +37,9 @@ def test_colliding_fingerprints_are_told_apart(spark, monkeypatch):
     monkeypatch.setattr(copies, "_rows", lambda f, key: real(f, key).withColumns({"h1": F.lit(1), "h2": F.lit(2)}))
     pairs, n = run(spark, [(1, "a", None), (2, "b", None), (3, "A", None), (4, "B!", None), (5, "c", None)])
     assert pairs == [(1, 3), (2, 4)] and n == {1: 2, 2: 2, 5: 1}
+
+
+def test_long_headers_and_their_multiplicities(spark):
+    many = [f"[k:{'abcdefghij'[i % 10]}{'abcdefghij'[i // 10]}]" for i in range(90)]
+    pairs, n = run(spark, [(1, "t", "\n".join(many)), (2, "t", "\n".join(many[::-1])), (3, "t", "\n".join(many + many[:1])), (4, "t", "\n".join([*many[1:], many[1]]))])
+    assert pairs == [(1, 2)] and n == {1: 2, 3: 1, 4: 1}
