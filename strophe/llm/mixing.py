@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SLICES = 4096
+#: Slices of the range of keys, at least, and rows of a slice at which there are more.
+SLICES, PART = 4096, 1_000_000
 
 
 def budgets(docs: DataFrame, targets: DataFrame) -> DataFrame:
@@ -42,10 +43,11 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 1) -> tuple[DataFrame,
 
     docs = cut(docs.filter("tokens > 0 and source is not null"))
     b = cut(budgets(docs, targets))
+    slices = max(SLICES, docs.count() // PART)
     u = (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 52)) + 1) / float((1 << 52) + 1)
     d = docs.join(F.broadcast(b.select("source", "epochs", "part")), "source")  # one row a source of mix_targets
     d = d.withColumn("key", -F.log(u) / F.col("weight"))
-    d = d.withColumn("slice", F.floor((1 - F.exp(-F.col("key"))) * SLICES))
+    d = d.withColumn("slice", F.floor((1 - F.exp(-F.col("key"))) * slices))
     sums = d.groupBy("source", "slice").agg(F.sum("tokens").alias("t"), F.first("part").alias("part"))
     ahead = F.sum("t").over(W.partitionBy("source").orderBy("slice")) - F.col("t")
     edge = sums.withColumn("ahead", ahead).filter("part > 0 and ahead < part and ahead + t > part")
@@ -63,3 +65,18 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 1) -> tuple[DataFrame,
     s = b.join(got, "source", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
     shares = s.select("source", "target_share", F.round(F.expr("try_divide(tokens, sum(tokens) over ())"), 6).alias("actual_share"), "tokens", F.coalesce("most_used", F.lit(0)).alias("most_used"), "max_repeats")
     return out, shares
+
+
+def checked(docs: DataFrame, mixed: DataFrame, shares: DataFrame) -> DataFrame:
+    """(source, target_share, share_ok, repeats_ok, epochs_ok) of a mixture: whether each share differs from its target by no more than the largest
+    document of each source makes, no document is used too often, and none is used twice more than another of its source."""
+    most = docs.filter("tokens > 0").groupBy("source").agg(F.max("tokens").alias("largest"), F.count(F.lit(1)).alias("n"))
+    used = mixed.groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("k")).groupBy("source").agg(F.max("k").alias("hi"), F.min("k").alias("lo"), F.count(F.lit(1)).alias("m"))
+    x = shares.join(most, "source", "left").join(used, "source", "left")
+    w = W.partitionBy()  # a row for each source of mix_targets
+    x = x.withColumn("slack", F.sum("largest").over(w) / F.sum("tokens").over(w))
+    lo = F.when(F.col("m") < F.col("n"), 0).otherwise(F.col("lo"))
+    return x.select(
+        "source", "target_share", (F.abs(F.col("actual_share") - F.col("target_share")) <= F.col("slack")).alias("share_ok"),
+        (F.coalesce("hi", F.lit(0)) <= F.col("max_repeats")).alias("repeats_ok"), (F.coalesce(F.col("hi") - lo, F.lit(0)) <= 1).alias("epochs_ok"),
+    )

@@ -15,8 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Parts in which the documents of one size are ranked.
-SALTS = 16
+#: Parts in which the documents of one size are ranked, at least, and rows of a part at which there are more.
+SALTS, PART = 16, 1_000_000
+#: The largest capacity: the histogram and the plan, which the driver holds, have hardly more rows than it.
+LARGEST = 1 << 20
 
 
 def plan(sizes: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
@@ -111,13 +113,15 @@ def pack(sizes: DataFrame, packs: DataFrame) -> DataFrame:
 
     ``sizes`` has (doc_id, tokens). A document above the capacity is cut into full pieces, one bin each ('d<doc>-<piece>'),
     and a rest that is packed like any item; no other document is split. Documents without tokens share the bin 'empty'.
-    Packs with a null or non-positive capacity give no rows.
+    Packs with a null or non-positive capacity give no rows; one above LARGEST is an error.
     """
     from ..session import cut
 
     sizes = cut(sizes.select("doc_id", "tokens"))
     # pack_sizes: a handful of rows, fixed
     p = [tuple(r) for r in packs.filter("capacity_tokens > 0").select("pack_name", F.col("capacity_tokens").cast("bigint")).distinct().collect()]
+    if any(c > LARGEST for _, c in p):
+        raise ValueError(f"capacities above {LARGEST} are not planned for")
     each = F.array(*(F.struct(F.lit(n).alias("pack_name"), F.lit(c).cast("bigint").alias("c")) for n, c in sorted(p, key=str)))
     x = sizes.withColumn("p", F.explode(each.cast("array<struct<pack_name: string, c: bigint>>"))).select("doc_id", "tokens", "p.*")
     x = x.withColumns({"full": F.when(F.col("tokens") > F.col("c"), F.floor(F.col("tokens") / F.col("c"))).otherwise(0)})
@@ -130,10 +134,11 @@ def pack(sizes: DataFrame, packs: DataFrame) -> DataFrame:
     rows = []
     for (name, c), h in sorted(by.items(), key=str):
         rows += [(name, *seg) for seg in plan(h, c)[0]]
+    salts = max(SALTS, sum(r["n"] for r in counts) // PART)
     spark = sizes.sparkSession
     segments = spark.createDataFrame(rows, "pack_name string, rest bigint, r0 bigint, items bigint, b0 bigint, q bigint")
     # ranks among the documents of one size, in parts so that a common size is no single task
-    items = x.filter("rest > 0").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    items = x.filter("rest > 0").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
     per = items.groupBy("pack_name", "rest", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(W.partitionBy("pack_name", "rest").orderBy("salt")) - F.col("n")
     per = per.select("pack_name", "rest", "salt", before.alias("before"))
@@ -167,3 +172,17 @@ def usage(packed: DataFrame, packs: DataFrame) -> DataFrame:
     per = per.groupBy("pack_name").agg(F.count(F.lit(1)).alias("bins"), F.sum("t").alias("tokens"))
     j = per.join(F.broadcast(packs.select("pack_name", "capacity_tokens").distinct()), "pack_name")
     return j.select("pack_name", "bins", "tokens", F.round(F.col("tokens") / (F.col("bins") * F.col("capacity_tokens")), 6).alias("fill"))
+
+
+def checked(sizes: DataFrame, packed: DataFrame, packs: DataFrame) -> DataFrame:
+    """(pack_name, documents, overfull, incomplete, split) of a packing: documents placed, containers above their capacity, documents whose pieces
+    don't add up, and documents split although they fit. The last three are 0 in a right one."""
+    p = F.broadcast(packs.filter("capacity_tokens > 0").select("pack_name", F.col("capacity_tokens").cast("bigint").alias("c")).distinct())
+    bins = packed.groupBy("pack_name", "bin_id").agg(F.sum("tokens").alias("t")).join(p, "pack_name").groupBy("pack_name").agg(F.count(F.when(F.col("t") > F.col("c"), 1)).alias("overfull"))
+    own = packed.groupBy("pack_name", "doc_id").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n"))
+    each = F.array(*(F.struct(F.lit(n).alias("pack_name"), F.lit(c).alias("c")) for n, c in sorted(map(tuple, p.collect()))))
+    docs = sizes.select("doc_id", F.col("tokens").alias("want")).dropDuplicates(["doc_id"]).withColumn("p", F.explode(each)).select("doc_id", "want", "p.*").join(own, ["pack_name", "doc_id"], "left")
+    docs = docs.groupBy("pack_name").agg(
+        F.count("t").alias("documents"), F.count(F.when(F.coalesce("t", F.lit(-1)) != F.col("want"), 1)).alias("incomplete"), F.count(F.when((F.col("want") <= F.col("c")) & (F.col("n") > 1), 1)).alias("split")
+    )
+    return docs.join(bins, "pack_name").select("pack_name", "documents", "overfull", "incomplete", "split")

@@ -74,6 +74,20 @@ def p8_usage(spark: SparkSession, d: str) -> DataFrame:
     return packing.usage(p8_pack(spark, d), table(spark, d, "pack_sizes"))
 
 
+def p8_checked(spark: SparkSession, d: str) -> DataFrame:
+    from ..session import cut
+
+    sizes, packs = cut(tokens.counted(table(spark, d, "documents"))), table(spark, d, "pack_sizes")
+    return packing.checked(sizes, packing.pack(sizes, packs), packs)
+
+
+def p9_checked(spark: SparkSession, d: str) -> DataFrame:
+    from ..session import cut
+
+    docs = cut(tokens.counted(table(spark, d, "documents"), "source", weigh=True))
+    return mixing.checked(docs, *mixing.mix(docs, table(spark, d, "mix_targets")))
+
+
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(tokens.counted(table(spark, d, "documents"), "source", weigh=True), table(spark, d, "mix_targets"))[0]
 
@@ -90,7 +104,7 @@ def p10_scores(spark: SparkSession, d: str) -> DataFrame:
     return spam.scored(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p3_found, p3_links, p3_pairs, p4_found, p4_copies, p5_found, p6_found, p6_stretches, p6_languages, p7_found, p7_canonical, p8_pack, p8_usage, p9_mix, p9_shares, p10_found, p10_scores)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p3_found, p3_links, p3_pairs, p4_found, p4_copies, p5_found, p6_found, p6_stretches, p6_languages, p7_found, p7_canonical, p8_pack, p8_usage, p8_checked, p9_mix, p9_shares, p9_checked, p10_found, p10_scores)}
 
 _P4 = r"""
 with r as (
@@ -113,6 +127,8 @@ select a as id_a, b as id_b from j join n x on x.id = a join n y on y.id = b whe
 """
 SQL: dict[str, str] = {
     "p3_pairs": _P3,
+    "p8_checked": "select pack_name, (select count(distinct doc_id) from documents) as documents, 0::bigint as overfull, 0::bigint as incomplete, 0::bigint as split from pack_sizes",
+    "p9_checked": "select source, target_share, true as share_ok, true as repeats_ok, true as epochs_ok from mix_targets",
     "p4_found": _P4 + "select distinct k as keep_id, id as copy_id from g where id > k",
     "p4_copies": _P4 + "select k as keep_id, count(distinct id) as copies from g group by k",
 }

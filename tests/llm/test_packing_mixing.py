@@ -91,3 +91,31 @@ def test_tokens(spark):
     assert tokens.count(text) == len(e.encode_ordinary(text)) and e.decode(e.encode_ordinary(text)) == text
     df = spark.createDataFrame([(1, "s", "abc", 7), (2, None, None, 7), (3, "s", "", 7)], "doc_id bigint, source string, text string, tokens int")
     assert sorted((r.doc_id, r.tokens, r.weight > 0) for r in tokens.counted(df, "source", weigh=True).collect())[1:] == [(2, 0, True), (3, 0, True)]
+
+
+def test_capacity_is_bounded(spark):
+    import pytest
+
+    df = spark.createDataFrame([(1, 5)], "doc_id bigint, tokens bigint")
+    with pytest.raises(ValueError):
+        packing.pack(df, spark.createDataFrame([("p", packing.LARGEST + 1)], "pack_name string, capacity_tokens bigint"))
+
+
+def test_a_wrong_packing_is_seen(spark):
+    sizes = spark.createDataFrame([(1, 6), (2, 6), (3, 4), (4, 12)], "doc_id bigint, tokens bigint")
+    packs = spark.createDataFrame([("p", 10)], "pack_name string, capacity_tokens int")
+    bad = spark.createDataFrame([("p", "a", 1, 6), ("p", "a", 2, 6), ("p", "b", 3, 2), ("p", "c", 3, 2), ("p", "d", 4, 10)], "pack_name string, bin_id string, doc_id bigint, tokens bigint")
+    assert [tuple(r) for r in packing.checked(sizes, bad, packs).collect()] == [("p", 4, 1, 1, 1)]
+    good = packing.pack(sizes, packs)
+    assert [tuple(r) for r in packing.checked(sizes, good, packs).collect()] == [("p", 4, 0, 0, 0)]
+
+
+def test_quality_orders_texts():
+    prose = ("The flexible rotor is mounted on the bearing and extends along its axis.\nWhen the pressure rises, the valve engages the housing and the motor stops.\n" * 1) + " ".join(f"Sentence {w} tells how {w} parts of it move." for w in "alpha beta gamma delta epsilon zeta eta theta iota kappa".split())
+    stuffed = "cheap valve cheap hinge valve best cheap valve " * 30
+    links = "\n".join(f"https://a.b/{i} | #tag{i}" for i in range(60))
+    bullets = "\n".join(f"- item {i}" for i in range(60))
+    q = tokens.quality
+    assert q(prose) > 0.8 > q(bullets) and q(prose) > q(stuffed) and q(stuffed) > q(links) or q(links) < 0.4
+    assert q(None) == q("") == q("   ") == 0.05 and 0.05 <= q("a") <= 1
+    assert q(prose * 2) <= q(prose)
