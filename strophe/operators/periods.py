@@ -38,7 +38,7 @@ def disjoint(k: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, n
 
 
 def _merge(df: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
-    """Several states, one after the other, as one."""
+    """Several states, one after the other, as one. Each is sorted already, and the stable sort merges the sorted runs it meets in linear time."""
     code = pd.factorize(df[keys[0]], use_na_sentinel=False)[0] if len(keys) == 1 else df.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
     k, a, b = disjoint(code, df["__a"].to_numpy(np.int64), df["__b"].to_numpy(np.int64))
     at = np.full(code.max() + 1 if len(code) else 0, -1)

@@ -9,20 +9,26 @@ from ..operators.periods import periods
 from ..session import table
 
 
+#: Milliseconds a time may have at most; what is beyond them is no time.
+FAR = 9.2e18
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    """(plan_id, kind, from_ms, to_ms): what each plan's lines with their pauses cover, and the gaps."""
-    t = table(spark, d, "plan_lines").select("plan_id", "start_s", "end_s", "vgap")
-    nan = lambda c: F.when(~F.isnan(c) & (F.abs(F.col(c)) < 1e12), F.col(c))
-    t = t.withColumns({c: nan(c) for c in ("start_s", "end_s", "vgap")}).filter("end_s >= start_s and plan_id is not null")
-    ms = lambda c: F.round(c * 1000).cast("bigint")
-    t = t.select("plan_id", ms(F.col("start_s")).alias("a"), ms(F.col("end_s") + F.coalesce("vgap", F.lit(0.0))).alias("b"))
+    """(plan_id, kind, from_ms, to_ms): what each plan's lines with their pauses cover, and the gaps.
+
+    A pause that is null or no number is 0; a begin or end that is null, no number or can't be counted in milliseconds is no time."""
+    t = table(spark, d, "plan_lines").filter("plan_id is not null").select("plan_id", "start_s", "end_s", F.coalesce(F.nanvl("vgap", F.lit(0.0)), F.lit(0.0)).alias("gap"))
+    a, b = F.col("start_s") * 1000, (F.col("end_s") + F.col("gap")) * 1000
+    t = t.filter(~F.isnan("start_s") & ~F.isnan("end_s") & (F.col("end_s") >= F.col("start_s")) & (F.abs(a) < FAR) & (F.abs(b) < FAR))
+    t = t.select("plan_id", F.round(a).cast("bigint").alias("a"), F.round(b).cast("bigint").alias("b"))
     return periods(t, ("plan_id",), "a", "b")
 
 
 P2_SQL = """
-with l as (
-  select plan_id, cast(round(start_s * 1000) as bigint) a, cast(round((end_s + coalesce(vgap, 0)) * 1000) as bigint) b
-  from plan_lines where end_s >= start_s and plan_id is not null),
+with t as (
+  select plan_id, start_s * 1000 x, (end_s + case when vgap is null or isnan(vgap) then 0 else vgap end) * 1000 y
+  from plan_lines where end_s >= start_s and plan_id is not null and not isnan(start_s) and not isnan(end_s)),
+l as (select plan_id, cast(round(x) as bigint) a, cast(round(y) as bigint) b from t where abs(x) < 9.2e18 and abs(y) < 9.2e18),
 c as (select distinct plan_id, a, b from l where a < b),
 m as (select plan_id, a, b, max(b) over (partition by plan_id order by a, b rows between unbounded preceding and 1 preceding) pb from c),
 i as (select *, sum(case when pb is null or a > pb then 1 else 0 end) over (partition by plan_id order by a, b rows unbounded preceding) n from m),

@@ -63,7 +63,7 @@ def test_large_numbers_take_the_slow_way():
 
 def test_times_that_are_no_times(spark, tmp_path):
     nan = float("nan")
-    rows = [("p", 1.0, 2.0, 0.5), ("p", 2.4, 2.2, 5.0), ("p", None, 3.0, 0.0), ("p", 4.0, 5.0, None), ("p", 6.0, 6.0, -1.0), ("p", nan, 9.0, 0.0), (None, 1.0, 2.0, 0.0), ("q", 1.0, 1.0, 0.001)]
+    rows = [("p", 1.0, 2.0, 0.5), ("p", 2.4, 2.2, 5.0), ("p", None, 3.0, 0.0), ("p", 4.0, 5.0, None), ("p", 6.0, 6.0, -1.0), ("p", nan, 9.0, 0.0), (None, 1.0, 2.0, 0.0), ("q", 1.0, 1.0, 0.001), ("r", 1.0, 2.0, 2e12), ("r", 1.0, 1e30, 0.0), ("r", 5.0, 6.0, nan)]
     spark.createDataFrame(rows, "plan_id string, start_s double, end_s double, vgap double").write.parquet(f"{tmp_path}/plan_lines.parquet")
     got = {tuple(r) for r in p2_found(spark, str(tmp_path)).collect()}
-    assert got == {("p", "period", 1000, 2500), ("p", "gap", 2500, 4000), ("p", "period", 4000, 5000), ("q", "period", 1000, 1001)}
+    assert got == {("p", "period", 1000, 2500), ("p", "gap", 2500, 4000), ("p", "period", 4000, 5000), ("q", "period", 1000, 1001), ("r", "period", 1000, 2_000_000_000_002_000)}
