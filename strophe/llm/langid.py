@@ -237,7 +237,7 @@ def sample(df, key: str, rows: int, of: int):
     from pyspark.sql import functions as F
 
     h = F.xxhash64(key)
-    share = 4 * rows / max(1, of)
+    share = 1.5 * rows / max(1, of)
     if share < 1:
         df = df.filter(h <= int(-(1 << 63) + share * (1 << 64)))
     return df.orderBy(h, key).limit(rows)
