@@ -69,7 +69,8 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 1) -> tuple[DataFrame,
 
 def checked(docs: DataFrame, mixed: DataFrame, shares: DataFrame) -> DataFrame:
     """(source, target_share, share_ok, repeats_ok, epochs_ok) of a mixture: whether each share differs from its target by no more than the largest
-    document of each source makes, no document is used too often, and none is used twice more than another of its source."""
+    document of each source makes, no document is used too often, and none is used twice more than another of its source.
+    A mixture without tokens has no right share."""
     most = docs.filter("tokens > 0").groupBy("source").agg(F.max("tokens").alias("largest"), F.count(F.lit(1)).alias("n"))
     used = mixed.groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("k")).groupBy("source").agg(F.max("k").alias("hi"), F.min("k").alias("lo"), F.count(F.lit(1)).alias("m"))
     x = shares.join(most, "source", "left").join(used, "source", "left")
@@ -77,6 +78,6 @@ def checked(docs: DataFrame, mixed: DataFrame, shares: DataFrame) -> DataFrame:
     x = x.withColumn("slack", F.sum("largest").over(w) / F.sum("tokens").over(w))
     lo = F.when(F.col("m") < F.col("n"), 0).otherwise(F.col("lo"))
     return x.select(
-        "source", "target_share", (F.abs(F.col("actual_share") - F.col("target_share")) <= F.col("slack")).alias("share_ok"),
+        "source", "target_share", F.coalesce(F.abs(F.col("actual_share") - F.col("target_share")) <= F.col("slack"), F.lit(False)).alias("share_ok"),
         (F.coalesce("hi", F.lit(0)) <= F.col("max_repeats")).alias("repeats_ok"), (F.coalesce(F.col("hi") - lo, F.lit(0)) <= 1).alias("epochs_ok"),
     )
