@@ -235,7 +235,16 @@ def _wrap(text, width):
     return rows
 
 
-@query()
+_LAST = "string_split(a, chr(10))[-1]"
+#: The wrap as a fold over words, w words and {0} characters a row; rows are joined by line breaks.
+_FOLD = (
+    "list_reduce(list_prepend('', case when trim(coalesce(text, '')) = '' then []::varchar[] else string_split_regex(trim(text), '\\s+') end), lambda a, w: "
+    f"case when length(w) > {{0}} then a[1:length(a) - length({_LAST})] || array_to_string(list_transform(range(0, (length({_LAST}) + length(w) + {{0}} - 1) // {{0}}), lambda i: substr({_LAST} || w, cast(i * {{0}} + 1 as bigint), {{0}})), chr(10)) "
+    f"when {_LAST} = '' then a || w when length({_LAST}) + 1 + length(w) > {{0}} then a || chr(10) || w else a || ' ' || w end)"
+)
+
+
+@query(f"with {LINES}, x as (select line_id, string_split({_FOLD.format(24)}, chr(10)) r from l) select line_id, cast(generate_subscripts(r, 1) - 1 as int) as k, unnest(r) as part from x")
 def fn_wrap(s, d):
     """Lines of each text wrapped greedily to 24 characters (character counts stand in for measured widths)."""
     @F.pandas_udf("array<string>")
@@ -245,7 +254,10 @@ def fn_wrap(s, d):
     return lines(s, d, "text").select("line_id", F.posexplode(wrap("text")).alias("k", "part"))
 
 
-@query()
+_ROOM = " ".join(f"when {n} then len(string_split({_FOLD.format(max(1, int(400 / (0.55 * n))))}, chr(10)))" for n in range(40, 19, -2))
+
+
+@query(f"with {LINES}, x as (select line_id, n, case n when 0 then 0 {_ROOM} end r from l, (select unnest(range(20, 41, 2)) n)) select line_id, cast(coalesce(max(case when r * n * 1.3 <= 100 then n end), 20) as int) as size from x group by 1")
 def fn_fit(s, d):
     """The largest size from 40 down to 20 in steps of 2 at which the wrapped text fits a box of 400 x 100."""
     @F.pandas_udf("int")

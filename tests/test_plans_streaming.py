@@ -99,3 +99,34 @@ def test_stream_equals_batch_but_for_open_sessions(spark, tmp_path, data):
     assert got <= want and len(want - got) <= 60
     sessions.run(sessions.sessions(sessions.read(spark, src)), f"{tmp_path}/out", f"{tmp_path}/cp")
     assert spark.read.parquet(f"{tmp_path}/out").count() == len(got)
+
+
+def test_lines_of_a_stream_equal_those_of_the_table(spark, tmp_path, data):
+    import os
+
+    from strophe.queries.base import words
+    from strophe.queries.lines import win_transcript_lines
+    from strophe.streaming import folds
+
+    w = words(spark, data).toPandas().sort_values(["tid", "pos"])
+    src = f"{tmp_path}/words"
+    os.makedirs(src)
+    third = w.groupby("tid").cumcount() * 3 // w.groupby("tid")["pos"].transform("size")
+    for k in range(3):
+        # the words of the first part come again with the second
+        w[(third == k) | ((third == 0) & (k == 1))].to_parquet(f"{src}/{k}.parquet", coerce_timestamps="us")
+        os.utime(f"{src}/{k}.parquet", (1_000_000 + k, 1_000_000 + k))
+    stream = spark.readStream.schema("tid bigint, pos bigint, text string, s double, e double").option("maxFilesPerTrigger", 1).parquet(src)
+    q = folds.transcript_lines(stream).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {(r.tid, r.i): (round(r.start, 6), round(r.end, 6), r.n) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    want = {(r.tid, r.i): (r.start, r.end, r.n) for r in win_transcript_lines(spark, data).collect()}
+    last = {t: max(i for u, i in want if u == t) for t, _ in want}
+    assert got == {k: v for k, v in want.items() if k[1] != last[k[0]]} and len(got) > 100
+
+
+def test_workspace():
+    from strophe.plans import workspace as w
+
+    assert w.home("/r/", "song", "lyrics", "en", "fr") == w.home("/r", "song", "lyrics", "en", "de") == "/r/song"
+    assert w.home("/r", "song", "plan", "en", "fr") == "/r/song/en-fr" and w.home("/r", "song", "lyrics", "en", "fr", "/x/") == "/x"
