@@ -32,17 +32,22 @@ def ahead(df: DataFrame, key: str, f: str, arrays: dict[str, tuple[str, int, int
     return x.withColumns({n: F.collect_list(c).over(w.rowsBetween(a, z)) for n, (c, a, z) in arrays.items()}).filter(F.col("_b") == b).drop("_b")
 
 
+def _once(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it: it is the one element of an array that is transformed."""
+    return F.element_at(F.transform(F.array(value), lambda z: f(z)), 1)
+
+
 def correlation(a: Column, b: Column, n: Column | int, least: float = 1e-6) -> Column:
     """Pearson correlation of two arrays of n values; null where one is shorter or constant."""
     n = F.lit(n) if isinstance(n, int) else n
-
-    def less_mean(x: Column) -> Column:
-        m = F.aggregate(x, F.lit(0.0), lambda t, y: t + y) / n
-        return F.transform(x, lambda y: y - m)
-
-    da, db = less_mean(a), less_mean(b)
-    sa, sb = (F.sqrt(S.dot(x, x) / n) for x in (da, db))
-    return F.when((F.size(a) == n) & (F.size(b) == n) & (sa >= least) & (sb >= least), F.try_divide(S.dot(da, db) / n, sa * sb))
+    mean = lambda x: F.aggregate(x, F.lit(0.0), lambda t, y: t + y) / F.size(x)
+    sides = F.struct(a.alias("a"), b.alias("b"), n.alias("n"))
+    means = lambda z: F.struct(z["a"].alias("a"), z["b"].alias("b"), z["n"].alias("n"), mean(z["a"]).alias("ma"), mean(z["b"]).alias("mb"))
+    centred = lambda z: F.struct(F.transform(z["a"], lambda y: y - z["ma"]).alias("a"), F.transform(z["b"], lambda y: y - z["mb"]).alias("b"), z["n"].alias("n"))
+    products = lambda z: F.struct((S.dot(z["a"], z["b"]) / z["n"]).alias("c"), F.sqrt(S.dot(z["a"], z["a"]) / z["n"]).alias("sa"), F.sqrt(S.dot(z["b"], z["b"]) / z["n"]).alias("sb"))
+    result = lambda z: F.when((z["sa"] >= least) & (z["sb"] >= least), F.try_divide(z["c"], z["sa"] * z["sb"]))
+    whole = lambda z: F.when((F.size(z["a"]) == z["n"]) & (F.size(z["b"]) == z["n"]), _once(means(z), lambda x: _once(centred(x), lambda y: _once(products(y), result))))
+    return _once(sides, whole)
 
 
 def threshold(df: DataFrame, key: str, level: str) -> DataFrame:
@@ -79,7 +84,13 @@ def search(x: DataFrame, key: str, bars: tuple[int, ...], bar: int, beat: int) -
     th = threshold(x, key, "vl").select(key, steps).select(key, "s.k", "s.vf")
     free = x.join(th, key).filter("vl < vf")
     usual = free.groupBy(key, "k").agg(F.median("il").alias("med"))
-    centred = x.select(key, "f", "v").join(S.means(free, [key, "k"], "v"), key).select(key, "k", "f", S.minus(F.col("v"), F.col("mean")).alias("u"))
+    # of a centred frame only its products with others are needed: (v - m)(w - m) = vw - vm - wm + mm, so vectors meet once a lag and not once a threshold
+    v = x.select(key, "f", "v")
+    own = v.join(S.means(free, [key, "k"], "v"), key).select(key, "k", "f", S.dot(F.col("v"), F.col("mean")).alias("vm"), S.dot(F.col("v"), F.col("v")).alias("vv"), S.dot(F.col("mean"), F.col("mean")).alias("mm"))
+    own = own.select(key, "k", "f", "vm", "mm", F.sqrt(F.greatest(F.lit(0.0), F.col("vv") - 2 * F.col("vm") + F.col("mm"))).alias("norm"))
+    lags = sorted({b * bar + d for b in bars for d in range(-SEARCH, SEARCH + 1)})
+    products = v.withColumn("length", F.explode(F.array(*map(F.lit, lags)))).withColumn("_b", F.col("f") + F.col("length")).join(v.select(key, F.col("f").alias("_b"), F.col("v").alias("_w")), [key, "_b"])
+    products = products.select(key, F.col("f").alias("_a"), "length", S.dot(F.col("v"), F.col("_w")).alias("vw"))
 
     y = periods(x, key, bars, bar, beat).join(n, key)
     y = y.filter((F.col("f") >= BEFORE) & (F.col("f") + 2 * F.col("length") + AFTER < F.col("frames")))
@@ -93,10 +104,9 @@ def search(x: DataFrame, key: str, bars: tuple[int, ...], bar: int, beat: int) -
     y = y.withColumn("third", F.coalesce(third, F.lit(False))).drop("vs", "ms", "med", "frames", "span", "strict")
 
     i = y.select(key, "k", "f", "length").distinct().withColumn("i", F.explode(F.sequence(F.lit(0), 2 * F.col("length") - 1)))
-    a = centred.select(key, "k", F.col("f").alias("_a"), F.col("u").alias("_u"))
-    b = centred.select(key, "k", F.col("f").alias("_b"), F.col("u").alias("_w"))
-    c = i.withColumns({"_a": F.col("f") + F.col("i"), "_b": F.col("f") + F.col("length") + F.col("i")}).join(a, [key, "k", "_a"]).join(b, [key, "k", "_b"])
-    cos = S.cosine(F.col("_u"), F.col("_w"))
+    side = lambda n: own.select(key, "k", F.col("f").alias(n), F.col("vm").alias(f"{n}m"), F.col("norm").alias(f"{n}n"), *(["mm"] if n == "_a" else []))
+    c = i.withColumns({"_a": F.col("f") + F.col("i"), "_b": F.col("f") + F.col("length") + F.col("i")}).join(products, [key, "_a", "length"]).join(side("_a"), [key, "k", "_a"]).join(side("_b"), [key, "k", "_b"])
+    cos = (F.col("vw") - F.col("_am") - F.col("_bm") + F.col("mm")) / (F.col("_an") * F.col("_bn") + 1e-9)
     early = F.col("i") < F.col("length")
     c = c.groupBy(key, "k", "f", "length").agg(F.avg(F.when(early, cos)).alias("s1"), F.avg(F.when(~early, cos)).alias("s2"))
     sim = F.when(F.col("length") < 4, -1.0).when(F.col("third"), F.least("s1", "s2")).otherwise(F.col("s1"))

@@ -185,8 +185,8 @@ def song(s, d):
     return vectors(s, d).select("label", "f", "v", v[0].alias("o"), (60 * v[1]).alias("vl"), (30 * v[2]).alias("il"))
 
 
-def loops(s, d):
-    return repeats.search(song(s, d), "label", bars=(1, 2, 4), bar=4, beat=2)
+def loops(s, d, x=None):
+    return repeats.search(song(s, d) if x is None else x, "label", bars=(1, 2, 4), bar=4, beat=2)
 
 
 @query(f"with {_X} select label, bars, cast(rung as int) as rung, f, L as length, pc, sim, cast(row_number() over (partition by label, bars, rung order by score desc, f) as bigint) as rank from lo")
@@ -212,7 +212,7 @@ def candidates(s, d):
     same of the last two rungs, on which singing is allowed."""
     x = song(s, d)
     w = W.partitionBy("label", "bars", F.col("rung") >= 6)
-    c = loops(s, d).withColumn("mr", F.min("rung").over(w)).filter("rung = mr")
+    c = loops(s, d, x).withColumn("mr", F.min("rung").over(w)).filter("rung = mr")
     c = cut(c.withColumn("n", F.row_number().over(w.orderBy(F.desc("score"), "f"))).filter("n <= 40"))
     c = c.join(repeats.seams(x, "label", c), ["label", "f", "length"])
     key = F.round(F.col("sim") - 0.15 * F.greatest(F.lit(0.0), F.col("seam") - 1), 6)
