@@ -116,19 +116,19 @@ PREFIXED = "hnt"
 _INNER = set("’‘ʼ‑–—·‧・.-…")
 
 
-def _twins(w: str, scripts: dict[str, int]) -> bool:
-    """Whether all letters of one script of a word look like letters of its other one."""
+def _twins(w: str, scripts: dict[str, int], latin: bool) -> bool:
+    """Whether all letters of one script of a word look like letters of its other one; ``latin`` says that it may be the Latin script."""
     if not set(scripts) <= {"LATIN", "CYRILLIC", "GREEK"}:
         return False
-    return any(all(c in LOOKALIKE for c in w if _kind(c) == "L" and _script(c) == s) for s in scripts)
+    return any(all(c in LOOKALIKE for c in w if _kind(c) == "L" and _script(c) == s) for s in scripts if latin or s != "LATIN")
 
 
 @lru_cache(maxsize=200_000)
-def word_cost(w: str, given: bool = False) -> float:
+def word_cost(w: str, given: int = 0) -> float:
     """How implausible the characters of a word are, given their neighbours.
 
     ``given`` says that the word is the given text rather than the result of a step: only there may letters of two scripts
-    be look-alikes, which are nobody's wrong decoding.
+    be look-alikes, which are nobody's wrong decoding; of any of its scripts (1) or of another than Latin only (2).
     """
     out = mix = 0.0
     letters = dense = 0
@@ -160,7 +160,7 @@ def word_cost(w: str, given: bool = False) -> float:
             if p.isalpha() and n.isalpha() and c not in _INNER:
                 out += 1.7
             elif c in "¿¡" and (p.isalpha() or not (n.isalpha() or n in "¿¡*'\"“‘«(_")):
-                out += 1.0
+                out += 1.5 if p.isalpha() else 1.0
             elif c in "‚„" and p.isalpha():
                 out += 1.0
             elif c == "·" and (p.isalpha() != n.isalpha()):
@@ -181,7 +181,7 @@ def word_cost(w: str, given: bool = False) -> float:
                 out += 2.0  # how UTF-8 shows a letter whose second byte is a blank or a hyphen
         elif kind == "M" and not p.isalpha() and _kind(p) != "M" and not (p in "*#" or p.isdigit() or _kind(p) in "ESP" or c >= "︀"):
             out += 0.5
-    if mix and not (given and _twins(w, scripts)):
+    if mix and not (given and _twins(w, scripts, given == 1)):
         out += mix
     if dense >= 3 and dense >= 0.8 * letters:
         out += 0.4 * dense if dense > 3 else 0.25
@@ -238,7 +238,8 @@ def cost(words: tuple[str, ...], plain: int = 0, given: bool = False) -> float:
     n = _shown(words)
     out += n
     for w in words:
-        out += word_cost(w, given and not n)
+        # one sequence may be chance, and look-alikes still are; more of them are not
+        out += word_cost(w, (1, 2, 0)[min(n, 2)] if given else 0)
         f = next((c for c in w if c.isalpha()), "a")
         if f >= "Ͱ":
             other += 1
@@ -372,7 +373,7 @@ def _line(words: tuple[str, ...], plain: int) -> tuple[bool, tuple[str, ...], bo
     need = GAIN
     if path and path[0] in _CYRILLIC_STEPS:
         # letters that are merely rare are no proof: some word must be misshapen as well
-        need = 2 * GAIN if any(word_cost(w, True) for w in words) or inverted(words) else 1e9
+        need = 2 * GAIN if any(word_cost(w, 1) for w in words) or inverted(words) else 1e9
     if path and start - c >= need and c <= 0.6 * start:
         return True, path, not lost, tuple(ties)
     return lost, (), False, ()

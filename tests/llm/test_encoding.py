@@ -14,6 +14,7 @@ CLEAN = [
     "Die Straße über dem Hügel wärmt schöne Mädchen",
     "Não posso te dar o pão, coração",
     "20 °C and © 2020 ♪ — “quoted” … 👩‍🎤 ❤️",
+    "break the key in \u0422\u0456rzam",
     "pοche with a Greek letter, Ｆull width, t\xadhis",
 ]
 CASES = [
@@ -119,3 +120,7 @@ def test_letters_foreign_to_the_mended_lines():
     text = "Quizás no puedo más\nEl último tren está, corazón\nmil pájaros"
     bad = text.encode("cp1252").decode("cp850")
     assert E.restore(bad)[0] == text
+
+
+def test_one_shown_letter_in_a_word_of_two_scripts():
+    assert E.restore("TГє escondes tu nombre") == ("Tú escondes tu nombre", True)
