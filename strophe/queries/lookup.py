@@ -52,10 +52,10 @@ _DEF = "df as (select * from (values " + ", ".join(f"({a}, '{b}', '{c}')" for a,
 
 @query(f"""with {_V}, {_ASK}, {_DEF}, o as (select lang, cast(s_suppkey as varchar) voice, 0 rung, '' a, false b, '' n from q join v on spec = cast(s_suppkey as varchar)
 union all select lang, cast(s_suppkey as varchar), 1, '', false, lpad(cast(s_suppkey as varchar), 12, '0') from q join v on contains(lower(name), lower(spec))
-union all select lang, spec, 2, '', false, '' from q where regexp_full_match(spec, '[\p{{L}}\p{{N}}]{{18,}}') union all select lang, dv, 3, '', false, '' from q join df on dl = lang and dg = g where spec is null
+union all select lang, spec, 2, '', false, '' from q where regexp_full_match(spec, '[\\p{{L}}\\p{{N}}]{{18,}}') union all select lang, dv, 3, '', false, '' from q join df on dl = lang and dg = g where spec is null
 union all select lang, cast(s_suppkey as varchar), 4, case when gender = g then '0' else '1' end, lang <> native, name || lpad(cast(s_suppkey as varchar), 12, '0') from q join v on list_contains(speaks, lang) where spec is null
 union all select lang, dv, 5, '', false, '' from q join df on dl = 0 and dg = g where spec is null),
-r as (select *, row_number() over (partition by lang order by rung, a, b, n) k from o) select q.lang, r.voice, coalesce(['number', 'name', 'id', 'default', 'library', 'fallback'][r.rung + 1], 'unknown') as found from q left join r on r.lang = q.lang and k = 1""".replace("{{L}}", "{L}"))
+r as (select *, row_number() over (partition by lang order by rung, a, b, n) k from o) select q.lang, r.voice, coalesce(['number', 'name', 'id', 'default', 'library', 'fallback'][r.rung + 1], 'unknown') as found from q left join r on r.lang = q.lang and k = 1""")
 def resolve_voice(s, d):
     """The voice of each language: what is asked for by its number, else the first whose name holds it in any case, else as it is if it looks like
     an id (18 letters and digits or more), else unknown (no voice); where nothing is asked for, the default of language and gender, else
