@@ -42,20 +42,33 @@ def overlap(left: DataFrame, right: DataFrame, key: str, cols: list[str] = ()) -
     columns ``cols`` of the right.
 
     Both sides are cut at the borders of buckets of time and meet by (key, bucket), so that a key with many rows is no product; a pair counts in the
-    first bucket it shares. A key's buckets are as wide as its rows lie apart on average, so there are hardly more pieces than rows.
-    Rows whose b isn't above a overlap nothing.
+    first bucket it shares. A key's buckets are as wide as its rows on the left lie apart on average, and of the right only what lies between the
+    first and the last of them is cut, so there are hardly more pieces than rows. Rows whose b isn't above a overlap nothing.
     """
-    n = left.filter("a < b").groupBy(F.col(key).alias("_k")).agg(F.greatest(F.lit(1), F.ceil((F.max("b") - F.min("a")) / F.count(F.lit(1)))).cast("bigint").alias("_w"))
+    lo, hi = F.min("a"), F.max("b")
+    n = left.filter("a < b").groupBy(F.col(key).alias("_k")).agg(F.greatest(F.lit(1), F.ceil((hi - lo) / F.count(F.lit(1)))).cast("bigint").alias("_w"), lo.alias("_lo"), hi.alias("_hi"))
     at = lambda c: F.floor(F.col(c) / F.col("_w"))
     pieces = lambda a, b: F.explode(F.sequence(at(a), F.floor((F.col(b) - 1) / F.col("_w"))))
-    lo = left.filter("a < b").join(n, F.col(key) == F.col("_k")).drop("_k").withColumn("_at", pieces("a", "b"))
-    ro = right.filter("a < b").select(F.col(key).alias("_r"), F.col("a").alias("_a"), F.col("b").alias("_b"), *cols).join(n, F.col("_r") == F.col("_k")).drop("_k")
+    le = left.filter("a < b").join(n.drop("_lo", "_hi"), F.col(key) == F.col("_k")).drop("_k").withColumn("_at", pieces("a", "b"))
+    ro = right.filter("a < b").select(F.col(key).alias("_r"), "a", "b", *cols).join(n, F.col("_r") == F.col("_k"))
+    ro = ro.select("_r", F.greatest("a", "_lo").alias("_a"), F.least("b", "_hi").alias("_b"), "_w", *cols).filter("_a < _b")
     ro = ro.select("_r", "_a", "_b", *cols, pieces("_a", "_b").alias("_s"))
-    j = lo.join(ro, (F.col(key) == F.col("_r")) & (F.col("_at") == F.col("_s")) & (F.col("_a") < F.col("b")) & (F.col("_b") > F.col("a")))
+    j = le.join(ro, (F.col(key) == F.col("_r")) & (F.col("_at") == F.col("_s")) & (F.col("_a") < F.col("b")) & (F.col("_b") > F.col("a")))
     j = j.filter(F.col("_at") == F.greatest(at("a"), at("_a")))
     return j.select(*left.columns, *cols, F.greatest("_a", "a").alias("ra"), F.least("_b", "b").alias("rb"))
 
 
+def first_begun(df: DataFrame, keys: list[str], last: str) -> DataFrame:
+    """Rows of (keys, a, b, ...) with the time ``since`` from which each is the first begun of all that are open, up to its b; others are
+    left out. Of those begun at once the one with the least ``last`` comes first.
+
+    A row is first when all begun before it have ended, so these stretches never overlap: an as-of lookup finds the one at a moment, and
+    no pairs are made. Rows whose b isn't above a are never open.
+    """
+    w = W.partitionBy(*keys).orderBy("a", F.col(last).asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)
+    return df.filter("a < b").withColumn("since", F.greatest("a", F.max("b").over(w))).filter("since < b")
+
+
 def tile(cuts: DataFrame, key: str, t: str, thin: float = 0.04) -> DataFrame:
     """(key, t0, t1): successive cut points as intervals. A point within ``thin`` of the point before it is left out;
     the comparison is with the list as it was, so a chain of close points loses all but the first."""

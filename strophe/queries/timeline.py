@@ -57,13 +57,19 @@ select v.event_id, coalesce(case j.pr when 0 then 'text' when 1 then 'song' when
 def join_interval_state(s, d):
     """What a user sees at each view: a text, else a song, else a lesson whose interval holds it, else the title; of several the first begun.
 
-    Views and intervals meet by user and bucket of time, as :func:`intervals.overlap` cuts them, so a user with many events is no product."""
-    iv = events(s, d).filter("event_type in ('signup', 'purchase', 'click')")
+    Of each kind only the stretches in which an interval is the first begun are looked up, in one pass over a user's events in order of time."""
+    iv = events(s, d).filter("event_type in ('signup', 'purchase', 'click') and user_id is not null")
     pr = F.when(F.col("event_type") == "signup", 0).when(F.col("event_type") == "purchase", 1).otherwise(2)
-    iv = iv.select("user_id", F.col("us").alias("a"), (F.col("us") + F.round(F.col("value") * 60000000).cast("bigint") + F.when(pr == 0, 600000).otherwise(0)).alias("b"), F.struct(pr.alias("pr"), F.col("us").alias("a"), F.col("event_id").alias("match_id")).alias("x"))
+    end = F.col("us") + F.round(F.col("value") * 60000000).cast("bigint") + F.when(pr == 0, 600000).otherwise(0)
+    iv = intervals.first_begun(iv.select("user_id", pr.alias("pr"), F.col("us").alias("a"), end.alias("b"), F.col("event_id").alias("match_id")), ["user_id", "pr"], "match_id")
     v = events(s, d, "view").select("user_id", "us", "event_id")
-    j = intervals.overlap(v.select("user_id", F.col("us").alias("a"), (F.col("us") + 1).alias("b"), "event_id"), iv, "user_id", ["x"])
-    best = j.groupBy("event_id").agg(F.min("x").alias("m"))
+    own = v.filter("user_id is not null and us is not null and event_id is not null").withColumn("_side", F.lit(1))
+    # a view comes after what begins at the same time
+    u = own.unionByName(iv.select("user_id", F.col("since").alias("us"), F.lit(0).alias("_side"), "pr", F.struct("b", "a", "match_id").alias("i")), allowMissingColumns=True)
+    w = W.partitionBy("user_id").orderBy("us", "_side").rowsBetween(W.unboundedPreceding, 0)
+    u = u.withColumns({f"i{k}": F.last(F.when(F.col("pr") == k, F.col("i")), True).over(w) for k in range(3)}).filter("_side = 1")
+    seen = lambda k: F.when(F.col(f"i{k}.b") > F.col("us"), F.struct(F.lit(k).alias("pr"), F.col(f"i{k}.a"), F.col(f"i{k}.match_id").isNull().alias("none"), F.col(f"i{k}.match_id")))
+    best = u.groupBy("event_id").agg(F.min(F.coalesce(*map(seen, range(3)))).alias("m"))
     state = F.coalesce(F.when(F.col("m.pr") == 0, "text").when(F.col("m.pr") == 1, "song").when(F.col("m.pr") == 2, "lesson"), F.lit("title"))
     return v.join(best, "event_id", "left").select("event_id", state.alias("state"), F.coalesce("m.match_id", F.lit(-1)).alias("match_id"))
 

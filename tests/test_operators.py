@@ -143,6 +143,32 @@ def test_overlap_equals_brute_force(spark):
     assert intervals.overlap(L.limit(0), R, "k").count() == 0
 
 
+def test_overlap_cuts_no_interval_beyond_the_rows_it_may_meet(spark):
+    """One short row has buckets of its own width; a long interval is no more pieces for that."""
+    L = spark.createDataFrame([("a", 10**9, 10**9 + 1, 0)], "k string, a bigint, b bigint, id int")
+    R = spark.createDataFrame([("a", 0, 10**12), ("a", -5, 10**9), ("a", 10**9 + 1, 10**12)], "k string, a bigint, b bigint")
+    assert [(x.id, x.ra, x.rb) for x in intervals.overlap(L, R, "k").collect()] == [(0, 10**9, 10**9 + 1)]
+
+
+def test_state_at_views_equals_sql(spark, tmp_path):
+    """A user with a single view and long intervals, many at once that begin together, redelivered views, and nulls."""
+    from datetime import datetime, timedelta
+
+    from strophe.queries import timeline
+
+    from .oracle import connect, rows
+
+    r = random.Random(3)
+    at = lambda m: datetime(2024, 1, 1) + timedelta(minutes=m)
+    kinds = ["view", "view", "signup", "purchase", "click", "error"]
+    ev = [(1, at(50), 1, "view", 0.0), (2, at(0), 1, "click", 1e6), (3, at(1), 1, "purchase", 200.5), (4, at(51), 1, "signup", 3e5)]
+    ev += [(r.choice([None, *range(5, 700)]), r.choice([None, *map(at, range(300))]), r.choice([None, 2, 3, 4]), r.choice(kinds), r.choice([None, -3.0, 0.0, 1.0, 7.5, 90.0])) for _ in range(900)]
+    spark.createDataFrame(ev, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double").toPandas().to_parquet(tmp_path / "events.parquet", coerce_timestamps="us")
+    got = timeline.join_interval_state(spark, str(tmp_path)).toPandas()
+    want = connect(str(tmp_path)).execute(timeline.SQL["join_interval_state"]).df()
+    assert rows(got) == rows(want) and len(set(got.state)) == 4
+
+
 def test_wav(spark, tmp_path):
     import struct
     import wave
