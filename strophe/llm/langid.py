@@ -10,7 +10,9 @@ words, with a price for each change of language, cuts the text.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
+from functools import cache
 
 import numpy as np
 import regex
@@ -29,6 +31,30 @@ SHARP = 12.0
 NAME = 7.4
 
 WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:['’‘ʼ][\p{L}\p{M}]+)*")
+_PLAIN = re.compile("[A-Za-z0-9]+(?:'[A-Za-z]+)*")
+_FAR = re.compile("[\U00010000-\U0010ffff]")
+
+
+@cache
+def _near() -> re.Pattern:
+    """WORD for the characters below 65,536, in the faster module."""
+
+    def ranges(p: str) -> str:
+        ok = [i for i in range(0x10000) if not 0xD800 <= i < 0xE000 and regex.match(p, chr(i))]
+        first = [i for i, x in zip(ok, [-2, *ok]) if x != i - 1]
+        last = [i for i, x in zip(ok, [*ok[1:], -2]) if x != i + 1]
+        return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in zip(first, last))
+
+    return re.compile(rf"[{ranges(r'[\p{L}\p{M}\p{N}]')}]+(?:['’‘ʼ][{ranges(r'[\p{L}\p{M}]')}]+)*")
+
+
+def split(text: str) -> list[str]:
+    """The words of a text, as WORD finds them."""
+    if text.isascii():
+        return _PLAIN.findall(text)
+    return WORD.findall(text) if _FAR.search(text) else _near().findall(text)
+
+
 # Sounds without meaning.
 SOUNDS = frozenset("la na oh ooh oooh ah aah hey mmm mm hmm doo dum da dee uh yeah ya whoa woah wo eh ay hoo sha".split())
 
@@ -39,6 +65,26 @@ def grams(word: str) -> set[str]:
     return {w[i : i + n] for n in range(1, N + 1) for i in range(len(w) - n + 1)} - {" "}
 
 
+class Places(dict):
+    """The log places of words at the beginning of a text, or inside it; none for numbers and names."""
+
+    def __init__(self, profiles: "Profiles", inside: bool):
+        super().__init__()
+        self.profiles, self.inside = profiles, inside
+
+    def __missing__(self, raw: str) -> tuple[float, ...] | None:
+        if len(self) > 200_000:
+            self.clear()
+        w = raw.lower().replace("’", "'")
+        if w[0].isdigit():
+            self[raw] = None
+            return None
+        v, best = self.profiles.word(w)
+        name = best > NAME or self.inside and best > NAME - 2.5 and raw[0].isupper()
+        self[raw] = out = tuple(v.tolist()) if w in self.profiles.words or not name else None
+        return out
+
+
 class Profiles:
     """Rank-order profiles of some languages, and the caches to use them fast."""
 
@@ -46,15 +92,13 @@ class Profiles:
         self.langs = sorted(ranks)
         self.ranks = ranks
         self.words = words
-        m: dict[str, np.ndarray] = {}
-        miss = math.log2(TOP + 1)
+        m = dict.fromkeys(g for lang in self.langs for g in ranks[lang])
+        self._at = {g: i for i, g in enumerate(m)}
+        # the last row is that of n-grams no profile has
+        self._logs = np.full((len(m) + 1, len(self.langs)), math.log2(TOP + 1))
         for k, lang in enumerate(self.langs):
             for g, r in ranks[lang].items():
-                if g not in m:
-                    m[g] = np.full(len(self.langs), miss)
-                m[g][k] = math.log2(r + 1)
-        self._rows, self._miss = m, np.full(len(self.langs), miss)
-        self._at = {g: i for i, g in enumerate(m)}
+                self._logs[self._at[g], k] = math.log2(r + 1)
         self._places = np.full((len(m), len(self.langs)), TOP, np.float64)
         for k, lang in enumerate(self.langs):
             for g, r in ranks[lang].items():
@@ -62,11 +106,11 @@ class Profiles:
         self._ids: dict[str, np.ndarray] = {}
         self._zero = np.zeros(len(self.langs))
         self._cache: dict[str, tuple[np.ndarray, float]] = {}
-        self._plain: dict[str, tuple[list[float], float, bool]] = {}
+        self._first, self._inside = Places(self, False), Places(self, True)
 
     @classmethod
-    def fit(cls, rows) -> "Profiles":
-        """From (text, language) rows. Texts without words and null languages are skipped."""
+    def fit(cls, rows, least: float = 3) -> "Profiles":
+        """From (text, language) rows; words in ``least`` rows are known. Texts without words and null languages are skipped."""
         count: dict[str, Counter] = {}
         seen: Counter = Counter()
         for text, lang in rows:
@@ -82,7 +126,7 @@ class Profiles:
                     c[g] += n
             top = sorted(c.items(), key=lambda x: (-x[1], x[0]))[:TOP]
             ranks[lang] = {g: i + 1 for i, (g, _) in enumerate(top)}
-        return cls(ranks, frozenset(w for w, n in seen.items() if n >= 3))
+        return cls(ranks, frozenset(w for w, n in seen.items() if n >= least))
 
     def word(self, w: str) -> tuple[np.ndarray, float]:
         """(mean log place of the word's n-grams in each profile, the least of them)."""
@@ -90,28 +134,21 @@ class Profiles:
         if hit is None:
             if len(self._cache) > 200_000:
                 self._cache.clear()
-            g = grams(w)
-            v = np.mean([self._rows.get(x, self._miss) for x in g], axis=0)
+            at = [self._at.get(x, -1) for x in grams(w)]
+            v = self._logs[at].sum(0) / len(at)
             hit = self._cache[w] = (v, float(v.min()))
         return hit
 
     def totals(self, found: list[str]) -> tuple[list[float], int]:
         """(log places of some words summed for each language, how many of them have a language): tokens() for short texts."""
-        rows = []
-        known, cache = self.words, self._plain
-        for i, raw in enumerate(found):
-            w = raw.lower().replace("’", "'")
-            if w[0].isdigit() or w in SOUNDS and any(x.lower() in SOUNDS for x in (*found[max(0, i - 1) : i], *found[i + 1 : i + 2])):
-                continue
-            hit = cache.get(w)
-            if hit is None:
-                if len(cache) > 200_000:
-                    cache.clear()
-                v, best = self.word(w)
-                hit = cache[w] = (v.tolist(), best, w in known)
-            v, best, sure = hit
-            if sure or not (best > NAME or i and best > NAME - 2.5 and raw[0].isupper()):
-                rows.append(v)
+        if not found:
+            return [0.0] * len(self.langs), 0
+        if not SOUNDS.isdisjoint(map(str.lower, found)):
+            low = [w.lower().replace("’", "'") for w in found]
+            silent = [w in SOUNDS and any(x.lower() in SOUNDS for x in (*found[max(0, i - 1) : i], *found[i + 1 : i + 2])) for i, w in enumerate(low)]
+            rows = [v for i, w in enumerate(found) if not silent[i] and (v := (self._inside if i else self._first)[w])]
+        else:
+            rows = [v for v in (self._first[found[0]], *map(self._inside.__getitem__, found[1:])) if v]
         return (list(map(sum, zip(*rows))) if rows else [0.0] * len(self.langs)), len(rows)
 
     def tokens(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -243,6 +280,47 @@ def sample(df, key: str, rows: int, of: int):
     return df.orderBy(h, key).limit(rows)
 
 
+#: Entries a task counts before it hands them on.
+HELD = 400_000
+
+
+def summed(batches, add, columns: list[str]):
+    """Counts of a whole task: ``add(batch, counts)`` adds up rows [count, ...] by their (language, string); they come out as frames."""
+    import pandas as pd
+
+    counts: dict[tuple[str, str], list[int]] = {}
+    for b in batches:
+        add(b, counts)
+        if len(counts) > HELD:
+            yield pd.DataFrame([(*k, *v) for k, v in counts.items()], columns=columns)
+            counts.clear()
+    yield pd.DataFrame([(*k, *v) for k, v in counts.items()], columns=columns)
+
+
+def learned(counts, least: float) -> Profiles:
+    """Profiles from all (lang, w, n, d): how often a word occurs in a language, and in how many rows; words in ``least`` rows are known.
+
+    The row of the empty word stands for a language. Only the profiles and the known words come to the driver, and by ``least`` they are bounded."""
+    from pyspark.sql import Window as W
+    from pyspark.sql import functions as F
+
+    def run(batches):
+        def add(b, c):
+            for lang, w, n in zip(b["lang"], b["w"], b["n"]):
+                for g in grams(w):
+                    c.setdefault((lang, g), [0])[0] += n
+
+        yield from summed(batches, add, ["lang", "g", "n"])
+
+    g = counts.filter("n > 0").select("lang", "w", "n").mapInPandas(run, "lang string, g string, n bigint").groupBy("lang", "g").agg(F.sum("n").alias("n"))
+    top = g.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "g"))).filter(F.col("r") <= TOP)
+    ranks: dict[str, dict[str, int]] = {r.lang: {} for r in counts.filter("w = ''").select("lang").distinct().collect()}
+    for r in top.select("lang", "g", "r").collect():
+        ranks[r.lang][r.g] = r.r
+    known = counts.groupBy("w").agg(F.sum("d").alias("d")).filter(F.col("d") >= least).filter("w <> ''").select("w").collect()
+    return Profiles(ranks, frozenset(r.w for r in known))
+
+
 def fit(lines, plans) -> Profiles:
     """Profiles from translated lines and the clean target language of their plan, at most SAMPLE lines."""
     t = lines.select("line_id", "plan_id", "translation").join(plans.select("plan_id", "target_lang"), "plan_id")

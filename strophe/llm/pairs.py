@@ -11,12 +11,16 @@ from collections import Counter, defaultdict
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import regex
 
-from .langid import SOUNDS, WORD, Profiles, sample
+from .langid import HELD, SOUNDS, Profiles, learned, split
 
-#: Lines used to fit the model: at most SAMPLE, those with the smallest hash of their id.
-SAMPLE = 24_000
+#: The model is fitted on all lines. How often something must occur in it is said for so many lines; more lines need it as often in proportion.
+PER = 24_000
+#: Lines a word must occur in to be known, a word of a line to have a sure translation, a word to be found never to end a translation; lines of
+#: two languages for a usual ratio.
+KNOWN, SURE, INNER, RATIO = 3, 5, 30, 8
 #: Total log places the target language may lie behind the best one.
 BEHIND = 2.5
 
@@ -67,6 +71,12 @@ def terminal(word: str) -> str:
     return next((k for k, stems in _STEMS.items() for x in stems if word.startswith(x)), "x")
 
 
+@lru_cache(maxsize=200_000)
+def asks(word: str) -> bool:
+    """Whether a word has what each refusal has."""
+    return _ASKED.search(word) is not None
+
+
 def refuses(text: str) -> bool:
     """Whether a text declines instead of translating; a quotation of the line before it is skipped."""
     low = text.lower().replace("’", "'")
@@ -83,15 +93,19 @@ _SCRIPT = {lang: regex.compile(s) for lang, s in SCRIPTS.items()}
 _LETTER = regex.compile(r"\p{L}")
 
 
+@lru_cache(maxsize=200_000)
+def scripted(word: str, target: str) -> tuple[int, int]:
+    """(letters of a word, those of a script of the language)."""
+    return len(_LETTER.findall(word)), len(_SCRIPT[target].findall(word))
+
+
 def other_script(told: list[str], kept: list[str], target: str | None) -> bool:
     """Whether most letters of a translation are of no script of the target language; words kept from the line don't count."""
     if target not in _SCRIPT:
         return False
     same = set(kept)
-    text = "".join(w for w in told if w.lower().replace("’", "'") not in same)
-    if text.isascii() and SCRIPTS[target] == _LATIN:
-        return False
-    return len(_LETTER.findall(text)) > 2 * len(_SCRIPT[target].findall(text))
+    counts = [scripted(w, target) for w in told if lower(w) not in same]
+    return sum(n for n, _ in counts) > 2 * sum(k for _, k in counts)
 
 
 def tiles(a: list[str], b: list[str]) -> list[int]:
@@ -125,6 +139,8 @@ def copied(a: list[str], b: list[str]) -> bool:
     """Whether b is a again: tiles cover all of b and all but LACKS words of a, and as few of them as that needs."""
     if not len(a) - LACKS <= len(b) <= len(a) or len(a) <= LACKS:
         return a == b
+    if not set(b) <= set(a):
+        return False  # no tiles could cover b
     t = tiles(a, b)
     return sum(t) == len(b) and len(t) <= 1 + LACKS
 
@@ -174,8 +190,13 @@ def open_marks(text: str) -> list[str]:
     return stack
 
 
+@lru_cache(maxsize=200_000)
+def lower(word: str) -> str:
+    return word.lower().replace("’", "'")
+
+
 def words(text: str) -> list[str]:
-    return [w.lower().replace("’", "'") for w in WORD.findall(text)]
+    return list(map(lower, split(text)))
 
 
 def only_sounds(ws: list[str]) -> bool:
@@ -184,7 +205,7 @@ def only_sounds(ws: list[str]) -> bool:
 
 @dataclass
 class Model:
-    """What is learned from the sampled pairs."""
+    """What is learned from the pairs."""
 
     profiles: Profiles
     #: (target language, word of the line) -> words one of which its translation nearly always has
@@ -206,9 +227,10 @@ class Model:
 
     @classmethod
     def fit(cls, rows) -> "Model":
-        """From (text, translation, target language) rows."""
+        """From (text, translation, target language) rows; :func:`fit` does the same in many tasks."""
         rows = [r for r in rows if all(r)]
-        p = Profiles.fit((t, lang) for _, t, lang in rows)
+        by = max(1.0, len(rows) / PER)
+        p = Profiles.fit(((t, lang) for _, t, lang in rows), KNOWN * by)
         n_s: Counter = Counter()
         n_st: dict[tuple[str, str], Counter] = defaultdict(Counter)
         n_t: Counter = Counter()
@@ -227,25 +249,31 @@ class Model:
             for s in a:
                 n_s[lang, s] += 1
                 n_st[lang, s].update(bs)
-            src = best_language(p, WORD.findall(text))[0]
+            src = best_language(p, split(text))[0]
             ratio[src, lang].append(size(tr) / max(1, size(text)))
         lexicon = {}
         for (lang, s), c in n_st.items():
             n = n_s[lang, s]
-            if n < 5:
+            if n < SURE * by:
                 continue
             good = [t for t, k in c.items() if k >= 0.6 * n and k * total[lang] > 4 * n * n_t[lang, t]]
             if good:
                 lexicon[lang, s] = frozenset(good)
-        inner = frozenset(k for k, n in n_t.items() if n >= 30 and last[k] < 0.02 * n)
-        med = {k: sorted(v)[len(v) // 2] for k, v in ratio.items() if len(v) >= 8}
-        return cls(p, lexicon, inner, med, frozenset(k for k, n in n_t.items() if n >= 3))
+        inner = frozenset(k for k, n in n_t.items() if n >= INNER * by and last[k] < 0.02 * n)
+        med = {k: sorted(v)[len(v) // 2] for k, v in ratio.items() if len(v) >= RATIO * by}
+        return cls(p, lexicon, inner, med, frozenset(k for k, n in n_t.items() if n >= KNOWN * by))
 
 
 def size(text: str) -> int:
     return sum(map(len, _CORE.findall(text)))
 
 
+def letters(found: list[str]) -> int:
+    """The size of a text by its words: all their characters but the apostrophes."""
+    s = "".join(found)
+    return len(s) - s.count("'") - (0 if s.isascii() else s.count("’") + s.count("‘") + s.count("ʼ"))
+
+
 def best_language(p: Profiles, found: list[str]):
     """(best language, log places of each language behind it, words with a language) of some words."""
     s, n = p.totals(found)
@@ -257,11 +285,13 @@ def defect(m: Model, text: str | None, translation: str | None, target: str | No
     """The defect of a translation, or None. A missing text or target language only rules out the tests that need it."""
     if translation is None or not _SIGN.search(translation):
         return "empty"
-    if refuses(translation):
+    told = split(translation)
+    b = list(map(lower, told))
+    if any(map(asks, b)) and refuses(translation):
         return "refusal"
     text = text or ""
-    told = WORD.findall(translation)
-    a, b = words(text), [w.lower().replace("’", "'") for w in told]
+    own = split(text)
+    a = list(map(lower, own))
     if not a or only_sounds(a):
         return None
     if copied(a, b):
@@ -274,14 +304,14 @@ def defect(m: Model, text: str | None, translation: str | None, target: str | No
             return "other_language"
     elif target is None:
         return None
-    return "truncated" if breaks_off(m, text, a, translation, b, target) else None
+    return "truncated" if breaks_off(m, text, a, translation, b, target, own, told) else None
 
 
 #: Share of its usual length below which something open says that a translation breaks off, by what is open.
 OPEN = {"line": 0.42, "tail": 0.68, "mark": 0.85, "name": 0.9, "word": 0.95, "phrase": 0.95}
 
 
-def parse(m: Model, text: str, a: list[str], translation: str, b: list[str], target: str, share: float) -> list[str]:
+def parse(m: Model, text: str, a: list[str], translation: str, b: list[str], target: str, share: float, own: list[str] | None = None) -> list[str]:
     """What a pushdown parse of a translation still holds at its end.
 
     Marks, tags and list items open and close as :func:`open_marks` says. Beside them the line opens what its translation
@@ -295,7 +325,7 @@ def parse(m: Model, text: str, a: list[str], translation: str, b: list[str], tar
     if _MARK.search(translation) and not open_marks(text):
         stack += ["mark"] * len(open_marks(translation))
     known = m.profiles.words
-    stack += ["name" for w in WORD.findall(text)[1:] if w[0].isupper() and w.lower() not in known and w.lower() not in have]
+    stack += ["name" for w in (own or split(text))[1:] if w[0].isupper() and w.lower() not in known and w.lower() not in have]
     end = b[-1]
     if end in m.lexicon.get((target, a[-1]), ()):
         return stack
@@ -311,24 +341,184 @@ def parse(m: Model, text: str, a: list[str], translation: str, b: list[str], tar
     return stack
 
 
-def breaks_off(m: Model, text: str, a: list[str], translation: str, b: list[str], target: str) -> bool:
+def breaks_off(m: Model, text: str, a: list[str], translation: str, b: list[str], target: str, own: list[str], told: list[str]) -> bool:
     """Whether the parse of a translation ends with something open that a text of its length should have closed."""
     if len(translation) > 1.1 * len(text) * m.widest(target):
         return False
-    src = best_language(m.profiles, WORD.findall(text))[0]
-    share = size(translation) / max(1, size(text)) / m.ratio.get((src, target), 1.0)
-    return share <= 1.05 and any(share < OPEN[x] for x in parse(m, text, a, translation, b, target, share))
+    src = best_language(m.profiles, own)[0]
+    share = letters(told) / max(1, letters(own)) / m.ratio.get((src, target), 1.0)
+    return share <= 1.05 and any(share < OPEN[x] for x in parse(m, text, a, translation, b, target, share, own))
 
 
 _MODEL: dict[int, Model] = {}
 
 
+def usable(translation: str, own: list[str], told: list[str]) -> tuple[list[str], list[str]] | None:
+    """The words of a pair the model may learn from: not refused, no copy in other order."""
+    a, b = list(map(lower, own)), list(map(lower, told))
+    if not a or not b or any(map(asks, b)) and refuses(translation) or set(a) == set(b):
+        return None
+    return a, b
+
+
+class Tally:
+    """Counts of words by target language: how often and in how many translations they occur; of usable pairs, how many lines and
+    translations have them, how many translations end with them. The empty word counts all pairs."""
+
+    def __init__(self):
+        self.counts: dict[str, tuple[Counter, ...]] = {}
+        self.seen: dict[str, tuple[list[str], ...]] = {}
+
+    def add(self, rows) -> None:
+        """Rows (target language, text, translation)."""
+        for lang, text, translation in rows:
+            n, d, s, t, z = self.seen.get(lang) or self.seen.setdefault(lang, tuple([] for _ in range(5)))
+            told = split(translation)
+            low = [w.lower() for w in told]
+            n += low
+            d += set(low)
+            d.append("")
+            if pair := usable(translation, split(text), told):
+                a, b = pair
+                s += set(a)
+                t += set(b)
+                t.append("")
+                z.append(b[-1])
+        for lang, lists in self.seen.items():
+            for c, x in zip(self.counts.setdefault(lang, tuple(Counter() for _ in lists)), lists):
+                c.update(x)
+        self.seen.clear()
+
+    def frames(self):
+        import pandas as pd
+
+        for lang, own in self.counts.items():
+            ws = list(set().union(*own))
+            yield pd.DataFrame({"lang": lang, "w": ws} | {k: [c[w] for w in ws] for k, c in zip("ndstz", own)})
+        self.counts.clear()
+
+
+class Meetings:
+    """How often numbered words of lines and of their translations meet, and ratios of lengths."""
+
+    def __init__(self, left: dict, right: dict, rows_left: np.ndarray, rows_right: np.ndarray):
+        self.left, self.right, self.n, self.m = left, right, rows_left, rows_right
+        self.ratios: Counter = Counter()
+        self.kept: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, batch) -> None:
+        """Rows (key of the ratio, ratio, target language, words of the line, words of the translation)."""
+        A, B, na, nb = [], [], [], []
+        for key, ratio, lang, a, b in batch:
+            self.ratios[key, ratio] += 1
+            s, t = self.left.get(lang, {}), self.right.get(lang, {})
+            x, y = [s[w] for w in set(a) if w in s], [t[w] for w in set(b) if w in t]
+            A += x
+            B += y
+            na.append(len(x))
+            nb.append(len(y))
+        A, B, na, nb = (np.array(v, np.int64) for v in (A, B, na, nb))
+        times = np.repeat(nb, na)  # each word of a line meets all of its translation
+        at = np.repeat(np.repeat(np.cumsum(nb) - nb, na) - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        x, y = np.repeat(A, times), B[at]
+        ok = self.m[y] >= 0.6 * self.n[x]  # rarer words can't be in 0.6 of the rows
+        self.kept.append(np.unique(x[ok] * len(self.m) + y[ok], return_counts=True))
+        if sum(len(k) for k, _ in self.kept) > 2_000_000:
+            self.kept = [self.pairs()]
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        k = np.concatenate([k for k, _ in self.kept] or [np.zeros(0, np.int64)])
+        n = np.concatenate([n for _, n in self.kept] or [np.zeros(0, np.int64)])
+        keys, at = np.unique(k, return_inverse=True)
+        return keys, np.bincount(at, n, len(keys)).astype(np.int64)
+
+    def frames(self):
+        import pandas as pd
+
+        k, n = self.pairs()
+        r = [(key, ratio, n) for (key, ratio), n in self.ratios.items()]
+        self.kept, self.ratios = [], Counter()
+        yield pd.DataFrame({"key": k, "ratio": 0.0, "n": n})
+        yield pd.DataFrame(r, columns=["key", "ratio", "n"])
+
+
 def fit(lines, plans) -> Model:
-    """The model from at most SAMPLE lines with their plan's target language."""
-    t = lines.select("line_id", "plan_id", "text", "translation").join(plans.select("plan_id", "target_lang"), "plan_id")
-    t = t.filter("length(translation) >= 12 and length(text) >= 12 and target_lang is not null")
-    rows = sample(t, "line_id", SAMPLE, lines.count()).select("text", "translation", "target_lang").collect()
-    return Model.fit([tuple(r) for r in rows])
+    """The model from all lines with their plan's target language.
+
+    Words are counted first; then, as profiles and word counts are known, how words meet and the ratios of lengths. What comes to the driver
+    occurs in a fixed share of the lines at least, so it doesn't grow with them."""
+    from pyspark.sql import Window as W
+    from pyspark.sql import functions as F
+
+    from ..session import cut
+
+    t = lines.select("plan_id", "text", "translation").filter("length(translation) >= 12 and length(text) >= 12")
+    t = t.join(plans.filter("target_lang <> ''").select("plan_id", F.col("target_lang").alias("lang")).dropDuplicates(["plan_id"]), "plan_id").select("text", "translation", "lang")
+
+    def count(batches):
+        c = Tally()
+        for b in batches:
+            c.add(zip(b["lang"], b["text"], b["translation"]))
+            if sum(len(k) for own in c.counts.values() for k in own) > HELD:
+                yield from c.frames()
+        yield from c.frames()
+
+    c = t.mapInPandas(count, "lang string, w string, n bigint, d bigint, s bigint, t bigint, z bigint")
+    c = cut(c.groupBy("lang", "w").agg(*(F.sum(x).alias(x) for x in "ndstz")))
+    heads = c.filter("w = ''").collect()
+    total = {r.lang: r.t for r in heads}
+    by = max(1.0, sum(r.d for r in heads) / PER)
+    p = learned(c, KNOWN * by)
+    often = c.filter("w <> ''").filter((F.col("s") >= SURE * by) | (F.col("t") >= KNOWN * by)).select("lang", "w", "s", "t", "z").orderBy("lang", "w").collect()
+    vocabulary = frozenset((r.lang, r.w) for r in often if r.t >= KNOWN * by)
+    inner = frozenset((r.lang, r.w) for r in often if r.t >= INNER * by and r.z < 0.02 * r.t)
+    # a word of a quarter of all translations is no translation of any
+    left = [r for r in often if r.s >= SURE * by]
+    right = [r for r in often if r.t >= 0.6 * SURE * by and 4 * r.t < total[r.lang]]
+    langs = p.langs
+    n, m = np.array([r.s for r in left], np.int64), np.array([r.t for r in right], np.int64)
+    numbered = lambda rows: {g: {r.w: i for i, r in enumerate(rows) if r.lang == g} for g in langs}
+    sent = lines.sparkSession.sparkContext.broadcast((p.ranks, p.words, numbered(left), numbered(right), n, m))
+
+    def meet(batches):
+        ranks, known, lo, hi, n, m = sent.value
+        prof, pairs = Profiles(ranks, known), Meetings(lo, hi, n, m)
+        where = {g: i for i, g in enumerate(prof.langs)}
+
+        def rows(b):
+            for lang, text, tr in zip(b["lang"], b["text"], b["translation"]):
+                own, told = split(text), split(tr)
+                if pair := usable(tr, own, told):
+                    src = best_language(prof, own)[0]
+                    yield -1 - where[src] * len(where) - where[lang], letters(told) / max(1, letters(own)), lang, *pair
+
+        for b in batches:
+            pairs.add(rows(b))
+            if len(pairs.ratios) > HELD:
+                yield from pairs.frames()
+        yield from pairs.frames()
+
+    r = cut(t.mapInPandas(meet, "key bigint, ratio double, n bigint").groupBy("key", "ratio").agg(F.sum("n").alias("n")))
+    # the value in the middle, the upper one of two
+    w = W.partitionBy("key")
+    r2 = r.filter("key < 0").withColumns({"upto": F.sum("n").over(w.orderBy("ratio")), "all": F.sum("n").over(w)})
+    mid = r2.filter((F.col("all") >= RATIO * by) & (F.col("upto") > F.floor(F.col("all") / 2))).groupBy("key").agg(F.min("ratio").alias("ratio")).collect()
+    ratio = {(langs[(-1 - x.key) // len(langs)], langs[(-1 - x.key) % len(langs)]): x.ratio for x in mid}
+
+    every = np.array([total[x.lang] for x in left], np.int64)
+    limits = lines.sparkSession.sparkContext.broadcast((n, m, every))
+
+    def good(batches):
+        n, m, every = limits.value
+        for b in batches:
+            x, y, k = b["key"].to_numpy() // max(1, len(m)), b["key"].to_numpy() % max(1, len(m)), b["n"].to_numpy()
+            yield b[(k >= 0.6 * n[x]) & (k * every[x] > 4 * n[x] * m[y])][["key"]]
+
+    lexicon: dict[tuple[str, str], set[str]] = {}
+    for x in r.filter("key >= 0").select("key", "n").mapInPandas(good, "key bigint").collect():
+        a, b = left[x.key // len(right)], right[x.key % len(right)]
+        lexicon.setdefault((a.lang, a.w), set()).add(b.w)
+    return Model(p, {k: frozenset(v) for k, v in lexicon.items()}, inner, ratio, vocabulary)
 
 
 def found(lines, plans, model: Model | None = None):

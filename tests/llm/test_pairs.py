@@ -133,3 +133,30 @@ def test_found(spark, model):
     plans = spark.createDataFrame([("p", "en"), ("p", "en")], "plan_id string, target_lang string")
     assert sorted(map(tuple, pairs.found(lines, plans, model).collect())) == [(1, "empty"), (2, "copy"), (3, "empty")]
     assert pairs.found(lines.limit(0), plans.limit(0)).count() == 0
+
+
+def test_fit_counts_all_lines(spark, data):
+    """The model from a table of more than 24,000 lines is that of all its rows, whatever their ids."""
+    d = data.replace("sf0.001", "sf0.01")
+    l = pd.read_parquet(f"{d}/plan_lines.parquet")[["plan_id", "text", "translation"]]
+    p = pd.read_parquet(f"{d}/plan_docs.parquet")[["plan_id", "target_lang"]].drop_duplicates("plan_id")
+    x = pd.concat([l.assign(line_id=range(k * len(l), (k + 1) * len(l)), text=l.text + f" tale{k % 3}") for k in range(6)])
+    own = x.merge(p, on="plan_id").dropna(subset=["text", "translation", "target_lang"])
+    want = pairs.Model.fit([r for r in zip(own.text, own.translation, own.target_lang) if len(r[0]) >= 12 and len(r[1]) >= 12])
+    x = x.astype(object).where(x.notna(), None)
+    lines = spark.createDataFrame(x[["line_id", "plan_id", "text", "translation"]], "line_id bigint, plan_id string, text string, translation string")
+    got = pairs.fit(lines, spark.createDataFrame(p))
+    assert len(own) > 24_000 and got.profiles.ranks == want.profiles.ranks and got.profiles.words == want.profiles.words
+    assert (got.lexicon, got.inner, got.ratio, got.vocabulary) == (want.lexicon, want.inner, want.ratio, want.vocabulary)
+    assert len(got.lexicon) > 100 and len(got.ratio) > 10
+    empty = pairs.fit(lines.limit(0), spark.createDataFrame(p))
+    assert empty.lexicon == {} and empty.profiles.langs == []
+
+
+@pytest.mark.parametrize("text", ["", "l'amour d’été ‘x’ rock'5 a''b", "été नमस्ते ١٢٣ x²½", "𝔘nder 𐐷𐐷 a_b", "It's 3 o'clock 5a 'tis", "ИЙ Ёлка 彼女は太鼓"])
+def test_split_and_size_equal_the_patterns(text):
+    from strophe.llm import langid
+
+    assert langid.split(text) == langid.WORD.findall(text)
+    assert pairs.letters(langid.split(text)) == pairs.size(text)
+    assert pairs._ASKED.search(text.lower()) is None or any(map(pairs.asks, pairs.words(text)))
