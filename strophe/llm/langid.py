@@ -19,8 +19,8 @@ import regex
 
 #: Longest n-gram and length of a profile.
 N, TOP = 5, 4000
-#: Lines used for the profiles: at most SAMPLE in all, those with the smallest hash of their id.
-SAMPLE = 16_000
+#: The profiles are fitted on all lines. A known word occurs in KNOWN of so many lines; more lines need it as often in proportion.
+PER, KNOWN = 16_000, 3
 #: Price of a change of language, in log places.
 SWITCH = 7.0
 #: Words a stretch needs.
@@ -153,7 +153,7 @@ class Profiles:
 
     def tokens(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
         """(words, their log places, which of them have a language). Names, sounds and numbers have none."""
-        found = WORD.findall(text)
+        found = split(text)
         low = [w.lower().replace("’", "'") for w in found]
         rows = []
         has = []
@@ -267,19 +267,6 @@ def unpack(key: int, ranks, words) -> Profiles:
     return _FITTED[key]
 
 
-def sample(df, key: str, rows: int, of: int):
-    """At most ``rows`` rows of ``df``, those with the smallest hashes of ``key``; ``of`` is about how many rows there are.
-
-    Hashes far beyond the place of the last one are dropped first, so that tasks send the driver what it needs and no more."""
-    from pyspark.sql import functions as F
-
-    h = F.xxhash64(key)
-    share = 1.5 * rows / max(1, of)
-    if share < 1:
-        df = df.filter(h <= int(-(1 << 63) + share * (1 << 64)))
-    return df.orderBy(h, key).limit(rows)
-
-
 #: Entries a task counts before it hands them on.
 HELD = 400_000
 
@@ -322,11 +309,33 @@ def learned(counts, least: float) -> Profiles:
 
 
 def fit(lines, plans) -> Profiles:
-    """Profiles from translated lines and the clean target language of their plan, at most SAMPLE lines."""
-    t = lines.select("line_id", "plan_id", "translation").join(plans.select("plan_id", "target_lang"), "plan_id")
-    t = t.filter("length(translation) >= 20 and target_lang is not null")
-    rows = sample(t, "line_id", SAMPLE, lines.count()).select("translation", "target_lang").collect()
-    return Profiles.fit([(r[0], r[1]) for r in rows])
+    """Profiles from all translated lines and the clean target language of their plan."""
+    from pyspark.sql import functions as F
+
+    from ..session import cut
+
+    t = lines.select("plan_id", "translation").filter("length(translation) >= 20")
+    t = t.join(plans.filter("target_lang <> ''").select("plan_id", F.col("target_lang").alias("lang")).dropDuplicates(["plan_id"]), "plan_id").select("lang", "translation")
+
+    def run(batches):
+        def add(b, c):
+            lists: dict[str, tuple[list[str], ...]] = {}
+            for lang, text in zip(b["lang"], b["translation"]):
+                n, d = lists.setdefault(lang, ([], []))
+                ws = [w.lower() for w in split(text)]
+                n += ws
+                d += {*ws, ""}
+            for lang, own in lists.items():
+                for k, x in enumerate(own):
+                    for w, n in Counter(x).items():
+                        c.setdefault((lang, w), [0, 0])[k] += n
+
+        yield from summed(batches, add, ["lang", "w", "n", "d"])
+
+    c = t.mapInPandas(run, "lang string, w string, n bigint, d bigint").groupBy("lang", "w").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
+    c = cut(c)
+    rows = c.filter("w = ''").agg(F.sum("d")).first()[0] or 0
+    return learned(c, KNOWN * max(1.0, rows / PER))
 
 
 #: Lines of a plan in one piece, and of its neighbours beside it.
@@ -358,7 +367,7 @@ def _sent(vocals, profiles: Profiles):
     import zlib
 
     key = zlib.crc32(repr(sorted((k, len(v)) for k, v in profiles.ranks.items())).encode())
-    return key, vocals.sparkSession.sparkContext.broadcast((profiles.ranks, profiles.words))  # at most TOP n-grams a language, words of SAMPLE lines
+    return key, vocals.sparkSession.sparkContext.broadcast((profiles.ranks, profiles.words))  # at most TOP n-grams a language, words of KNOWN in PER lines
 
 
 def stretches(vocals, plans, lines, profiles: Profiles):

@@ -101,3 +101,17 @@ def test_found(spark, profiles):
     got = sorted(map(tuple, langid.found(v, plans, lines, codes, profiles).collect()))
     assert got == [("plan_docs", "p", "en"), ("scribe_vocals", "2", "en"), ("scribe_vocals", "2", "fr"), ("scribe_vocals", "3", "en"), ("scribe_vocals", "5", "en")]
     assert langid.found(v.limit(0), plans.limit(0), lines.limit(0), codes, profiles).count() == 0
+
+
+def test_fit_counts_all_lines(spark, data):
+    """The profiles from a table of more than 16,000 lines are those of all its rows, whatever their ids."""
+    d = data.replace("sf0.001", "sf0.01")
+    l = pd.read_parquet(f"{d}/plan_lines.parquet")[["plan_id", "translation"]].dropna()
+    p = pd.read_parquet(f"{d}/plan_docs.parquet")[["plan_id", "target_lang"]].drop_duplicates("plan_id")
+    x = pd.concat([l.assign(line_id=range(k * len(l), (k + 1) * len(l)), translation=l.translation + f" tale{k}") for k in range(6)])
+    own = x.merge(p, on="plan_id").dropna(subset=["target_lang"])
+    own = own[own.translation.str.len() >= 20]
+    want = langid.Profiles.fit(zip(own.translation, own.target_lang), 3 * len(own) / 16_000)
+    got = langid.fit(spark.createDataFrame(x), spark.createDataFrame(p))
+    assert len(own) > 16_000 and got.ranks == want.ranks and got.words == want.words
+    assert langid.fit(spark.createDataFrame(x).limit(0), spark.createDataFrame(p)).langs == []
