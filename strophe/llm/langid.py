@@ -29,6 +29,8 @@ STRETCH = 8
 SHARP = 12.0
 #: A word whose n-grams are this rare on average (log2 places) even in its best profile is a name.
 NAME = 7.4
+#: Steps of a log place of a word where places are summed.
+STEPS = 2.0**24
 
 WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:['’‘ʼ][\p{L}\p{M}]+)*")
 _PLAIN = re.compile("[A-Za-z0-9]+(?:'[A-Za-z]+)*")
@@ -81,7 +83,8 @@ class Places(dict):
             return None
         v, best = self.profiles.word(w)
         name = best > NAME or self.inside and best > NAME - 2.5 and raw[0].isupper()
-        self[raw] = out = tuple(v.tolist()) if w in self.profiles.words or not name else None
+        # in steps of a power of two, so that sums are exact in any order
+        self[raw] = out = tuple((np.round(v * STEPS) / STEPS).tolist()) if w in self.profiles.words or not name else None
         return out
 
 

@@ -14,6 +14,7 @@ from functools import lru_cache
 import numpy as np
 import regex
 
+from .bulk import Texts, Words, among, distinct, merged, rated, slices, totals
 from .langid import HELD, SOUNDS, Profiles, learned, split
 
 #: The model is fitted on all lines. How often something must occur in it is said for so many lines; more lines need it as often in proportion.
@@ -350,15 +351,23 @@ def breaks_off(m: Model, text: str, a: list[str], translation: str, b: list[str]
     return share <= 1.05 and any(share < OPEN[x] for x in parse(m, text, a, translation, b, target, share, own))
 
 
-_MODEL: dict[int, Model] = {}
+_MODEL: dict[int, tuple[Model, "Doubts"]] = {}
 
 
-def usable(translation: str, own: list[str], told: list[str]) -> tuple[list[str], list[str]] | None:
-    """The words of a pair the model may learn from: not refused, no copy in other order."""
-    a, b = list(map(lower, own)), list(map(lower, told))
-    if not a or not b or any(map(asks, b)) and refuses(translation) or set(a) == set(b):
-        return None
-    return a, b
+def usable(w: Words, own: Texts, told: Texts, translations) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(which pairs the model may learn from: not refused, no copy in other order; the different words of each line, of each translation).
+
+    A word of a text is text number * 2^32 + number of the word."""
+    a, b = (distinct(t.row << 32 | w["plain"][t.words]) for t in (own, told))
+    na, nb, both = (np.bincount(k >> 32, minlength=len(own.size)) for k in (a, b, a[among(a, b)]))
+    ok = (na > 0) & (nb > 0) & ~((na == nb) & (na == both))
+    for i in np.flatnonzero(ok & told.any(w["asks"][told.words])):
+        ok[i] = not refuses(translations[i].as_py())
+    return ok, a[ok[a >> 32]], b[ok[b >> 32]]
+
+
+def asked(word: str) -> bool:
+    return asks(lower(word))
 
 
 class Tally:
@@ -366,80 +375,98 @@ class Tally:
     translations have them, how many translations end with them. The empty word counts all pairs."""
 
     def __init__(self):
-        self.counts: dict[str, tuple[Counter, ...]] = {}
-        self.seen: dict[str, tuple[list[str], ...]] = {}
-
-    def add(self, rows) -> None:
-        """Rows (target language, text, translation)."""
-        for lang, text, translation in rows:
-            n, d, s, t, z = self.seen.get(lang) or self.seen.setdefault(lang, tuple([] for _ in range(5)))
-            told = split(translation)
-            low = [w.lower() for w in told]
-            n += low
-            d += set(low)
-            d.append("")
-            if pair := usable(translation, split(text), told):
-                a, b = pair
-                s += set(a)
-                t += set(b)
-                t.append("")
-                z.append(b[-1])
-        for lang, lists in self.seen.items():
-            for c, x in zip(self.counts.setdefault(lang, tuple(Counter() for _ in lists)), lists):
-                c.update(x)
-        self.seen.clear()
+        self.words = Words(asks=asked)
+        self.langs: dict[str, int] = {}
+        self.kept: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, lang, text, translation) -> None:
+        """Arrow arrays: target languages, lines and translations of some pairs."""
+        w = self.words
+        told, own = w.read(translation), w.read(text)
+        g = lang.dictionary_encode()
+        g = np.array([self.langs.setdefault(x, len(self.langs)) for x in g.dictionary.to_pylist()], np.int64)[g.indices.to_numpy()]
+        ok, a, b = usable(w, own, told, translation)
+        low, none = w["low"][told.words], w.number("")
+        d = distinct(told.row << 32 | low)
+        last = told.words[told.end[ok] - 1]
+        word = (1 << 32) - 1
+        keys = (
+            (0, g[told.row], low), (1, g[d >> 32], d & word), (1, g, none), (2, g[a >> 32], a & word), (3, g[b >> 32], b & word), (3, g[ok], none), (4, g[ok], w["plain"][last]),
+        )
+        self.kept.append(np.unique(np.concatenate([(own * 5 + k) << 32 | ws for k, own, ws in keys]), return_counts=True))
+        if sum(len(k) for k, _ in self.kept) > 3 * HELD:
+            self.kept = [merged(self.kept)]
+
+    def full(self) -> bool:
+        return self.words.full() or sum(len(k) for k, _ in self.kept) > 2 * HELD
 
     def frames(self):
-        import pandas as pd
+        """The counts as Arrow batches; they begin anew."""
+        import pyarrow as pa
 
-        for lang, own in self.counts.items():
-            ws = list(set().union(*own))
-            yield pd.DataFrame({"lang": lang, "w": ws} | {k: [c[w] for w in ws] for k, c in zip("ndstz", own)})
-        self.counts.clear()
+        k, n = merged(self.kept)
+        g, kind = (k >> 32) // 5, (k >> 32) % 5
+        own, at = np.unique(g << 32 | k & ((1 << 32) - 1), return_inverse=True)
+        counts = np.zeros((5, len(own)), np.int64)
+        counts[kind, at] = n
+        langs = list(self.langs)
+        ws = [self.words.strings[i] for i in (own & ((1 << 32) - 1)).tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array([langs[i] for i in (own >> 32).tolist()], pa.string()), pa.array(ws, pa.string()), *map(pa.array, counts)], ["lang", "w", *"ndstz"])
+        self.kept = []
+        self.words.clear()
 
 
 class Meetings:
     """How often numbered words of lines and of their translations meet, and ratios of lengths."""
 
-    def __init__(self, left: dict, right: dict, rows_left: np.ndarray, rows_right: np.ndarray):
-        self.left, self.right, self.n, self.m = left, right, rows_left, rows_right
+    def __init__(self, profiles: Profiles, left: dict, right: dict, rows_left: np.ndarray, rows_right: np.ndarray):
+        self.langs, self.n, self.m = profiles.langs, rows_left, rows_right
+        self.where = {g: i for i, g in enumerate(self.langs)}
+        numbers = lambda by: lambda w: [by[g].get(lower(w), -1) for g in self.langs]
+        self.words = Words(asks=asked, letters=lambda w: letters([w]), left=numbers(left), right=numbers(right), **rated(profiles))
         self.ratios: Counter = Counter()
         self.kept: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def add(self, batch) -> None:
-        """Rows (key of the ratio, ratio, target language, words of the line, words of the translation)."""
-        A, B, na, nb = [], [], [], []
-        for key, ratio, lang, a, b in batch:
-            self.ratios[key, ratio] += 1
-            s, t = self.left.get(lang, {}), self.right.get(lang, {})
-            x, y = [s[w] for w in set(a) if w in s], [t[w] for w in set(b) if w in t]
-            A += x
-            B += y
-            na.append(len(x))
-            nb.append(len(y))
-        A, B, na, nb = (np.array(v, np.int64) for v in (A, B, na, nb))
+    def add(self, lang, text, translation) -> None:
+        """Arrow arrays: target languages, lines and translations of some pairs."""
+        if self.words.full():
+            self.words.clear()
+        w = self.words
+        told, own = w.read(translation), w.read(text)
+        ok, _, _ = usable(w, own, told, translation)
+        if not ok.any():
+            return
+        g = lang.dictionary_encode()
+        g = np.array([self.where[x] for x in g.dictionary.to_pylist()], np.int64)[g.indices.to_numpy()]
+        src = totals(w, own)[0].argmin(1)
+        ratio = told.sum(w["letters"][told.words]) / np.maximum(1, own.sum(w["letters"][own.words]))
+        self.ratios.update(zip((-1 - src * len(self.langs) - g)[ok].tolist(), ratio[ok].tolist()))
+
+        def met(t: Texts, column: str) -> tuple[np.ndarray, np.ndarray]:
+            x = w[column][t.words, g[t.row]]
+            at = (x >= 0) & ok[t.row]
+            k = distinct(t.row[at] << 32 | x[at])
+            return k & ((1 << 32) - 1), np.bincount(k >> 32, minlength=len(ok))
+
+        (A, na), (B, nb) = met(own, "left"), met(told, "right")
         times = np.repeat(nb, na)  # each word of a line meets all of its translation
-        at = np.repeat(np.repeat(np.cumsum(nb) - nb, na) - (np.cumsum(times) - times), times) + np.arange(times.sum())
-        x, y = np.repeat(A, times), B[at]
+        x, y = np.repeat(A, times), B[slices(np.repeat(np.cumsum(nb) - nb, na), times)]
         ok = self.m[y] >= 0.6 * self.n[x]  # rarer words can't be in 0.6 of the rows
         self.kept.append(np.unique(x[ok] * len(self.m) + y[ok], return_counts=True))
         if sum(len(k) for k, _ in self.kept) > 2_000_000:
             self.kept = [self.pairs()]
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        k = np.concatenate([k for k, _ in self.kept] or [np.zeros(0, np.int64)])
-        n = np.concatenate([n for _, n in self.kept] or [np.zeros(0, np.int64)])
-        keys, at = np.unique(k, return_inverse=True)
-        return keys, np.bincount(at, n, len(keys)).astype(np.int64)
+        return merged(self.kept)
 
     def frames(self):
-        import pandas as pd
+        """The counts as Arrow batches; they begin anew."""
+        import pyarrow as pa
 
         k, n = self.pairs()
-        r = [(key, ratio, n) for (key, ratio), n in self.ratios.items()]
+        for key, ratio, n in ((k, np.zeros(len(k)), n), ([k for k, _ in self.ratios], [r for _, r in self.ratios], list(self.ratios.values()))):
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(ratio, pa.float64()), pa.array(n, pa.int64())], ["key", "ratio", "n"])
         self.kept, self.ratios = [], Counter()
-        yield pd.DataFrame({"key": k, "ratio": 0.0, "n": n})
-        yield pd.DataFrame(r, columns=["key", "ratio", "n"])
 
 
 def fit(lines, plans) -> Model:
@@ -458,12 +485,12 @@ def fit(lines, plans) -> Model:
     def count(batches):
         c = Tally()
         for b in batches:
-            c.add(zip(b["lang"], b["text"], b["translation"]))
-            if sum(len(k) for own in c.counts.values() for k in own) > HELD:
+            c.add(b["lang"], b["text"], b["translation"])
+            if c.full():
                 yield from c.frames()
         yield from c.frames()
 
-    c = t.mapInPandas(count, "lang string, w string, n bigint, d bigint, s bigint, t bigint, z bigint")
+    c = t.mapInArrow(count, "lang string, w string, n bigint, d bigint, s bigint, t bigint, z bigint")
     c = cut(c.groupBy("lang", "w").agg(*(F.sum(x).alias(x) for x in "ndstz")))
     heads = c.filter("w = ''").collect()
     total = {r.lang: r.t for r in heads}
@@ -482,23 +509,14 @@ def fit(lines, plans) -> Model:
 
     def meet(batches):
         ranks, known, lo, hi, n, m = sent.value
-        prof, pairs = Profiles(ranks, known), Meetings(lo, hi, n, m)
-        where = {g: i for i, g in enumerate(prof.langs)}
-
-        def rows(b):
-            for lang, text, tr in zip(b["lang"], b["text"], b["translation"]):
-                own, told = split(text), split(tr)
-                if pair := usable(tr, own, told):
-                    src = best_language(prof, own)[0]
-                    yield -1 - where[src] * len(where) - where[lang], letters(told) / max(1, letters(own)), lang, *pair
-
+        pairs = Meetings(Profiles(ranks, known), lo, hi, n, m)
         for b in batches:
-            pairs.add(rows(b))
+            pairs.add(b["lang"], b["text"], b["translation"])
             if len(pairs.ratios) > HELD:
                 yield from pairs.frames()
         yield from pairs.frames()
 
-    r = cut(t.mapInPandas(meet, "key bigint, ratio double, n bigint").groupBy("key", "ratio").agg(F.sum("n").alias("n")))
+    r = cut(t.mapInArrow(meet, "key bigint, ratio double, n bigint").groupBy("key", "ratio").agg(F.sum("n").alias("n")))
     # the value in the middle, the upper one of two
     w = W.partitionBy("key")
     r2 = r.filter("key < 0").withColumns({"upto": F.sum("n").over(w.orderBy("ratio")), "all": F.sum("n").over(w)})
@@ -521,6 +539,66 @@ def fit(lines, plans) -> Model:
     return Model(p, {k: frozenset(v) for k, v in lexicon.items()}, inner, ratio, vocabulary)
 
 
+class Doubts:
+    """Tells for many pairs at once which may have a defect, so that defect() need not look at the others.
+
+    No pair for which defect() finds something is left out: each test here is one of its tests, or a condition that one can't do without."""
+
+    def __init__(self, m: Model):
+        langs = m.profiles.langs
+        self.langs = langs
+        self.where = {g: i for i, g in enumerate(langs)}
+        self.scripts = {s: g for g, s in SCRIPTS.items()}
+        own = list(self.scripts)
+        #: The column of a language's script beside that of all letters; -1 for none.
+        self.script = np.array([1 + own.index(SCRIPTS[g]) if g in SCRIPTS else -1 for g in langs], np.int64)
+        self.ratio = np.array([[m.ratio.get((a, b), 1.0) for b in langs] for a in langs])
+        self.words = Words(
+            asks=asked,
+            letters=lambda w: letters([w]),
+            scripts=lambda w: [scripted(w, "en")[0], *(scripted(w, g)[1] for g in self.scripts.values())],
+            name=lambda w: w[0].isupper() and w.lower() not in m.profiles.words,
+            ends=lambda w: [(g, lower(w)) in m.inner or (g, lower(w)) not in m.vocabulary for g in langs],
+            **rated(m.profiles),
+        )
+
+    def __call__(self, text, translation, target) -> np.ndarray:
+        """Arrow arrays: lines, translations and target languages of some pairs."""
+        import pyarrow.compute as pc
+
+        if self.words.full():
+            self.words.clear()
+        w = self.words
+        told, own = w.read(translation), w.read(text)
+        g = target.dictionary_encode()
+        g = np.array([self.where.get(x, -1) for x in g.dictionary.to_pylist()] + [-1], np.int64)[pc.fill_null(g.indices, -1).to_numpy(zero_copy_only=False)]
+        odd = (told.size == 0) | (own.size == 0) | (g < 0)  # whatever is missing or strange
+        if odd.all():
+            return odd
+        a, b = (t.row << 32 | w["plain"][t.words] for t in (own, told))
+        here = distinct(a)
+        new = ~among(b, here)
+        out = odd | told.any(w["asks"][told.words])
+        out |= ~told.any(new) & (told.size <= own.size) & (told.size >= own.size - LACKS)  # may be a copy
+        # another language
+        n = w["scripts"][told.words]
+        of = self.script[g][told.row]
+        out |= (told.sum(n[:, 0] * new) > 2 * told.sum(n[np.arange(len(of)), of] * new)) & (self.script[g] >= 0)
+        s, k = totals(w, told)
+        out |= (k > 0) & (s[np.arange(len(g)), g] - s.min(1) > BEHIND)
+        # broken off
+        share = told.sum(w["letters"][told.words]) / np.maximum(1, own.sum(w["letters"][own.words])) / self.ratio[totals(w, own)[0].argmin(1), g]
+        out |= share < max(OPEN["line"], OPEN["tail"])
+        out |= (share < OPEN["mark"]) & pc.fill_null(pc.match_substring_regex(translation, _MARK.pattern), True).to_numpy(zero_copy_only=False)
+        name = np.flatnonzero(w["name"][own.words])
+        name = name[~among(own.row[name] << 32 | w["low"][own.words[name]], distinct(b))]
+        out |= (share < OPEN["name"]) & (np.bincount(own.row[name], minlength=len(g)) > 0)
+        some = np.flatnonzero(~odd)
+        last = told.words[told.end[some] - 1]
+        out[some] |= (share[some] < max(OPEN["phrase"], OPEN["word"])) & w["ends"][last, g[some]]
+        return out
+
+
 def found(lines, plans, model: Model | None = None):
     """(line_id, defect): every defective line once.
 
@@ -529,7 +607,6 @@ def found(lines, plans, model: Model | None = None):
     """
     import zlib
 
-    import pandas as pd
     from pyspark.sql import functions as F
 
     m = model or fit(lines, plans)
@@ -538,20 +615,23 @@ def found(lines, plans, model: Model | None = None):
     sent = lines.sparkSession.sparkContext.broadcast(parts)
 
     def run(batches):
+        import pyarrow as pa
+
         if key not in _MODEL:
             ranks, ws, *rest = sent.value
             _MODEL.clear()
-            _MODEL[key] = Model(Profiles(ranks, ws), *rest)
-        model = _MODEL[key]
+            own = Model(Profiles(ranks, ws), *rest)
+            _MODEL[key] = own, Doubts(own)
+        model, doubts = _MODEL[key]
         for b in batches:
-            one = lambda x: x if isinstance(x, str) else None
-            d = [defect(model, one(t), one(r), one(g)) for t, r, g in zip(b["text"], b["translation"], b["target_lang"])]
-            out = pd.DataFrame({"line_id": b["line_id"], "defect": d})
-            yield out[out["defect"].notna()]
+            b = b.take(pa.array(np.flatnonzero(doubts(b["text"], b["translation"], b["target_lang"]))))
+            d = [defect(model, *x) for x in zip(*(b[c].to_pylist() for c in ("text", "translation", "target_lang")))]
+            out = pa.RecordBatch.from_arrays([b["line_id"], pa.array(d, pa.string())], ["line_id", "defect"])
+            yield out.filter(out["defect"].is_valid())
 
     # the hot key is the plan's: one row of plan_docs meets many lines, which AQE splits
     t = lines.filter("line_id is not null").select(F.col("line_id").cast("bigint").alias("line_id"), "plan_id", "text", "translation")
     j = t.join(plans.select("plan_id", "target_lang").dropDuplicates(["plan_id"]), "plan_id", "left")
-    return j.select("line_id", "text", "translation", "target_lang").mapInPandas(run, "line_id bigint, defect string").dropDuplicates(["line_id"])
+    return j.select("line_id", "text", "translation", "target_lang").mapInArrow(run, "line_id bigint, defect string").dropDuplicates(["line_id"])
 
 
