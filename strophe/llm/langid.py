@@ -34,19 +34,18 @@ STEPS = 2.0**24
 
 WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:['’‘ʼ][\p{L}\p{M}]+)*")
 _PLAIN = re.compile("[A-Za-z0-9]+(?:'[A-Za-z]+)*")
-_FAR = re.compile("[\U00010000-\U0010ffff]")
+FAR = re.compile("[\U00010000-\U0010ffff]")
+
+
+def ranges(p: str) -> str:
+    """The characters below 65,536 that a pattern of one character matches, for a class of the faster module."""
+    near = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x10000))))
+    return "".join(f"\\u{ord(m[0][0]):04x}-\\u{ord(m[0][-1]):04x}" for m in regex.finditer(f"{p}+", near))
 
 
 @cache
 def _near() -> re.Pattern:
     """WORD for the characters below 65,536, in the faster module."""
-
-    def ranges(p: str) -> str:
-        ok = [i for i in range(0x10000) if not 0xD800 <= i < 0xE000 and regex.match(p, chr(i))]
-        first = [i for i, x in zip(ok, [-2, *ok]) if x != i - 1]
-        last = [i for i, x in zip(ok, [*ok[1:], -2]) if x != i + 1]
-        return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in zip(first, last))
-
     return re.compile(rf"[{ranges(r'[\p{L}\p{M}\p{N}]')}]+(?:['’‘ʼ][{ranges(r'[\p{L}\p{M}]')}]+)*")
 
 
@@ -54,7 +53,7 @@ def split(text: str) -> list[str]:
     """The words of a text, as WORD finds them."""
     if text.isascii():
         return _PLAIN.findall(text)
-    return WORD.findall(text) if _FAR.search(text) else _near().findall(text)
+    return WORD.findall(text) if FAR.search(text) else _near().findall(text)
 
 
 # Sounds without meaning.

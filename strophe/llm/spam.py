@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterable
+from functools import cache
 from itertools import combinations
 
 import regex
@@ -19,6 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .langid import FAR, ranges
+
 #: Longest shingle of a phrase in words, share of a page that makes it a case.
 SHINGLE, SHARE = 5, 0.5
 #: Distinct hosts that make a phrase replicated, share of replicated items that makes a part stitched.
@@ -36,44 +40,90 @@ FUNCTION = frozenset(
     "el los las del al y es una unos por para con se no que su sin más o cuando entre según ser son como lo este esta".split()
 )
 _WORD = regex.compile(r"[\p{L}\p{N}]+(?:['’_-][\p{L}\p{N}]+)*")
+_PLAIN = re.compile("[A-Za-z0-9]+(?:['_-][A-Za-z0-9]+)*")
 #: A heading of a patent's own, alone on its line.
 _HEADING = regex.compile(r"^[\p{Lu}\s]{4,40}$")
 _LINK = regex.compile(r"\[[^\]\n]*\]\([^)\n]*\)|https?://\S+|\bwww\.\S+|(?<![\w.@])[\w-]{2,}(?:\.[\w-]{2,})*\.\p{Ll}{2,10}(?![\w.])(?:/\S*)?")
 _TAG = regex.compile(r"#\p{L}[\p{L}\p{N}_]{2,}|(?<![\w/])\p{L}[\p{L}_]+:[\p{L}\p{N}_](?!//)[^\s,;|]*")
 _PRICE = regex.compile(r"\d+[.,]\d\d ?(?:\p{Sc}|[A-Z]{3}\b)|\p{Sc} ?\d+(?:[.,]\d+)?")
 _PATH = regex.compile(r"[»›]|\(\d{1,4}\)\s*(?:[;|,-]|$)|\s(?:>|::|→)\s")
-_OWN = regex.compile(
+_OWN_OF = (
     r"\b(?:FIG|Fig|Abb|Figura?|figure|Figur|figura|Tab|Table|Tabelle|Tableau|Tabla)\.?\s*\d+|\b[A-Z]{2}[ -]?\d{5,}(?: ?[A-Z]\d?)?\b|\b[acgtun]{8,}\b|\b[ACGTUN]{8,}\b|\b(?:SEQ ID|INT\. CL|IPC)\b|\[\d{4}\]"
 )
-_NUMBER = regex.compile(r"(?<![\p{L}\d])\d+(?:[.,]\d+)*(?![\p{L}\d])")
-_CUT = regex.compile(r"\n+|(?<=[.!?])\s+(?=\p{Lu}|\[)")
+_NUMBER_OF = r"(?<![\p{L}\d])\d+(?:[.,]\d+)*(?![\p{L}\d])"
+_OWN, _NUMBER = regex.compile(_OWN_OF), regex.compile(_NUMBER_OF)
+# the same for texts of ASCII, in the faster module
+_PLAIN_OWN, _PLAIN_NUMBER = re.compile(_OWN_OF), re.compile(_NUMBER_OF.replace(r"\p{L}", "A-Za-z"))
+_UPPER = regex.compile(r"\p{Lu}")
 #: What links, tags, prices and paths have; sentences without any need no closer look.
 _MARKS = ":»›#$€£¥["
 _MONEY, _WAYS = set("$€£¥"), set("»›:")
 
 
+@cache
+def _near() -> tuple[re.Pattern, re.Pattern]:
+    """(end of a sentence and the blanks before the next one, _WORD) for the characters below 65,536, in the faster module."""
+    ln = ranges(r"[\p{L}\p{N}]")
+    return re.compile(rf"[.!?][{ranges(r'\s')}]+(?=[\[{ranges(r'\p{Lu}')}\U00010000-\U0010ffff])"), re.compile(rf"[{ln}]+(?:['’_-][{ln}]+)*")
+
+
+def pieces(text: str) -> list[str]:
+    """A text cut at the ends of lines, and of sentences before a capital or a bracket."""
+    ends = _near()[0].finditer
+    out = []
+    for line in text.split("\n"):
+        at = 0
+        for m in ends(line):
+            if (c := line[m.end()]) > "\uffff" and not _UPPER.match(c):
+                continue
+            out.append(line[at : m.start() + 1])
+            at = m.end()
+        out.append(line[at:] if at else line)
+    return out
+
+
+def words(text: str) -> list[str]:
+    """The words of a text, as _WORD finds them."""
+    if text.isascii():
+        return _PLAIN.findall(text)
+    return (_WORD if FAR.search(text) else _near()[1]).findall(text)
+
+
 def parts(text: str) -> list[tuple[str, str]]:
     """(kind, part) of a text in order; kind is prose, evident, own or bare."""
-    return [(kind(x), x) for seg in _CUT.split(text) if (x := seg.strip())]
+    marks = [c for c in _MARKS if c in text]
+    return [(kind(x, marks), x) for seg in pieces(text) if (x := seg.strip())]
+
+
+#: What a link has: its brackets, how it begins, or a point before two small letters.
+_POINT = re.compile("\\.[a-z\x80-\U0010ffff]{2}")
+
+
+def may_link(seg: str) -> bool:
+    """Whether _LINK could match: a condition it can't do without."""
+    return "://" in seg or "](" in seg or "www." in seg or _POINT.search(seg) is not None
 
 
 _DIGIT = re.compile(r"\d")
+#: Digits, and the characters of which the two modules know different ones.
+_MAY_COUNT = re.compile("[\\d\U00010000-\U0010ffff]")
 
 
-def kind(seg: str) -> str:
+def kind(seg: str, marks: Iterable[str] = _MARKS) -> str:
+    """The kind of a part; ``marks`` are those of _MARKS that its text has."""
     ws = seg.lower().split()
     n = len(ws)
     f = sum(map(FUNCTION.__contains__, ws))
     prose = n >= 4 and f >= max(1, (PROSE if n >= 14 else 2 * PROSE) * n) and (f >= 2 or n < 14)
     dot = seg.find(".")
     dotted = -1 < dot < len(seg) - 2
-    signs = {c for c in _MARKS if c in seg}
+    signs = {c for c in marks if c in seg}
     if prose and not signs and not dotted:
         return "prose"
     digits = _DIGIT.search(seg) is not None
     # each pattern only where what it needs is there
     marked = prices = 0
-    if dotted or "[" in signs:
+    if (dotted or "[" in signs) and may_link(seg):
         marked += sum(len(m[0]) for m in _LINK.finditer(seg))
     if "#" in signs or ":" in signs:
         marked += sum(len(m[0]) for m in _TAG.finditer(seg))
@@ -86,14 +136,14 @@ def kind(seg: str) -> str:
         paths = len(_PATH.findall(seg))
         if paths and paths * 40 >= len(seg):
             return "evident"
-    ws = _WORD.findall(seg)
-    if not ws:
-        return "own"
     if prose:
         return "prose"
-    n = len(ws)
-    numbers = len(_NUMBER.findall(seg)) if digits else 0
-    own = sum(len(m[0]) for m in _OWN.finditer(seg))
+    n = len(words(seg))
+    if not n:
+        return "own"
+    number, of = (_PLAIN_NUMBER, _PLAIN_OWN) if seg.isascii() else (_NUMBER, _OWN)
+    numbers = len(number.findall(seg)) if digits else 0
+    own = sum(len(m[0]) for m in of.finditer(seg))
     if own * 3 >= len(seg) or (numbers >= 1 and numbers * 4 >= n) or own and n <= 8:
         return "own"
     if n <= 4 and _HEADING.match(seg):
@@ -104,16 +154,22 @@ def kind(seg: str) -> str:
 #: What stands for a link, a price, a tag and a number, whatever they say; an item ends with a link or a price.
 LINK, PRICE, TAG, NUMBER = map(chr, range(0xE001, 0xE005))
 _SHAPES = (
-    (regex.compile(r"\[([^\]\n]*)\]\([^)\n]*\)"), rf" \1 {LINK} | "), (_LINK, f" {LINK} | "), (_PRICE, f" {PRICE} | "), (_TAG, f" {TAG} "), (regex.compile(r"(?:\p{L}+-)?\d[\d.,]*"), f" {NUMBER} "),
-)
+    (lambda seg: "](" in seg, regex.compile(r"\[([^\]\n]*)\]\([^)\n]*\)"), rf" \1 {LINK} | "),
+    (may_link, _LINK, f" {LINK} | "),
+    (_MAY_COUNT.search, _PRICE, f" {PRICE} | "),
+    (lambda seg: "#" in seg or ":" in seg, _TAG, f" {TAG} "),
+    (_MAY_COUNT.search, regex.compile(r"(?:\p{L}+-)?\d[\d.,]*"), f" {NUMBER} "),
+)
 _ITEMS = regex.compile(rf"[|;,•·\n!?]+|\.(?=\s|$)|\s[-–—*»]\s|(?<=\))\s|(?<={NUMBER})\s+(?=\p{{L}})|^\W+(?=\w)")
 _SHAPED = regex.compile(rf"\p{{L}}+(?:['’_-]\p{{L}}+)*|[{LINK}-{NUMBER}]")
 
 
 def items(seg: str) -> list[list[str]]:
     """The items of a list part as words; links, prices, tags and numbers are one sign each, whatever they say."""
-    for p, to in _SHAPES:
-        seg = p.sub(to, seg)
+    # each pattern only where what it needs is there
+    for needs, p, to in _SHAPES:
+        if needs(seg):
+            seg = p.sub(to, seg)
     return [w for i in _ITEMS.split(seg.lower()) if i and (w := _SHAPED.findall(i))]
 
 
@@ -135,7 +191,7 @@ def phrases(item: list[str], bare: bool = True) -> list[str]:
 
 def repeats(bare: str) -> float:
     """Share of the words of a page's bare parts that come at least three times in them."""
-    ws = [w.lower() for w in _WORD.findall(bare)]
+    ws = [w.lower() for w in words(bare)]
     c = Counter(ws)
     return sum(n for n in c.values() if n >= 3) / len(ws) if len(ws) >= 12 else 0.0
 
@@ -156,7 +212,7 @@ def catalogue(own: list[str], prose: list[str]) -> list[str]:
             out.append(seg)
     if len(names) < 6 or len(set(names)) < 0.7 * len(names):
         return []
-    told = {w.lower() for s in prose for w in _WORD.findall(s)}
+    told = {w.lower() for s in prose for w in words(s)}
     return out if sum(n in told for n in names) <= 0.3 * len(names) else []
 
 

@@ -97,3 +97,37 @@ def test_brute_force(spark, data):
         if total and n > spam.SHARE * total:
             want.add(i)
     assert {r.doc_id for r in spam.found(df).collect()} == want and want
+
+
+CUTS = [
+    "End. Next [0001] x. [2] y! é. École? \x1cA.\x85B.  C. d", "a.\n\nB.\r\nC. \n d.\x0bE", "。Ω. Ω. я. Я. ½ x²y it’s a_b-c'd", "𝐀. 𝐀b. 𝐚 . 𞤀 𐐷𐐀.x", "", " . \n", "?!. Foo...Bar ... Baz",
+]
+
+
+def test_faster_patterns_equal_the_named_ones():
+    import regex
+
+    cut = regex.compile(r"\n+|(?<=[.!?])\s+(?=\p{Lu}|\[)")
+    for t in [*CUTS, PATENT, OWN, *(spam_page(k, 1) for k in KINDS)]:
+        assert [x.strip() for x in spam.pieces(t) if x.strip()] == [x.strip() for x in cut.split(t) if x.strip()]
+        assert spam.words(t) == spam._WORD.findall(t)
+        assert not spam._LINK.search(t) or spam.may_link(t)
+        for seg in spam.pieces(t):
+            assert spam.kind(seg) == spam.kind(seg, [c for c in spam._MARKS if c in t])
+            if seg.isascii():
+                assert spam._PLAIN_NUMBER.findall(seg) == spam._NUMBER.findall(seg)
+                assert [m[0] for m in spam._PLAIN_OWN.finditer(seg)] == [m[0] for m in spam._OWN.finditer(seg)]
+
+
+def test_patterns_are_tried_only_where_they_could_match(monkeypatch):
+    """The pattern of links, the slowest, on pages with points, numbers and brackets but no link."""
+    tried = []
+
+    class Counted:
+        def __init__(self, p):
+            self.finditer = lambda seg: tried.append(seg) or p.finditer(seg)
+
+    monkeypatch.setattr(spam, "_LINK", Counted(spam._LINK))
+    want = spam.measure(PATENT * 3 + "\n16.5 kPa at 3.25 V [0012] of the valve. [0013] The rotor\n" + OWN)
+    assert tried == [] and want[0] > 0
+    assert spam.kind("see www.luskgren.example now") == "evident" and len(tried) == 1
